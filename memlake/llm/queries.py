@@ -10,8 +10,19 @@ from memlake.llm.exact_dedup import exact_dedup
 from memlake.llm.line_dedup import dedup_lines
 from memlake.llm.mixing import mix_sources
 from memlake.llm.quality import classify_quality
+from memlake.llm.scratch import scratch_path, written
+from memlake.llm.sentencepiece import encode_documents, model_bytes
+from memlake.llm.simhash import simhash_dedup
 from memlake.llm.substring_dedup import dedup_substrings
+from memlake.llm.token_counts import WORDS, TokenRollup, count_tokens, inserted
 from memlake.llm.url_filter import Rule, filter_urls
+from memlake.llm.vector_search import nearest
+
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+BPE = "byte-bpe-50k-1"
+#: Fixed: the pattern that the byte-level vocabulary was made with.
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 URL_RULES = [
     Rule("org", "/", "allow"),
@@ -42,16 +53,41 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), model_bytes(spark, model), with_ids=False)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Both tokenizer versions' inserts, each a batch; the first one is sent twice, as after a lost answer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counts = written(count_tokens(docs, {WORDS: None, BPE: (model_bytes(spark, ranks), BPE_PATTERN)}), "token-counts")
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    for batch in (WORDS, BPE, WORDS):
+        rollup.commit(f"insert-{batch}", inserted(counts.where(counts.tokenizer == batch)))
+    return rollup.totals()
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+OPS = (op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_line_dedup, op5_vector_search, op6_simhash_dedup, op7_sentencepiece, op8_mixing, op9_token_counts, op10_exact_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_line_dedup, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in OPS}
 
 
 def oracle_sql() -> dict[str, str]:
