@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 CHUNK = "__chunk"
+CARRY = "__carry"
 #: An id that is null counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -31,10 +32,10 @@ def counts_for(total_bytes: int, chunk_bytes: int = 4 << 20, bucket_bytes: int =
     return max(128, -(-total_bytes // chunk_bytes)), max(64, -(-total_bytes // bucket_bytes))
 
 
-def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int) -> DataFrame:
-    """``(id, text, __chunk)``, dealt by chunk."""
+def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, text, __carry, __chunk)``, dealt by chunk; ``carry`` names columns that go along."""
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // 16))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias(CARRY)] if carry else []))
     return rows.withColumn(CHUNK, F.pmod(F.xxhash64("id", F.lit(4)), F.lit(n_chunks))).repartition(n_parts, CHUNK)
 
 

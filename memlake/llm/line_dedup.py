@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from memlake.llm.chunks import CHUNK, RUNS_DDL, answered, counts_for, cut_runs, flags_of, ids_and_texts, in_chunks, text_bytes
+from memlake.llm.chunks import CARRY, CHUNK, RUNS_DDL, answered, counts_for, cut_runs, flags_of, ids_and_texts, in_chunks, text_bytes
 
 #: Two halves of a line's 128-bit hash, the documents that hold it, the largest of their ids.
 LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("docs", "<u4"), ("top", "<i8")])
@@ -129,8 +129,11 @@ def own_run(ids: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     return run, place
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, fanout: int = 8, with_text: bool = True) -> DataFrame:
-    """One row per input row: id, ``n_lines``, ``n_dropped``, ``kept_sha256`` and, on demand, ``kept_text``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, fanout: int = 8, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, ``n_lines``, ``n_dropped``, ``kept_sha256`` and, on demand, ``kept_text``
+    (null where the text is null).
+
+    ``carry`` names columns that are returned along, in the struct ``carried``.
 
     A text is split at ``\\n`` (null and empty: one empty line).  A line's key is
     the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased.  Keys
@@ -141,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result; other columns are ignored.
     """
     n_chunks, n_buckets = counts_for(text_bytes(docs, text_col))
-    chunks = in_chunks(docs, id_col, text_col, n_chunks)
+    chunks = in_chunks(docs, id_col, text_col, n_chunks, carry)
 
     def send(table: pa.Table) -> pa.Table:
         ids, texts = ids_and_texts(table)
@@ -160,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             said.append(np.stack([n >= min_docs, (n >= min_docs) & (top == run["top"])], axis=1).astype(np.uint8))
         return said
 
-    answers = answered(chunks.groupBy(CHUNK).applyInArrow(send, RUNS_DDL), answer, LINE)
+    answers = answered(chunks.select("id", "text", CHUNK).groupBy(CHUNK).applyInArrow(send, RUNS_DDL), answer, LINE)
 
     def keep(table: pa.Table, said: pa.Table) -> pa.Table:
         ids, texts = ids_and_texts(table)
@@ -179,9 +182,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cols = [table.column("id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         names = ["id", "n_lines", "n_dropped", "kept_sha256"]
         if with_text:
-            cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
+            null = table.column("text").is_null().to_pylist()
+            cols.append(pa.array([None if n else x for n, x in zip(null, kept, strict=True)], pa.binary()).cast(pa.string()))
             names.append("kept_text")
+        if carry:
+            cols.append(table.column(CARRY))
+            names.append("carried")
         return pa.table(cols, names=names)
 
     ddl = "id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
+    if carry:
+        ddl += f", carried {chunks.schema[CARRY].dataType.simpleString()}"
     return chunks.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(keep, ddl).withColumnRenamed("id", id_col)

@@ -102,6 +102,20 @@ def held_out(id_col: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``classify_quality`` predicts 1 for, with all their columns, row by row."""
+    stats = written(statistics_table(docs, id_col, text_col), "quality-statistics")
+    model = fit(stats, labels.where(~held_out(id_col)), id_col, label_col, shrinkage)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = text_statistics(b.column(at).cast(pa.binary()).to_pylist())
+            yield b.filter(pa.array(model.scores(f) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3) -> DataFrame:
     """One row per input row: id, ``held_out``, ``score``, ``predicted``.
 
