@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result.  Other columns are ignored.
 
     A group's key is counted with map-side combine, and the counts are joined
-    back from a written table, so adaptive execution can split a hot group.
+    back from a written table by a merge join at every size, so adaptive
+    execution can split a hot group.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     rows = docs.select(
@@ -41,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = rows.select("id", "gid", "sha", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         groups = keyed.groupBy("gid", "digit", "ended").agg(F.count("*").alias("n"), F.min("id").alias("next")).where("n > 1")
         groups = written(groups, "radix-groups").select(*(F.col(c).alias(f"g_{c}") for c in ("gid", "digit", "ended", "n", "next")))
-        split = keyed.join(groups, (keyed.gid == groups.g_gid) & (keyed.digit == groups.g_digit) & (keyed.ended == groups.g_ended), "left")
+        split = keyed.join(groups.hint("merge"), (keyed.gid == groups.g_gid) & (keyed.digit == groups.g_digit) & (keyed.ended == groups.g_ended), "left")
         over = F.col("ended") | F.col("g_n").isNull()
         level = written(
             split.select("id", "sha", F.coalesce("g_next", "id").alias("gid"), F.coalesce("g_n", F.lit(1)).alias("n"), over.alias("done"), F.when(~over, F.col("rest")).alias("rest")),
