@@ -225,3 +225,62 @@ def block_insert(block: Column | str, line: int, text: Column) -> Column:
     parts = F.split(col(block), "\n")
     at = F.size(parts) if line < 0 else F.lit(line)
     return F.array_join(F.concat(F.slice(parts, F.lit(1), at), F.array(text), F.slice(parts, at + 1, F.size(parts) + 1)), "\n")
+
+
+def event_section(c: Column | str, start: str, ends: list[str]) -> Column:
+    """Text after the last start marker, up to the earliest end marker behind it; else the question part."""
+    text = col(c)
+    tail = F.element_at(F.split(text, f"\\Q{start}\\E"), -1)
+    cut = tail
+    for e in ends:
+        cut = F.substring_index(cut, e, 1)
+    return F.when(text.contains(start), F.trim(cut)).otherwise(retrieval_query(text))
+
+
+def json_field(c: Column | str, schema: str, key: str) -> Column:
+    """One field of a JSON answer, read by schema; null where it does not parse."""
+    return F.try_variant_get(F.try_parse_json(strip_code_fence(c)), f"$.{key}", schema)
+
+
+def named_entities(c: Column | str) -> Column:
+    return json_field(c, "array<string>", "named_entities")
+
+
+def triples(c: Column | str) -> Column:
+    """``(s, p, o)`` of a JSON answer; lists that are not of three, and repeats, are dropped."""
+    found = json_field(c, "array<array<string>>", "triples")
+    three = F.filter(found, lambda t: F.size(t) == 3)
+    return F.array_distinct(F.transform(three, lambda t: F.struct(t[0].alias("s"), t[1].alias("p"), t[2].alias("o"))))
+
+
+def chat(system: Column, user: Column) -> Column:
+    """System and user messages."""
+    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+
+
+def relation_lines(relations: Column) -> Column:
+    """``source -- relationship -- destination`` lines."""
+    return F.array_join(F.transform(relations, lambda r: F.concat_ws(" -- ", r["source"], r["relationship"], r["destination"])), "\n")
+
+
+def search_context(facts: Column, names: Column, episodes: Column) -> Column:
+    """Facts, entities and episodes as the sections of a prompt."""
+    part = lambda title, xs: F.concat(F.lit(f"# {title}\n"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    return F.concat_ws("\n\n", part("FACTS", facts), part("ENTITIES", names), part("EPISODES", episodes))
+
+
+def first_chars(c: Column | str, n: int) -> Column:
+    return F.substring(col(c), 1, n)
+
+
+def tabs_to_spaces(c: Column | str) -> Column:
+    return F.translate(col(c), "\t", " ")
+
+
+def first_line(c: Column | str) -> Column:
+    return F.substring_index(col(c), "\n", 1)
+
+
+def concept(c: Column | str) -> Column:
+    """Stand-in for a lemma: lower case, trimmed."""
+    return F.lower(F.trim(col(c)))

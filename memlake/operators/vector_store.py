@@ -11,6 +11,11 @@ from memlake.functions.vectors import METRICS, dot, normalized
 from memlake.operators.bm25 import ranked
 
 
+def _shown(value: Any) -> str:
+    """A value as Spark casts it to text."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def predicate(filters: Mapping[str, Any] | None, payload: Column | None = None) -> Column:
     """AND of payload conditions; a missing key never matches.
 
@@ -29,9 +34,9 @@ def predicate(filters: Mapping[str, Any] | None, payload: Column | None = None)
             for op in want:
                 out &= ops[op.lstrip("$")]
         elif isinstance(want, list | tuple | set):
-            out &= have.cast("string").isin([str(w) for w in want])
+            out &= have.cast("string").isin([_shown(w) for w in want])
         else:
-            out &= have.cast("string") == str(want)
+            out &= have.cast("string") == _shown(want)
     return F.coalesce(out, F.lit(False))
 
 
