@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.operators.graph import cut
+from memlake.scratch import cut
 
 
 def build_tree(leaves: DataFrame, levels: int = 3, most: int = 10, components: int = 8, seed: int = 42, summarize: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -6,28 +6,11 @@ Nodes have ``id``; edges have ``src``, ``dst`` and, where it matters,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from memlake.functions.ids import node_id
 from memlake.functions.text import node_key
-
-
-def cut(df: DataFrame, name: str = "graph") -> DataFrame:
-    """``df`` without its lineage: a table in the shared folder, or checkpointed eagerly in local mode."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from memlake.scratch import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

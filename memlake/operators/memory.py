@@ -28,9 +28,13 @@ def raw_memories(messages: DataFrame) -> DataFrame:
 
 
 def add_events(facts: DataFrame, start_seq: int = 0) -> DataFrame:
-    """ADD events for ``(memory, user_id, ...)`` rows; equal texts of a user are one memory."""
+    """ADD events for ``(memory, user_id, ...)`` rows; equal texts of a user are one memory.
+
+    Sequence numbers are unique and rising within a partition, so none has to
+    see all rows.
+    """
     one = facts.withColumn("memory_id", hash_id(F.concat_ws("|", F.coalesce("user_id", F.lit("")), "memory"))).dropDuplicates(["memory_id"])
-    return one.withColumn("event", F.lit("ADD")).withColumn("seq", F.lit(start_seq) + F.row_number().over(W.orderBy("memory_id")))
+    return one.withColumn("event", F.lit("ADD")).withColumn("seq", F.lit(start_seq) + 1 + F.monotonically_increasing_id())
 
 
 def decide(facts: DataFrame, similar: DataFrame, same: float = 0.95, close: float = 0.7) -> DataFrame:
@@ -60,7 +64,7 @@ def memory_history(events: DataFrame) -> DataFrame:
 
 def tombstones(state: DataFrame, start_seq: int, at) -> DataFrame:
     """DELETE events for all given memories."""
-    return state.withColumn("event", F.lit("DELETE")).withColumn("seq", F.lit(start_seq) + F.row_number().over(W.orderBy("memory_id"))).withColumn("at", F.lit(at))
+    return state.withColumn("event", F.lit("DELETE")).withColumn("seq", F.lit(start_seq) + 1 + F.monotonically_increasing_id()).withColumn("at", F.lit(at))
 
 
 def migrated_history(old: DataFrame) -> DataFrame:

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.plans.catalog import query
+from memlake.scratch import scratch_path
 from memlake.sources.tables import table
 from memlake.streaming import incremental as S
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="memlake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     schema = table(spark, d, name).schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if _is_file(spark, d, name) else "*.parquet").parquet(d if _is_file(spark, d, name) else f"{d}/{name}.parquet")
@@ -34,7 +25,7 @@ def _is_file(spark: SparkSession, d: str, name: str) -> bool:
 
 @query("SELECT md5(text) AS hash, any_value(text) AS text FROM conversations GROUP BY 1")
 def stream_memorize(spark: SparkSession, d: str) -> DataFrame:
-    out, mark = _scratch(spark, "memorize"), _scratch(spark, "memorize-offsets")
+    out, mark = scratch_path(spark, "memorize"), scratch_path(spark, "memorize-offsets")
     for _ in range(2):  # the second run finds nothing new
         S.memorize(_stream(spark, d, "conversations").select("text"), out, mark, prefix="").awaitTermination()
     return spark.read.parquet(out).select(F.col("hash_id").alias("hash"), "text")
@@ -61,6 +52,6 @@ def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stream_buffer(spark: SparkSession, d: str) -> DataFrame:
-    out, mark = _scratch(spark, "buffer"), _scratch(spark, "buffer-offsets")
+    out, mark = scratch_path(spark, "buffer"), scratch_path(spark, "buffer-offsets")
     S.run_to_table(S.bounded_buffer(_stream(spark, d, "conversations"), "conv_id", "turn", "text", 3), out, mark).awaitTermination()
     return spark.read.schema(S.BUFFER).parquet(out)
