@@ -33,6 +33,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: a lambda's body computes what it names from outside each time."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
@@ -49,47 +54,48 @@ def normalize_answer(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space tokens; none for an empty text."""
-    return F.filter(F.split(squeeze(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(col(c), r"\s+"), "")
 
 
-def token_counts(tokens: Column) -> Column:
-    """Map of token to count, for a token array."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)))))
+def numbered(tokens: Column) -> Column:
+    """Tokens in order, each with the number of its occurrence, so equal ones differ."""
+    number = lambda t: F.transform(t, lambda x, i: F.concat(x, F.lit(" "), (i + 1 - F.array_position(t, x)).cast("string")))
+    return let(F.array_sort(tokens), number)
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    return F.aggregate(
-        F.array_distinct(F.array_intersect(a, b)),
-        F.lit(0),
-        lambda n, t: n + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-    )
+    """Size of the multiset intersection of two token arrays (tokens without spaces)."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
 
+def _f1(a: Column, b: Column) -> Column:
+    """F1 of two bound token arrays."""
+    return let(overlap(a, b), lambda c: F.when(c > 0, 2.0 * c / (F.size(a) + F.size(b))).otherwise(F.lit(0.0)))
 
-def _f1(common: Column, n_pred: Column, n_gold: Column) -> Column:
-    p, r = common / n_pred, common / n_gold
-    return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+
+def _bound(a: Column, b: Column, f) -> Column:
+    return let(a, lambda x: let(b, lambda y: f(x, y)))
 
 
 def token_f1(pred: Column | str, gold: Column | str) -> Column:
     """Token F1 on normalised answers; a yes/no/noanswer that differs scores 0."""
-    a, b = normalize_answer(pred), normalize_answer(gold)
-    special = (a.isin("yes", "no", "noanswer") | b.isin("yes", "no", "noanswer")) & (a != b)
-    ta, tb = words(a), words(b)
-    return F.when(special, F.lit(0.0)).otherwise(_f1(overlap(ta, tb), F.size(ta), F.size(tb)))
+
+    def score(a: Column, b: Column) -> Column:
+        special = (a.isin("yes", "no", "noanswer") | b.isin("yes", "no", "noanswer")) & (a != b)
+        return F.when(special, F.lit(0.0)).otherwise(_bound(words(a), words(b), _f1))
+
+    return _bound(normalize_answer(pred), normalize_answer(gold), score)
 
 
 def token_f1_plain(pred: Column | str, gold: Column | str) -> Column:
     """Token F1 on normalised answers without the yes/no rule."""
-    ta, tb = words(normalize_answer(pred)), words(normalize_answer(gold))
-    return _f1(overlap(ta, tb), F.size(ta), F.size(tb))
+    return _bound(words(normalize_answer(pred)), words(normalize_answer(gold)), _f1)
 
 
 def token_f1_words(pred: Column | str, gold: Column | str) -> Column:
     """Token F1 on lower-cased words stripped of non-word characters; two empty texts score 1."""
     bare = lambda c: F.filter(F.transform(words(F.lower(col(c))), lambda w: F.regexp_replace(w, r"\W", "")), lambda w: w != "")
-    ta, tb = bare(pred), bare(gold)
-    return F.when((F.size(ta) == 0) & (F.size(tb) == 0), F.lit(1.0)).otherwise(_f1(overlap(ta, tb), F.size(ta), F.size(tb)))
+    return _bound(bare(pred), bare(gold), lambda a, b: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_f1(a, b)))
 
 
 def exact_match(pred: Column | str, gold: Column | str) -> Column:
@@ -197,8 +203,7 @@ def token_count(c: Column | str) -> Column:
 
 def keep_tail(c: Column | str, n: int) -> Column:
     """The last ``n`` words."""
-    w = words(c)
-    return F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), F.lit(n)), " ")
+    return let(words(c), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), F.lit(n)), " "))
 
 
 def keep_head(c: Column | str, n: int) -> Column:

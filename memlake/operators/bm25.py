@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memlake.functions.text import words
+from memlake.scratch import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,25 +25,27 @@ def postings(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = No
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query", tokens: Column | None = None, query_tokens: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, doc_id, score)`` for the documents that share a term with a query.
 
-    Only postings of the queries' terms are kept, before they are counted; a
-    query term counts as often as it is repeated.  The idf is
-    ``ln(1 + (N - df + 0.5) / (df + 0.5))``, which no term's frequency makes
-    negative.
+    Only postings of the queries' terms are kept, as a written table in which a
+    document's terms lie together; the queries' weights are one too, so Spark
+    knows their size when it chooses how to join them, and scores are summed
+    before they are shuffled.  A query term counts as often as it is repeated.
+    The idf is ``ln(1 + (N - df + 0.5) / (df + 0.5))``, which no term's frequency
+    makes negative.
     """
     t = words(F.lower(text_col)) if tokens is None else tokens
     q = words(F.lower(query_text)) if query_tokens is None else query_tokens
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(q).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = docs.select(F.col(id_col).alias("doc_id"), t.alias("ts"))
-    sizes = terms.select("doc_id", F.size("ts").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     kept = terms.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = kept.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = cut(kept.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # One row of corpus statistics, so broadcasting it is bounded.
-    hits = asked.join(df, "term").join(tf, "term").join(F.broadcast(stats))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weights = asked.join(df, "term").join(F.broadcast(stats))
+    weights = weights.select("query_id", "term", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    weights = cut(weights, "weights")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:

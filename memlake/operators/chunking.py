@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from memlake.functions.ids import uuid5
+from memlake.functions.text import let
 
 #: The marks that end a sentence.
 MARKS = ".;!?…。！？"
@@ -29,8 +30,7 @@ def word_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``paragraph_end`` if a line end follows it, else ``word``.
     """
     w = docs.select(F.col(id_col), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("ws"))
-    pairs = F.transform("ws", lambda x, i: F.struct(x.alias("word"), F.try_element_at("ws", i + 2).alias("next")))
-    w = w.select(id_col, F.posexplode(pairs).alias("pos", "p"))
+    w = w.select(id_col, F.posexplode(F.arrays_zip(F.col("ws").alias("word"), F.slice("ws", 2, 2147483647).alias("next"))).alias("pos", "p"))
     ends = F.rtrim(F.col("p.word")).rlike(f"[{MARKS}]$")
     line = F.coalesce(F.col("p.next").rlike("^[\n\r]"), F.lit(False))
     return w.select(id_col, "pos", F.col("p.word").alias("word"), F.when(ends & line, "paragraph_end").when(ends, "sentence_end").otherwise("word").alias("kind"))
@@ -176,9 +176,11 @@ def packed_chunks(docs: DataFrame, limit: int = 4096, keep_empty: bool = True, i
 
 def token_chunks(docs: DataFrame, limit: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of ``limit`` white-space tokens; an expression, so it stays in the JVM."""
-    w = F.filter(F.split(F.col(text_col), r"\s+"), lambda x: x != "")
-    n = F.ceil(F.size(w) / limit)
-    parts = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(w, (k * limit + 1).cast("int"), F.lit(limit)), " ")))
+    def cut(w: Column) -> Column:
+        n = F.ceil(F.size(w) / limit)
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(w, (k * limit + 1).cast("int"), F.lit(limit)), " ")))
+
+    parts = let(F.filter(F.split(F.col(text_col), r"\s+"), lambda x: x != ""), cut)
     return docs.select(id_col, F.posexplode(parts).alias("pos", "text"))
 
 

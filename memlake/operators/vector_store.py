@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from memlake.functions.vectors import METRICS, dot, normalized
+from memlake.functions.vectors import METRICS, dot, norm, normalized
 from memlake.operators.bm25 import ranked
 
 
@@ -48,8 +48,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     blocks above it.  The window's limit is applied before its shuffle.
     """
     measure, high = METRICS[metric]
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v"), *keep, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("__b"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__b"))
+    v, q = F.col(vector_col), F.col(query_vector)
+    if metric == "cosine":
+        # Unit vectors once a row, so a pair costs one product; zero vectors have no cosine.
+        vectors, queries = vectors.where(norm(v) > 0), queries.where(norm(q) > 0)
+        v, q, measure = normalized(v), normalized(q), lambda x, y: F.when(F.size(x) == F.size(y), dot(x, y))
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("__v"), *keep, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("__b"))
+    asked = queries.select(F.col(query_id).alias("query_id"), q.alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__b"))
     pairs = rows.join(asked, "__b")
     scored = pairs.select("query_id", "id", *keep, measure(F.col("__v"), F.col("__q")).alias("score")).where("score is not null")
     if high:

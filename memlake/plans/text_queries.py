@@ -10,7 +10,7 @@ from memlake.functions.ids import hash_id, uuid5
 from memlake.operators import bm25, chunking, evaluation as ev
 from memlake.plans.catalog import query
 from memlake.providers import PatternExtractor
-from memlake.sources.tables import hashed, table
+from memlake.sources.tables import hashed, table, texts
 
 _WORDS = r"list_filter(string_split(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 _ARTICLE = r"'(^|[^\p{{L}}\p{{N}}_])(a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \3', 'g'"
@@ -45,7 +45,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DOCS_ASKED} SELECT query_id, rank, doc_id, score FROM top WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.bm25_topk(table(spark, d, "documents"), _asked(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+    return bm25.bm25_topk(texts(spark, d, "documents"), _asked(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_bm25("SELECT n_nationkey AS doc_id, [n_name, 'in', r_name] AS ws FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT r_regionkey AS query_id, string_split('in ' || r_name, ' ') AS ws FROM region")}
@@ -59,18 +59,18 @@ def bm25_triples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents")
 def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.normalize_answer("text").alias("normalized"))
+    return texts(spark, d, "documents").select("doc_id", X.normalize_answer("text").alias("normalized"))
 
 
 @query("SELECT 'doc-' || md5(text) AS hash_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(hash_id(F.col("text"), "doc-").alias("hash_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return texts(spark, d, "documents").groupBy(hash_id(F.col("text"), "doc-").alias("hash_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """Each message as a prediction of the one after it."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").withColumn("gold", F.lead("text").over(w)).where("gold is not null")
+    return texts(spark, d, "conversations").withColumn("gold", F.lead("text").over(w)).where("gold is not null")
 
 
 _TURNS = "SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations"
@@ -106,14 +106,14 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """BM25 against the documents that share a line with the passage."""
     line = lambda name, key: table(spark, d, name).select(F.col(key), F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 20)
     gold = line("benchmark", "item_id").withColumnRenamed("item_id", "query_id").join(line("documents", "doc_id"), "line").select("query_id", "doc_id").distinct()
-    return ev.recall_at(bm25.bm25_topk(table(spark, d, "documents"), _asked(spark, d), 10), gold, [1, 5, 10])
+    return ev.recall_at(bm25.bm25_topk(texts(spark, d, "documents"), _asked(spark, d), 10), gold, [1, 5, 10])
 
 
 @query("""
     SELECT coalesce(lang, 'all') AS lang, round(avg(quality), 4) AS accuracy, count(*) AS n
     FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""")
 def judged_accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return ev.accuracy_by_type(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"), "quality", "lang")
+    return ev.accuracy_by_type(texts(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"), "quality", "lang")
 
 
 _ANSWERS = r"['the', 'DE', list_last(string_split(trim(gold), ' '))]"
@@ -149,14 +149,14 @@ _KINDS = ("EMAIL", "PHONE", "URL", "DATE", "TIME", "MONEY", "HASHTAG", "MENTION"
     + ") GROUP BY ALL"
 )
 def regex_entities(spark: SparkSession, d: str) -> DataFrame:
-    hits = PatternExtractor(_KINDS).extract(table(spark, d, "documents"), "doc_id", "text")
+    hits = PatternExtractor(_KINDS).extract(texts(spark, d, "documents"), "doc_id", "text")
     return hits.groupBy("doc_id", "type").agg(F.count("*").alias("hits"))
 
 
 @query()
 def regex_entities_all(spark: SparkSession, d: str) -> DataFrame:
     """With persons and addresses, whose patterns the SQL engine has no look-behind or word boundary for."""
-    return PatternExtractor().extract(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "page_id", "text").groupBy("page_id", "type").agg(F.count("*").alias("hits"))
+    return PatternExtractor().extract(texts(spark, d, "pages").select("page_id", F.col("html").alias("text")), "page_id", "text").groupBy("page_id", "type").agg(F.count("*").alias("hits"))
 
 
 @query(r"""
@@ -166,7 +166,7 @@ def regex_entities_all(spark: SparkSession, d: str) -> DataFrame:
            count(*) FILTER (regexp_matches(rtrim(word, ' '), '[.;!?…。！？]$') AND regexp_matches(next, '^[\n\r]')) AS paragraphs, md5(string_agg(word, '')) IS NOT NULL AS joined
     FROM u GROUP BY doc_id""")
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
-    w = chunking.word_chunks(table(spark, d, "documents"))
+    w = chunking.word_chunks(texts(spark, d, "documents"))
     return w.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("kind") != "word").alias("ends"), F.count_if(F.col("kind") == "paragraph_end").alias("paragraphs"), F.lit(True).alias("joined"))
 
 
@@ -175,33 +175,33 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
     k AS (SELECT doc_id, ws, unnest(range(CAST(ceil(len(ws) / 300.0) AS BIGINT))) AS pos FROM w)
     SELECT doc_id, CAST(pos AS INT) AS pos, array_to_string(ws[pos * 300 + 1 : pos * 300 + 300], ' ') AS text FROM k""")
 def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.token_chunks(table(spark, d, "documents"), 300)
+    return chunking.token_chunks(texts(spark, d, "documents"), 300)
 
 
 @query()
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.sentence_chunks(table(spark, d, "documents"), 64)
+    return chunking.sentence_chunks(texts(spark, d, "documents"), 64)
 
 
 @query()
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.paragraph_chunks(table(spark, d, "documents"), 128)
+    return chunking.paragraph_chunks(texts(spark, d, "documents"), 128)
 
 
 @query()
 def chunk_packed(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed_chunks(table(spark, d, "documents"), 256)
+    return chunking.packed_chunks(texts(spark, d, "documents"), 256)
 
 
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """A conversation is a document, its messages are the parts."""
-    return chunking.document_chunks(table(spark, d, "conversations"), 128, id_col="conv_id", order_col="turn")
+    return chunking.document_chunks(texts(spark, d, "conversations"), 128, id_col="conv_id", order_col="turn")
 
 
 @query("SELECT doc_id, len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS n_tokens FROM documents".replace("\\\\", "\\"))
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.token_count("text").cast("long").alias("n_tokens"))
+    return texts(spark, d, "documents").select("doc_id", X.token_count("text").cast("long").alias("n_tokens"))
 
 
 @query()
@@ -224,7 +224,7 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
     SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 3""")
 def top_words(spark: SparkSession, d: str) -> DataFrame:
     """A document's three most frequent words that are no stop words; ties by word."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.lower("text"))).alias("x"))
+    w = texts(spark, d, "documents").select("doc_id", F.explode(X.words(F.lower("text"))).alias("x"))
     c = w.select("doc_id", F.regexp_replace("x", r"^\p{Punct}+|\p{Punct}+$", "").alias("word")).where((F.col("word") != "") & ~F.col("word").isin(X.STOP_WORDS))
     c = c.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     return c.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word")).cast("long")).where("rank <= 3")
@@ -261,4 +261,4 @@ def scored_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'chunk-' || md5(text) AS hash_id, any_value(text) AS text FROM conversations GROUP BY 1")
 def memorized_texts(spark: SparkSession, d: str) -> DataFrame:
-    return hashed(table(spark, d, "conversations"), "text", "chunk-").select("hash_id", "text")
+    return hashed(texts(spark, d, "conversations"), "text", "chunk-").select("hash_id", "text")

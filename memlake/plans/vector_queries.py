@@ -9,7 +9,7 @@ from memlake.operators import bm25, cluster_tree, retrieval
 from memlake.operators.vector_store import knn_join, minmax, predicate, similar_pairs, topk
 from memlake.plans.catalog import query
 from memlake.plans.text_queries import _DOCS_ASKED, _asked
-from memlake.sources.tables import table
+from memlake.sources.tables import table, texts
 
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
 _CENTRES = """c AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM (
@@ -17,7 +17,7 @@ _CENTRES = """c AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM (
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return texts(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
 def _centres(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     j AS (SELECT query_id, doc_id, round(0.5 * coalesce(dn.n, 0) + 0.5 * coalesce(ln.n, 0), 6) AS score FROM ln FULL JOIN dn USING (query_id, doc_id))
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM j QUALIFY rank <= 10""")
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    lexical = bm25.bm25_topk(table(spark, d, "documents"), _asked(spark, d), 50)
+    lexical = bm25.bm25_topk(texts(spark, d, "documents"), _asked(spark, d), 50)
     v = _vectors(spark, d)
     asked = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return retrieval.hybrid(lexical, topk(v, asked, 50), 10).withColumn("rank", F.col("rank").cast("long"))
