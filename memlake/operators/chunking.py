@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from memlake.functions.ids import uuid5
 from memlake.functions.text import let
@@ -37,8 +37,6 @@ def word_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _words(text: str) -> list[tuple[str, str]]:
-    import re
-
     found = re.findall(WORD, text)
     out = []
     for k, w in enumerate(found):

@@ -13,8 +13,8 @@ from memlake.streaming import incremental as S
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = table(spark, d, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if _is_file(spark, d, name) else "*.parquet").parquet(d if _is_file(spark, d, name) else f"{d}/{name}.parquet")
+    schema, one = table(spark, d, name).schema, _is_file(spark, d, name)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if one else "*.parquet").parquet(d if one else f"{d}/{name}.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
