@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from memlake.llm.queries import BPE_PATTERN, TOKENIZERS
-from memlake.llm.sentencepiece import BYTE, MARK, NORMAL, PROBES, UNKNOWN, CONTROL, UNIGRAM, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
+from memlake.llm.sentencepiece import BYTE, MARK, NORMAL, UNKNOWN, CONTROL, UNIGRAM, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
 from memlake.llm.token_counts import WORDS, PieceCounter, TokenRollup, _encoding, count_tokens, deleted, inserted, revised
 
 MODEL = model_bytes(None, f"{TOKENIZERS}/piece_bpe_32k.model")
