@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memlake.functions.ids import node_id, uuid5
 from memlake.functions.text import node_key
+from memlake.functions.vectors import dot, norm, normalized
+from memlake.operators.bm25 import ranked
 from memlake.operators.vector_store import topk
 
 
@@ -20,8 +22,12 @@ def merge_relations(nodes: DataFrame, edges: DataFrame, new: DataFrame, same: fl
         part = new.select("user_id", node_key(name).alias("name"), F.col(f"{name}_vector").alias("vector"))
         ends = part if ends is None else ends.unionByName(part)
     ends = ends.dropDuplicates(["user_id", "name"]).withColumn("qid", F.concat_ws("|", "user_id", "name"))
-    near = topk(nodes.select(F.col("id"), "vector", F.col("user_id").alias("owner")), ends.select(F.col("qid").alias("query_id"), F.col("vector").alias("query_vector")), 50, keep=("owner",)) if not nodes.isEmpty() else None
-    known = ends.select("qid", F.lit(None).cast("string").alias("id")) if near is None else ends.join(near.where(F.col("score") >= same), (ends.qid == near.query_id) & (ends.user_id == near.owner), "left").select("qid", "id")
+    # Only the user's own nodes are met, so none of another user's can take a place.
+    own = nodes.where(norm("vector") > 0).select("user_id", F.col("id"), normalized(F.col("vector")).alias("v"))
+    asked = ends.where(norm("vector") > 0).select("user_id", F.col("qid").alias("query_id"), normalized(F.col("vector")).alias("q"))
+    pairs = own.join(asked, "user_id").where(F.size("v") == F.size("q")).select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score"))
+    near = ranked(pairs.where(F.col("score") >= same), 1, tie="id").select(F.col("query_id").alias("qid"), "id")
+    known = ends.select("qid").join(near, "qid", "left")
     resolved = ends.join(known, "qid").withColumn("node", F.coalesce("id", uuid5(F.col("qid"))))
     fresh = resolved.where("id is null").select(F.col("node").alias("id"), "user_id", "name", "vector")
     at = resolved.select("user_id", "name", "node")

@@ -144,3 +144,13 @@ def test_code_and_label_graphs(spark):
     assert n.count() == 3 and e.count() == 4
     hops = spark.createDataFrame([("s", "c", "summarizes"), ("c", "f", "defines")], "src string, dst string, rel string")
     assert [tuple(r) for r in GM.two_hop(hops, spark.createDataFrame([("s",)], "id string"), ["summarizes"], ["defines"]).collect()] == [("s", "f")]
+
+
+def test_relations_meet_the_users_own_most_similar_node(spark):
+    """Sixty other users' nodes are nearer than the user's own two, of which one is taken."""
+    others = [(f"o{i:02}", f"x{i}", "ada", [1.0, 0.0]) for i in range(60)]
+    nodes = spark.createDataFrame([*others, ("n1", "u", "ada", [0.99, 0.05]), ("n2", "u", "ada l", [0.97, 0.2])], "id string, user_id string, name string, vector array<double>")
+    edges = spark.createDataFrame([], "user_id string, src string, rel string, dst string")
+    new = spark.createDataFrame([("u", "Ada", "Knows", "Bob", [1.0, 0.0], [0.0, 1.0])], "user_id string, source string, rel string, destination string, source_vector array<double>, destination_vector array<double>")
+    n, e = GM.merge_relations(nodes, edges, new)
+    assert n.count() == 63 and [r.src for r in e.collect()] == ["n1"]
