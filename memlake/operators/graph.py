@@ -6,7 +6,9 @@ Nodes have ``id``; edges have ``src``, ``dst`` and, where it matters,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memlake.functions.ids import node_id
 from memlake.functions.text import node_key
@@ -317,18 +319,19 @@ def triplet_topk(edges: DataFrame, node_distance: DataFrame, edge_distance: Data
     return out.select("edge_id", "src", "rel", "dst", total.alias("total")).orderBy("total", "edge_id").limit(k)
 
 
-def best_first(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, rounds: int = 10) -> DataFrame:
+def best_first(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(id, cost)``: cheapest cost from the seeds at 1/weight an edge, through nodes that add a concept.
 
     ``seeds`` has ``(id, cost)`` and ``concepts`` has ``(id, concepts)``.  A
     node goes on the frontier only while its cost falls and it has concepts that
-    its predecessor on the way has not.
+    its predecessor on the way has not.  The walk ends when the frontier is
+    empty, or after ``rounds`` edges where a number is given.
     """
     c = concepts.select("id", "concepts")
     two = cut(both_ways(edges.select("src", "dst", "weight")).where("weight > 0").join(c.toDF("src", "cs"), "src", "left").join(c.toDF("dst", "cd"), "dst", "left").where(F.size(F.array_except(F.coalesce("cd", F.array()), F.coalesce("cs", F.array()))) > 0).select("src", "dst", (1 / F.col("weight")).alias("cost")))
     best = cut(seeds.groupBy("id").agg(F.min("cost").alias("cost")))
     front = best
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         new = front.join(two.withColumnRenamed("cost", "step"), front.id == two.src).groupBy("dst").agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
         new = new.select(F.col("dst").alias("id"), "cost")
         front = cut(new.join(best.withColumnRenamed("cost", "had"), "id", "left").where("had is null or cost < had").select("id", "cost"))
@@ -338,15 +341,14 @@ def best_first(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, rounds:
     return best
 
 
-def ontology_closure(links: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
-    """``(id, depth)``: everything reached from ``start`` over ``(src, dst)`` links, nearest first."""
-    spark: SparkSession = links.sparkSession
-    links.select("src", "dst").createOrReplaceTempView("__closure_links")
-    start.select("id").createOrReplaceTempView("__closure_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, depth) AS (
-            SELECT id, 0 FROM __closure_start
-            UNION ALL
-            SELECT l.dst, depth + 1 FROM walk JOIN __closure_links l ON l.src = walk.id WHERE depth < {depth}
-        )
-        SELECT id, min(depth) AS depth FROM walk GROUP BY id""")
+def ontology_closure(links: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(id, depth)``: everything reached from ``start`` over ``(src, dst)`` links, nearest first; to ``depth`` links where it is given."""
+    step = cut(links.select("src", "dst").distinct())
+    seen = front = cut(start.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
+        near = front.join(step, front.id == step.src).select(F.col("dst").alias("id")).where("id is not null").distinct()
+        front = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    return seen

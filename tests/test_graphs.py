@@ -154,3 +154,20 @@ def test_relations_meet_the_users_own_most_similar_node(spark):
     new = spark.createDataFrame([("u", "Ada", "Knows", "Bob", [1.0, 0.0], [0.0, 1.0])], "user_id string, source string, rel string, destination string, source_vector array<double>, destination_vector array<double>")
     n, e = GM.merge_relations(nodes, edges, new)
     assert n.count() == 63 and [r.src for r in e.collect()] == ["n1"]
+
+
+def test_walks_have_no_hop_limit(spark):
+    """A chain of 14 cheap edges beats one dear edge, and goes on beyond it."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 10.0) for i in range(14)] + [("n0", "n13", 0.2)], "src string, dst string, weight double")
+    c = spark.createDataFrame([(f"n{i}", [f"c{i}"]) for i in range(15)], "id string, concepts array<string>")
+    seeds = spark.createDataFrame([("n0", 0.0)], "id string, cost double")
+    got = {r.id: r.cost for r in G.best_first(e, seeds, c).collect()}
+    assert got == {f"n{i}": pytest.approx(i / 10) for i in range(15)}
+    assert G.best_first(e, seeds, c, 2).count() == 6
+
+
+def test_closure_has_no_depth_limit_and_takes_cycles(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(53)] + [(53, 0)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "id int")
+    assert {r.id: r.depth for r in G.ontology_closure(links, start).collect()} == {i: i for i in range(54)}
+    assert G.ontology_closure(links, start, 2).count() == 3
