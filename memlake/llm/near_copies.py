@@ -1,0 +1,250 @@
+"""Near-copy dedup by exact Jaccard similarity of word-shingle sets.
+
+All shingles are put in one order, seldom ones first.  Two sets of similarity
+``t`` share a shingle among the first ``n - ceil(t n) + 1`` of each, so sets that
+meet under none of these are not similar, and those that meet are verified: no
+pair is lost and none is linked below ``t``.  How often a shingle occurs is
+estimated from a sample; a wrong estimate costs time, not pairs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from memlake.llm.components import connected_components
+from memlake.llm.scratch import drop_path, scratch_path, written
+from memlake.llm.substring_dedup import Words, mix
+
+ROW = "__row"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SKETCHES = f"{ROW} long, id long, digest binary, prefix binary"
+#: Rows whose shingles are counted for the order, and the most shingles that it names.
+SAMPLE, NAMED = 20_000, 1 << 17
+#: Bytes of text whose words are hashed at once.
+SLICE = 4 << 20
+#: Members of a group that are compared with all later ones, round by round; the last round takes the rest.
+LEADERS = (1, 16, 128, None)
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles; fewer words than a shingle make one of the whole sequence."""
+    low = [t.lower() if t else b"" for t in texts]
+    ends = np.cumsum([len(t) for t in low])
+    a = 0
+    while a < len(low):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        w = Words(low[a:b])
+        whole = w.windows(shingle, shingle)
+        short = {n: w.windows(n, n) for n in range(1, shingle) if (w.count == n).any()}
+        for k, n in enumerate(w.count.tolist()):
+            i = w.first[k]
+            yield np.unique(whole[i : i + n - shingle + 1]) if n >= shingle else short[n][i : i + 1] if n else np.empty(0, np.uint64)
+        a = b
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def _frequent(rows: DataFrame, shingle: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that occur most in a sample, and how often."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(_texts(batch), shingle))
+            token, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times, pa.int64())], names=["token", "times"])
+
+    parts = max(1, n // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(ROW), F.lit(parts)) == 0).select("text").mapInArrow(count, "token long, times long")
+    top = some.groupBy("token").agg(F.sum("times").alias("times")).where("times > 2").orderBy(F.desc("times"), "token").limit(NAMED).toArrow()
+    token, times = top.column("token").to_numpy().view(np.uint64), top.column("times").to_numpy()
+    order = np.argsort(token)
+    return token[order], times[order]
+
+
+def _sketches(rows: DataFrame, shingle: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(__row, id, digest, prefix)``: of each row, a digest of its set and the shingles under which it meets others."""
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = sent.value
+        for batch in batches:
+            digests, prefixes = [], []
+            for s in shingle_sets(_texts(batch), shingle):
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keep = len(s) + (-t * len(s)).__floor__() + 1 if len(s) else 0
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")]
+                prefixes.append(s[:keep].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("id"), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=[ROW, "id", "digest", "prefix"])
+
+    return rows.select(ROW, "id", "text").mapInArrow(run, SKETCHES)
+
+
+def _groups(prefixes: DataFrame, n_buckets: int) -> DataFrame:
+    """``(members)``: the different groups of two rows or more that meet under a shingle, each in an order of its own."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [np.frombuffer(b, np.uint64) for b in batch.column("prefix").to_pylist()]
+            token = np.concatenate([np.empty(0, np.uint64), *given])
+            rows = np.stack([token, np.repeat(batch.column(ROW).to_numpy().view(np.uint64), [len(g) for g in given])], axis=1)
+            bucket = token % np.uint64(n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            rows, cut = rows[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            full = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "rows"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64).reshape(-1, 2)
+        rows = rows[np.lexsort((mix(rows[:, 1]), rows[:, 0]))]
+        at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+        members = np.ascontiguousarray(rows[:, 1])
+        return pa.table({"members": pa.array(sorted({members[at[k] : at[k + 1]].tobytes() for k in np.flatnonzero(np.diff(at) > 1)}), pa.binary())})
+
+    met = prefixes.mapInArrow(spread, "bucket long, rows binary").groupBy("bucket").applyInArrow(meet, "members binary")
+    return met.distinct().withColumn("gid", F.monotonically_increasing_id())
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """``(gid, pos, node)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [np.frombuffer(b, np.int64) for b in batch.column("members").to_pylist()]
+            n = [len(g) for g in given]
+            pos = np.concatenate([np.empty(0, np.int64), *map(np.arange, n)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("gid").to_numpy(), n)), pa.array(pos), pa.array(np.concatenate([np.empty(0, np.int64), *given]))], names=["gid", "pos", "node"])
+
+    return groups.select("gid", "members").mapInArrow(run, "gid long, pos long, node long")
+
+
+def _pairs(members: DataFrame, first: int, last: int | None) -> DataFrame:
+    """``(a, b)``: members ``first`` to ``last`` of each group with every later one that is in another component."""
+    a = members.where((F.col("pos") >= first) & (F.col("pos") < last if last else F.lit(True)))
+    a = a.select("gid", F.col("pos").alias("pos_a"), F.col("node").alias("node_a"), F.col("component").alias("component_a"))
+    met = a.join(members.where(F.col("pos") > first), "gid").where("pos > pos_a and component <> component_a")
+    return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+
+
+def odd_bits(s: np.ndarray) -> bytes:
+    """One bit or more a shingle: whether the number of shingles that fall on it is odd."""
+    m = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """At most the number of shingles that only one of the two sets has."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` whose odd bits and sizes leave a similarity of ``t`` possible."""
+    num, den = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_pylist() for c in ("odd_a", "odd_b", "n_a", "n_b"))
+            may = [den * min(p, q) >= num * max(p, q) and (den + num) * least_apart(x, y) <= (den - num) * (p + q) for x, y, p, q in zip(a, b, n, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    few = sets.select("node", "n", "odd")
+    return pairs.join(few.toDF("a", "n_a", "odd_a"), "a").join(few.toDF("b", "n_b", "odd_b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets' true similarity is ``t`` or more."""
+    num, den = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                fits = den * min(len(x), len(y)) >= num * max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if fits else 0
+                near.append(fits and den * both >= num * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    whole = sets.select("node", "set")
+    other = whole.toDF("b", "set_b").join(pairs.select("b").distinct(), "b", "left_semi")
+    return pairs.join(whole.toDF("a", "set_a"), "a").join(other, "b").mapInArrow(run, "a long, b long")
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, shingle: int, t: Fraction, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with numbered rows, and the numbers of those that go."""
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-rows")
+    texts = rows.select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    path = scratch_path(docs.sparkSession, "near-sketches")
+    _sketches(texts, shingle, t, _frequent(texts, shingle, rows.count())).write.parquet(path)
+    sketches = docs.sparkSession.read.schema(SKETCHES).parquet(path)
+    low = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
+    classes = written(sketches.groupBy("digest").agg(F.min(low).alias("low")).select("digest", F.col(f"low.{ROW}").alias("node"), "low"), "near-classes")
+    nodes = classes.select("node", "low")
+    same = written(sketches.select("digest", ROW).join(classes.select("digest", "node"), "digest").where(F.col(ROW) != F.col("node")).select(ROW), "near-same")
+    size = sketches.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]
+    prefixes = sketches.select(ROW, "prefix").join(same, ROW, "left_anti")
+    groups = written(_groups(prefixes, max(64, 2 * size // bucket_bytes)), "near-groups")
+    drop_path(docs.sparkSession, path)
+    members = written(_members(groups), "near-members")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(_texts(batch), shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(map(len, sets), pa.int64()), pa.array(map(odd_bits, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "odd", "set"])
+
+    met = written(members.select(F.col("node").alias(ROW)).distinct(), "near-met")
+    sets = written(texts.select(ROW, "text").join(met, ROW, "left_semi").mapInArrow(shingled, "node long, n long, odd binary, set binary"), "near-sets")
+    links, first, comp = None, 0, None
+    for last in LEADERS:
+        left = members.join(members.where(F.col("pos") > first).select("gid").distinct(), "gid", "left_semi")
+        if left.isEmpty():
+            break
+        left = left.withColumn("component", F.col("node")) if comp is None else left.join(comp.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("gid", "pos", "node", F.coalesce("component", "node").alias("component"))
+        possible = written(_possible(written(_pairs(left, first, last), "near-pairs"), sets, t), "near-possible")
+        found = written(_similar(possible, sets, t), "near-links")
+        links = found if links is None else links.unionByName(found)
+        comp, first = written(connected_components(links), "near-components"), last
+    named = nodes.select("node", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    named = written(named, "near-named")
+    stays = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col(f"low.{ROW}").alias("node"))
+    goes = written(same.unionByName(named.join(stays, "node", "left_anti").select(F.col("node").alias(ROW))), "near-goes")
+    return rows, goes
+
+
+def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """One row of ``docs``, with all columns, of each group of near copies.
+
+    Two rows are linked where the Jaccard similarity of their sets of ``shingle``
+    words is ``similarity`` or more; a group is what links reach.  Words are
+    ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words than a shingle make one
+    of the whole sequence, and texts without words (null, empty) are copies of
+    each other.  The row with the smallest id stays; a null id counts as larger
+    than any other, and of rows that share an id one stays.
+
+    Rows of equal sets are one node.  In a group that meets under a shingle, the
+    first few are compared with all others; members of one component are not
+    compared again, so only a large group of texts that are not similar but hold
+    almost nothing but common shingles costs its square.
+    """
+    conf = docs.sparkSession.conf
+    had = conf.get(BATCH, None)
+    conf.set(BATCH, "1000")  # sets of long texts are large
+    try:
+        rows, goes = _split(docs, id_col, text_col, shingle, Fraction(str(similarity)), bucket_bytes)
+    finally:
+        conf.set(BATCH, had) if had is not None else conf.unset(BATCH)
+    return rows.join(goes, ROW, "left_anti").drop(ROW)
