@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.scratch import written
+from memlake.llm.scratch import discard, written
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(_lowest(both).select("u", F.least("u", "m").alias("m")), "large-star")
         large = written(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-links")
+        discard(low, pairs)
         low = written(_lowest(large), "small-star")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(low, large)
         # Stars whose centres link to nothing smaller are final: then neither step changes a link.
         if after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and _one_parent(after):
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

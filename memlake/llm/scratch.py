@@ -28,7 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.__dict__["_scratch"])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -43,11 +51,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Names of the sub-folders of ``path``; none if it does not exist."""
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of the files in ``path`` that do not start with a dot; none if it does not exist."""
     if not path_exists(spark, path):
         return []
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return sorted(n for s in fs.listStatus(p) if s.isFile() and not (n := s.getPath().getName()).startswith("."))
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file whole or not at all; False if it is there already."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    fs.mkdirs(target.getParent())
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(part)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.exists(target) and fs.rename(part, target):
+        return True
+    fs.delete(part, False)
+    return False
