@@ -12,9 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.scratch import written
-
-NULL_IDS = 1 << 62
+from memlake.llm.scratch import discard, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_width: int = 32, growth: int = 8) -> DataFrame:
@@ -23,32 +21,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]``
     becomes one space.  A null text counts as empty.  The smallest id of a group
     stays; a null id counts as larger than any other, and stays (as null) only
-    where a group has no other.  Rows that repeat both id and text fall into one
-    group; each row bearing the kept id is marked ``kept``.  An empty table
-    gives an empty result.  Other columns are ignored.
-
-    A group's key is counted with map-side combine, and the counts are joined
-    back from a written table by a merge join at every size, so adaptive
+    where a group has no other.  Each row that bears the kept id is marked
+    ``kept``, so rows that repeat both id and text all are; an id may stand for
+    several texts, which are groups of their own.  An empty table gives an empty
+    result.  Other columns are ignored.
+
+    A group is named by its row in the written table of its level's groups, so
+    no two groups share a name.  Its key is counted with map-side combine, and
+    the counts are joined back by a merge join at every size, so adaptive
     execution can split a hot group.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_IDS) + F.monotonically_increasing_id()).alias("id"),
-        norm.alias("norm"),
-    ).select("id", F.lit(0).cast("long").alias("gid"), F.sha2("norm", 256).alias("sha"), F.encode("norm", "UTF-8").alias("rest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"))
+    rows = rows.select("id", F.lit(0).cast("long").alias("gid"), F.sha2("norm", 256).alias("sha"), F.encode("norm", "UTF-8").alias("rest"))
 
     done, width = [], first_width
     while True:
         keyed = rows.select("id", "gid", "sha", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        groups = keyed.groupBy("gid", "digit", "ended").agg(F.count("*").alias("n"), F.min("id").alias("next")).where("n > 1")
-        groups = written(groups, "radix-groups").select(*(F.col(c).alias(f"g_{c}") for c in ("gid", "digit", "ended", "n", "next")))
+        groups = keyed.groupBy("gid", "digit", "ended").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+        table = written(groups.withColumn("name", F.monotonically_increasing_id()), "radix-groups")
+        groups = table.select(*(F.col(c).alias(f"g_{c}") for c in ("gid", "digit", "ended", "n", "low", "name")))
         split = keyed.join(groups.hint("merge"), (keyed.gid == groups.g_gid) & (keyed.digit == groups.g_digit) & (keyed.ended == groups.g_ended), "left")
-        over = F.col("ended") | F.col("g_n").isNull()
+        alone = F.col("g_n").isNull()
+        over = F.col("ended") | alone
         level = written(
-            split.select("id", "sha", F.coalesce("g_next", "id").alias("gid"), F.coalesce("g_n", F.lit(1)).alias("n"), over.alias("done"), F.when(~over, F.col("rest")).alias("rest")),
+            split.select("id", "sha", F.col("g_name").alias("gid"), F.when(alone, F.col("id")).otherwise(F.col("g_low")).alias("low"), F.coalesce("g_n", F.lit(1)).alias("n"), over.alias("done"), F.when(~over, F.col("rest")).alias("rest")),
             "radix-level",
         )
-        done.append(level.where("done").select("id", "gid", "n", "sha"))
+        discard(table)
+        done.append(level.where("done").select("id", "low", "n", "sha"))
         rows, width = level.where("not done").select("id", "gid", "sha", "rest"), width * growth
         if rows.isEmpty():
             break
@@ -56,5 +57,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = done[0]
     for level in done[1:]:
         out = out.unionByName(level)
-    real = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
-    return out.select(real("id").alias(id_col), real("gid").alias("keep_id"), F.col("n").alias("group_size"), (F.col("id") == F.col("gid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), F.col("low").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("low")).alias("kept"), F.col("sha").alias("text_sha256"))
