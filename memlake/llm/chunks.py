@@ -1,7 +1,7 @@
 """Chunks of documents that ask buckets of hashes, and get one bit an entry back.
 
-Documents are dealt into chunks by a hash of their id, each of a bounded number
-of bytes.  A chunk sends every bucket of the hash space one sorted run of its
+Documents are dealt into chunks by a hash of their id and text, each of a bounded
+number of bytes.  A chunk sends every bucket of the hash space one sorted run of its
 distinct hashes; the bucket sees the runs of all chunks and answers each with
 bits in the run's order.  A text that a third of all rows share is one entry of
 each chunk's run, so no bucket, task or row grows with a group of copies, and
@@ -33,10 +33,14 @@ def counts_for(total_bytes: int, chunk_bytes: int = 4 << 20, bucket_bytes: int =
 
 
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, text, __carry, __chunk)``, dealt by chunk; ``carry`` names columns that go along."""
+    """``(id, text, __carry, __chunk)``, dealt by chunk; ``carry`` names columns that go along.
+
+    Rows without an id are dealt by their number too, so many equal ones do not fall into one chunk.
+    """
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // 16))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias(CARRY)] if carry else []))
-    return rows.withColumn(CHUNK, F.pmod(F.xxhash64("id", F.lit(4)), F.lit(n_chunks))).repartition(n_parts, CHUNK)
+    number = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    return rows.withColumn(CHUNK, F.pmod(F.xxhash64("id", "text", number, F.lit(4)), F.lit(n_chunks))).repartition(n_parts, CHUNK)
 
 
 def ids_and_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:

@@ -4,7 +4,8 @@ The residues {0, 1, 3} modulo 7 are a difference cover: for any two positions
 some shift below 7 brings both to covered residues.  So only windows of seven
 words at covered positions are hashed as anchors, and any match of 13 words
 holds an anchor that both documents have.  Shared anchors are then extended:
-the 13-word windows that hold one are compared by 128-bit hashes of their words.
+the 13-word windows that hold one are compared by two independent 64-bit hashes
+of their words' bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.chunks import CHUNK, RUNS_DDL, answered, counts_for, cut_runs, flags_of, ids_and_texts, in_chunks, text_bytes
@@ -27,8 +29,9 @@ ANCHOR = WINDOW - PERIOD + 1
 WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("low", "<i8")])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+#: Longest word whose bytes are hashed by table.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,18 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(half: int) -> np.ndarray:
+    """A random 64-bit number for each place in a word and byte there."""
     with np.errstate(over="ignore"):
-        base = np.full(n, _BASE, np.uint64)
-        inverse = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        base[0] = inverse[0] = 1
-        return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+        return mix(mix(np.arange(1, SHORT * 256 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) + _U(0xA0761D6478BD642F * (half + 1) % (1 << 64)))
+
+
+_TABLES = (_tables(0), _tables(1))
 
 
 class Words:
-    """The words of a chunk's texts: hashes, documents, places in the document."""
+    """The words of a chunk's texts: documents, places in the document, and hashes.
+
+    A word of up to ``SHORT`` bytes is hashed by tabulation: the sum of a random
+    number for each of its bytes at its place, mixed.  Longer words are hashed by
+    XXH3.  Both halves have tables and seeds of their own.
+    """
 
-    def __init__(self, texts: list[bytes], piece: int = 1 << 18):
+    def __init__(self, texts: list[bytes]):
         self.texts = texts
         data = b" ".join(texts)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -65,36 +74,37 @@ class Words:
         self.first = first
         self.place = np.arange(len(self.start)) - first[self.doc]
         self.left = self.count[self.doc] - self.place  # words from here to the document's end
-        self.hash = self._hashes(piece)
-
-    def _hashes(self, piece: int) -> np.ndarray:
-        """A polynomial hash of each word's bytes, from prefix sums over pieces cut between words."""
-        out = np.empty(len(self.start), np.uint64)
-        a = 0
-        with np.errstate(over="ignore"):
-            power, inverse = _powers(piece + 1)
-            while a < len(self.start):
-                lo = self.start[a]
-                b = max(a + 1, int(np.searchsorted(self.end, lo + piece, side="right")))
-                part = self.data[lo : self.end[b - 1]].astype(np.uint64) + _U(1)
-                if len(part) > piece:  # one very long word
-                    p, q = _powers(len(part) + 1)
-                else:
-                    p, q = power, inverse
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * p[: len(part)], dtype=np.uint64)])
-                s, e = self.start[a:b] - lo, self.end[a:b] - lo
-                out[a:b] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        self._halves: dict[int, np.ndarray] = {}
+
+    def hashes(self, half: int, piece: int = 1 << 19) -> np.ndarray:
+        """One 64-bit hash a word; computed once."""
+        if half not in self._halves:
+            out = np.empty(len(self.start), np.uint64)
+            size = self.end - self.start
+            a = 0
+            while a < len(out):
+                b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + piece, side="right")))
+                at = np.concatenate([[0], np.cumsum(np.minimum(size[a:b], SHORT))])
+                place = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+                byte = self.data[np.repeat(self.start[a:b], np.diff(at)) + place]
+                out[a:b] = np.add.reduceat(_TABLES[half][place * 256 + byte], at[:-1])
                 a = b
-        return out
+            with np.errstate(over="ignore"):
+                out = mix(out + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+            for k in np.flatnonzero(size > SHORT).tolist():
+                out[k] = xxhash.xxh3_64_intdigest(self.data[self.start[k] : self.end[k]].tobytes(), half + 1)
+            self._halves[half] = out
+        return self._halves[half]
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         return mix(a * _U(0xC2B2AE3D27D4EB4F) + ((b << _U(23)) | (b >> _U(41))) + _U(salt))
 
-    def windows(self, n: int, salt: int) -> np.ndarray:
+    def windows(self, n: int, salt: int, half: int = 0) -> np.ndarray:
         """Hashes of the ``n`` words from each place on; only those within the document mean anything."""
+        word = self.hashes(half)
         with np.errstate(over="ignore"):
-            h, size = self._pair(self.hash, self.hash, salt), 1
+            h, size = self._pair(word, word, salt), 1
             while size < n:
                 step = min(size, n - size)
                 ahead = np.concatenate([h[step:], np.zeros(min(step, len(h)), np.uint64)])[: len(h)]
@@ -117,7 +127,7 @@ def shared_windows(w: Words, at: np.ndarray, hashes: np.ndarray, shared: np.ndar
     q = q[upto[np.minimum(q + PERIOD, len(w.start))] > upto[q]]
     if not len(q):
         return q, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return q, w.windows(WINDOW, 101)[q], w.windows(WINDOW, 211)[q]
+    return q, w.windows(WINDOW, 101)[q], w.windows(WINDOW, 211, half=1)[q]
 
 
 def window_run(ids: np.ndarray, w: Words, q: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
