@@ -1,9 +1,10 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A bucket of the hash space keeps its line hashes in sorted runs on levels.  Each
-batch (a chunk's run) is merged against the runs to tell its known lines from
-its new ones, and is then added as a run of its own; whenever a level holds
-``fanout`` runs, they are compacted into one of the next level.
+batch (a chunk's run) is merge-anti-joined with the runs: lines that they hold
+are counted where they stand, and its new lines are added as a run of its own.
+Whenever a level holds ``fanout`` runs, they are compacted into one of the next
+level.  A line is in one run only, so counts need no second look.
 """
 
 from __future__ import annotations
@@ -19,32 +20,53 @@ from memlake.llm.chunks import CARRY, CHUNK, RUNS_DDL, answered, counts_for, cut
 
 #: Two halves of a line's 128-bit hash, the documents that hold it, the largest of their ids.
 LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("docs", "<u4"), ("top", "<i8")])
+#: A line of a run, and the place of its counts.
+ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("slot", "<i8")])
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def merged(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of all: documents added up, the largest id kept."""
-    rows = np.concatenate(runs)
-    rows = rows[np.lexsort((rows["h2"], rows["h1"]))]
-    if not len(rows):
-        return rows
-    new = np.concatenate([[True], (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])])
-    at = np.flatnonzero(new)
-    out = rows[at].copy()
-    out["docs"] = np.add.reduceat(rows["docs"], at)
-    out["top"] = np.maximum.reduceat(rows["top"], at)
-    return out
-
-
 class LevelledRuns:
-    """Sorted runs by level, the youngest last."""
+    """Sorted runs by level, the youngest last; no two runs hold the same line."""
 
     def __init__(self, fanout: int = 8):
         self.fanout = fanout
         self.levels: list[list[np.ndarray]] = [[]]
+        self.size = 0
+        self.docs = np.zeros(1024, np.int64)
+        self.top = np.zeros(1024, np.int64)
+
+    def slots(self, batch: np.ndarray) -> np.ndarray:
+        """Where each line of a sorted batch is counted; -1 for lines that no run holds."""
+        out = np.full(len(batch), -1, np.int64)
+        for run in (r for level in self.levels for r in level):
+            known, at = match(batch, run)
+            out[known] = run["slot"][at]
+        return out
 
-    def add(self, run: np.ndarray) -> None:
-        """Adds a batch's own run; full levels are compacted into the next."""
+    def anti_join(self, batch: np.ndarray) -> np.ndarray:
+        """The lines of a sorted batch that no run holds."""
+        return batch[self.slots(batch) < 0]
+
+    def add(self, batch: np.ndarray) -> np.ndarray:
+        """Counts a sorted batch and adds its new lines as a run; returns where its lines are counted."""
+        slot = self.slots(batch)
+        new = np.flatnonzero(slot < 0)
+        slot[new] = np.arange(self.size, self.size + len(new))
+        self.size += len(new)
+        if self.size > len(self.docs):
+            more = np.zeros(max(self.size, 2 * len(self.docs)) - len(self.docs), np.int64)
+            self.docs, self.top = np.concatenate([self.docs, more]), np.concatenate([self.top, more])
+        self.top[slot[new]] = batch["top"][new]
+        self.docs[slot] += batch["docs"]
+        self.top[slot] = np.maximum(self.top[slot], batch["top"])
+        run = np.empty(len(new), ENTRY)
+        run["h1"], run["h2"], run["slot"] = batch["h1"][new], batch["h2"][new], slot[new]
+        self._push(run)
+        return slot
+
+    def _push(self, run: np.ndarray) -> None:
+        if not len(run):
+            return
         self.levels[0].append(run)
         for k in range(len(self.levels)):
             if len(self.levels[k]) < self.fanout:
@@ -55,22 +77,22 @@ class LevelledRuns:
             self.levels[k] = []
 
     def compact(self) -> np.ndarray:
-        """All runs as one."""
+        """All lines with their counts, as one sorted run."""
         runs = [r for level in self.levels for r in level]
-        return merged(runs) if runs else np.empty(0, LINE)
+        rows = merged(runs) if runs else np.empty(0, ENTRY)
+        out = np.empty(len(rows), LINE)
+        out["h1"], out["h2"], out["docs"], out["top"] = rows["h1"], rows["h2"], self.docs[rows["slot"]], self.top[rows["slot"]]
+        return out
 
-    def lookup(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and largest id that the runs hold for each line of a sorted batch; 0 and the least id for new lines."""
-        docs, top = np.zeros(len(batch), np.int64), np.full(len(batch), np.iinfo(np.int64).min)
-        for run in (r for level in self.levels for r in level):
-            known, at = match(batch, run)
-            docs[known] += run["docs"][at]
-            top[known] = np.maximum(top[known], run["top"][at])
-        return docs, top
 
-    def anti_join(self, batch: np.ndarray) -> np.ndarray:
-        """The lines of a sorted batch that no run holds."""
-        return batch[self.lookup(batch)[0] == 0]
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """One sorted run of runs that share no line."""
+    rows = np.concatenate(runs)
+    order = np.argsort(rows["h1"], kind="stable")
+    h1 = rows["h1"][order]
+    if (h1[1:] == h1[:-1]).any():
+        order = np.lexsort((rows["h2"], rows["h1"]))
+    return rows[order]
 
 
 def match(batch: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +176,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def answer(runs: list[np.ndarray]) -> list[np.ndarray]:
         store = LevelledRuns(fanout)
-        for run in runs:
-            store.add(run)
-        store.levels = [[store.compact()]]
+        slots = [store.add(run) for run in runs]
         said = []
-        for run in runs:
-            n, top = store.lookup(run)
-            said.append(np.stack([n >= min_docs, (n >= min_docs) & (top == run["top"])], axis=1).astype(np.uint8))
+        for run, slot in zip(runs, slots, strict=True):
+            common = store.docs[slot] >= min_docs
+            said.append(np.stack([common, common & (store.top[slot] == run["top"])], axis=1).astype(np.uint8))
         return said
 
     answers = answered(chunks.select("id", "text", CHUNK).groupBy(CHUNK).applyInArrow(send, RUNS_DDL), answer, LINE)
