@@ -2,12 +2,15 @@
 
 Every glob rule is laid out in the bits of a multiword Shift-And mask; one pass
 over the bytes of a canonical URL moves all rules at once, and a batch moves all
-its URLs at once.  ``*`` stands for any run of bytes without ``/``; a trailing
-``**`` for any rest.
+its URLs at once.  In a rule's host and path ``*`` stands for any run of bytes
+without ``/``, also an empty one, and ``**`` in a path for any run of bytes at
+all; ``\\*`` is the byte itself.  A rule fits as soon as its last byte is met, so
+a wildcard at its end changes nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows whose masks are in memory at once.
-BATCH = 4096
+#: URLs, and mask words of all of them, that are in memory at once.
+BATCH, BATCH_WORDS = 4096, 1 << 20
+_TOKEN = re.compile(rb"\\\*|\*+|.", re.DOTALL)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Fits its host and all subdomains where the path starts with ``path``."""
+    """Fits its host and all subdomains where the path starts with ``path``; both may hold wildcards."""
 
     host: str
     path: str
@@ -36,29 +40,34 @@ class ShiftAnd:
     """All rules as one automaton over ``.host/path`` byte strings."""
 
     def __init__(self, rules: list[Rule]):
-        # Each rule is "*" + "." + host + path: a looping start state, then one state a byte.
+        # Each rule is a looping start state, then one state a byte of "." + host + path; a
+        # wildcard lets the state before it loop.
         self.rules = rules
-        globs = [b"." + r.host.encode() + r.path.encode() for r in rules]
-        n = sum(len(g) + 1 for g in globs)
+        parts = [(_TOKEN.findall(b"." + r.host.encode()), _TOKEN.findall(r.path.encode())) for r in rules]
+        n = sum(1 + sum(t[0] != 0x2A for t in host + path) for host, path in parts)
         self.words = max(1, -(-n // 64))
         self.step = np.zeros((256, self.words), np.uint64)  # states that a byte may enter
-        self.loop = np.zeros((256, self.words), np.uint64)  # states that a byte may stay in
+        self.loop = np.zeros((2, self.words), np.uint64)  # states that any byte but "/", or "/", may stay in
         self.start = np.zeros(self.words, np.uint64)
         self.last = np.zeros(self.words, np.uint64)
         self.last_of: list[tuple[int, np.uint64]] = []
         at = 0
-        for g in globs:
+        for host, path in parts:
             self._set(self.start, at)
-            for c in range(256):
-                if c != 0x2F:
-                    self._set(self.loop[c], at)
-            for k, c in enumerate(g, 1):
-                self._set(self.step[c], at + k)
-            at += len(g) + 1
-            self._set(self.last, at - 1)
-            self.last_of.append(((at - 1) // 64, np.uint64(1) << np.uint64((at - 1) % 64)))
-        for c in range(256):
-            self.loop[c] |= self.last  # once fitted, a rule stays fitted
+            self._set(self.loop[0], at)
+            for k, token in enumerate(host + path):
+                if token[0] == 0x2A:
+                    self._set(self.loop[0], at)
+                    if len(token) > 1 and k >= len(host):
+                        self._set(self.loop[1], at)
+                else:
+                    at += 1
+                    self._set(self.step[token[-1]], at)
+            self._set(self.last, at)
+            self.last_of.append((at // 64, np.uint64(1) << np.uint64(at % 64)))
+            at += 1
+        self.loop |= self.last  # once fitted, a rule stays fitted
+        self.batch = max(16, min(BATCH, BATCH_WORDS // self.words))
 
     @staticmethod
     def _set(mask: np.ndarray, bit: int) -> None:
@@ -75,7 +84,7 @@ class ShiftAnd:
             c, s = data[begin[live] + t], state[live]
             shifted = s << np.uint64(1)
             shifted[:, 1:] |= s[:, :-1] >> np.uint64(63)
-            s = (shifted & self.step[c]) | (s & self.loop[c])
+            s = (shifted & self.step[c]) | (s & self.loop[(c == 0x2F).astype(np.int8)])
             state[live] = s
             t += 1
             moving = (s & ~self.last).any(axis=1)  # else no rule can change any more
@@ -105,17 +114,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     where none fits, ``rule`` is null and ``verdict`` is ``default``.  Null urls
     and urls without ``://`` have empty host and path, and so fit no rule.
     Repeated rows are judged one by one; an empty table gives an empty result;
-    other columns are ignored.
+    other columns are ignored.  The masks grow with the rules' bytes and are made
+    once; a batch holds fewer URLs the wider they are.
     """
     host, path = url_parts(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    held = pages.sparkSession.sparkContext.broadcast(ShiftAnd(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ShiftAnd(rules)
+        automaton = held.value
         names, verdicts = [*(r.name for r in rules), None], [*(r.verdict for r in rules), default]
         for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
+            for k in range(0, whole.num_rows, automaton.batch):
+                b = whole.slice(k, automaton.batch)
                 urls = [b"." + h + p for h, p in zip(b.column("host").cast(pa.binary()).to_pylist(), b.column("path").cast(pa.binary()).to_pylist(), strict=True)]
                 best = automaton.run(urls)
                 yield pa.RecordBatch.from_arrays(
