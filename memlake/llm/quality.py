@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.scratch import written
+from memlake.llm.scratch import discard, written
 
 _GROUPS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!", b"|", b"#$%&*+=<>^~@_\\/{}[]`", b"\n", b"-:;?'\"()", bytes(range(128, 256)))
 _MEMBER = np.array([[float(c in g) for g in _GROUPS] for c in range(256)])
@@ -102,10 +102,28 @@ def held_out(id_col: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that ``classify_quality`` predicts 1 for, with all their columns, row by row."""
-    stats = written(statistics_table(docs, id_col, text_col), "quality-statistics")
-    model = fit(stats, labels.where(~held_out(id_col)), id_col, label_col, shrinkage)
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Documents and labels to learn from: all that are labelled, or, beyond ``most``, about as many of them by a hash of their id.
+
+    At most ``most`` ids are sent to all executors, so texts need not be shuffled for them.
+    """
+    y = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias(id_col), label_col)
+    parts = max(1, -(-y.count() // most))
+    y = y.where(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(parts)) == 0)
+    return docs.join(F.broadcast(y.select(id_col).distinct()), id_col, "left_semi"), y
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that ``classify_quality`` predicts 1 for, with all their columns, row by row.
+
+    Learns from at most about ``most`` labelled documents.  Null and empty texts
+    are judged by their score like any other, repeated rows alike; an empty table
+    gives an empty result.
+    """
+    known, y = examples(docs.select(id_col, text_col), labels, id_col, label_col, most)
+    stats = written(statistics_table(known, id_col, text_col), "quality-statistics")
+    model = fit(stats, y, id_col, label_col, shrinkage)
+    discard(stats)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
