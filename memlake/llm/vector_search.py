@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from memlake.llm.scratch import written
+from memlake.llm.scratch import discard, written
 
-FOUND = np.dtype([("cls", "S16"), ("score", "<f8")])
+#: A class of equal vectors (named by their digest), its smallest id, and its exact score.
+FOUND = np.dtype([("cls", "S16"), ("low", "<i8"), ("score", "<f8")])
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,26 +80,44 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _ranked(found: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` best classes of ``found``, each once, best first, ties by name."""
-    order = np.lexsort((found["cls"], -found["score"]))
+    """The ``k`` best classes of ``found``, each once, best first, ties by their smallest id."""
+    order = np.lexsort((found["cls"], found["low"], -found["score"]))
     found = found[order]
     _, first = np.unique(found["cls"], return_index=True)
     return found[np.sort(first)][:k]
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 12, dims: int = 8, bits: int = 4, window: float = 0.12, least: int = 128, rows_per_block: int = 20_000, seed: int = 5) -> DataFrame:
+def _best(q: np.ndarray, x: np.ndarray, names: np.ndarray, low: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each of ``q`` the ``k`` best of ``x``, whose exact scores sum the components' products in their order.
+
+    Fast products leave what may be among the best, ties included; exact scores decide.
+    """
+    fast = q @ x.T
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    last = np.partition(fast, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else fast.min(axis=1)
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(~(fast[i] < last[i] - slack[i]))
+        found = np.empty(len(at), FOUND)
+        found["cls"], found["low"], found["score"] = names[at], low[at], np.cumsum(q[i] * x[at], axis=1)[:, -1]
+        out.append(found[np.lexsort((found["cls"], found["low"], -found["score"]))[:k]])
+    return out
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 24, dims: int = 6, bits: int = 4, window: float = 0.0375, least: int = 128, rows_per_block: int = 20_000, seed: int = 5) -> DataFrame:
     """The ``k`` nearest found of each query: ``query_id``, ``rank``, id, ``score``.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows but the query's own.  Nearness is the inner product in double
     precision, ties to the smaller id.  On each of ``curves`` curves a query
     looks at a share ``window`` of all vectors around its place, and at
-    ``least`` of them.  Vectors that are null, zero, of another length than most,
+    ``least`` of them, so all curves together look at ``curves * window`` times
+    the vectors, repeats included.  Vectors that are null, zero, of another length than most,
     or hold null or non-finite components take no part, and neither do null ids;
-    equal vectors are indexed once, and stand for their ``k + 1`` smallest ids,
-    which no result of ``k`` can exceed.  Rows that repeat the query's id count as
-    its own.  An empty table gives an empty result; other columns are
-    ignored.
+    equal vectors are indexed once, and stand for their ``k + 1`` smallest
+    different ids, which no result of ``k`` can exceed.  Repeated rows are
+    one row, and other rows of a query's id count as its own.  An empty table gives an empty result; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
@@ -110,17 +129,20 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         return spark.createDataFrame([], ddl)
     d = width["d"]
     rows = rows.where(F.size("v") == d)
+    # Components that are floats travel as floats.
+    kind = "float" if getattr(vectors.schema[vector_col].dataType, "elementType", None) == T.FloatType() else "double"
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _vectors(b.column("v"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([hashlib.md5(r.tobytes()).digest() for r in x], pa.binary()), b.column("v")], names=["id", "cls", "v"])
 
-    rows = written(rows.mapInArrow(named, "id long, cls binary, v array<double>"), "vectors")
-    # The window's limit is applied before the shuffle too, so equal vectors shrink to k + 1 rows a task.
-    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(f"nth <= {k + 1}")
+    rows = written(rows.mapInArrow(named, "id long, cls binary, v array<double>").withColumn("v", F.col("v").cast(f"array<{kind}>")), "vectors")
+    # Repeated rows become one; the window's limit is applied before its shuffle too.
+    one = rows.groupBy("cls", "id").agg(F.first("v").alias("v"))
+    first = one.withColumn("nth", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(f"nth <= {k + 1}")
     classes = written(first.groupBy("cls").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "vector-classes")
-    queries = written(rows.where(F.col("id") % every == 0).select("id", "cls"), "vector-queries")
+    queries = written(rows.where(F.col("id") % every == 0).select("id", "cls").distinct(), "vector-queries")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = 0, np.zeros(d), np.zeros((d, d))
@@ -140,15 +162,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         for b in batches:
             keys = plan.keys(_vectors(b.column("v")))
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, curves, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("v"), lists], names=["cls", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("low"), b.column("v"), lists], names=["cls", "low", "v", "keys"])
 
-    at = written(classes.select("cls", "v").mapInArrow(placed, "cls binary, v array<double>, keys array<long>"), "vector-places")
+    at = written(classes.select("cls", F.col("ids")[0].alias("low"), "v").mapInArrow(placed, f"cls binary, low long, v array<{kind}>, keys array<long>"), "vector-places")
 
-    # Blocks are equal ranges of each curve; a query visits its own and enough on both sides.
-    blocks = max(1, min(n // max(1, least // 4), max(64, n // rows_per_block)))
-    reach = min(blocks, math.ceil(max(window * n, 2 * least) * blocks / n / 2))
+    # Blocks are equal ranges of each curve; a query visits its own and as many on both sides as its
+    # window needs, at an end of the curve more on one side.
+    looked = min(n, max(math.ceil(window * n), least))
+    blocks = max(1, 3 * n // looked, -(-n // rows_per_block))
+    reach = max(1, math.ceil((looked * blocks / n - 1) / 2))
+    visits = min(blocks, 2 * reach + 1)
     share = [i / blocks for i in range(1, blocks)]
-    cuts = at.agg(*(F.percentile_approx(F.col("keys")[c], share, 100 * blocks).alias(f"c{c}") for c in range(curves))).first() if blocks > 1 else None
+    cuts = at.agg(*(F.percentile_approx(F.col("keys")[c], share, max(10_000, 10 * blocks)).alias(f"c{c}") for c in range(curves))).first() if blocks > 1 else None
     edges = [np.array(cuts[c] if cuts else [], np.int64) for c in range(curves)]
     asked = at.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", F.lit(True).alias("asks"))
     sent = at.join(asked, "cls", "left")
@@ -159,44 +184,39 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             asks = np.flatnonzero(b.column("asks").fill_null(False).to_numpy(zero_copy_only=False))
             for c in range(curves):
                 block = np.searchsorted(edges[c], keys[:, c], side="right")
-                who, to, role = [np.arange(len(block))], [block], [np.zeros(len(block), np.int8)]
-                for step in range(-reach, reach + 1):
-                    goes = asks[(block[asks] + step >= 0) & (block[asks] + step < blocks)]
-                    who.append(goes)
-                    to.append(block[goes] + step)
-                    role.append(np.ones(len(goes), np.int8))
-                who, to, role = np.concatenate(who), np.concatenate(to), np.concatenate(role)
+                first = np.clip(block[asks] - reach, 0, blocks - visits)
+                who = np.concatenate([np.arange(len(block)), np.tile(asks, visits)])
+                to = np.concatenate([block, *(first + step for step in range(visits))])
+                role = np.concatenate([np.zeros(len(block), np.int8), np.ones(len(asks) * visits, np.int8)])
                 for a in range(0, len(who), 1 << 14):
                     take = pa.array(who[a : a + (1 << 14)])
-                    yield pa.RecordBatch.from_arrays([pa.array(c * blocks + to[a : a + (1 << 14)], pa.int64()), pa.array(role[a : a + (1 << 14)]), b.column("cls").take(take), b.column("v").take(take)], names=["block", "role", "cls", "v"])
+                    cols = [pa.array(c * blocks + to[a : a + (1 << 14)], pa.int64()), pa.array(role[a : a + (1 << 14)]), *(b.column(name).take(take) for name in ("cls", "low", "v"))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["block", "role", "cls", "low", "v"])
 
     def visit(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
-        names = np.array(table.column("cls").to_pylist(), "S16")
+        names, low = np.array(table.column("cls").to_pylist(), "S16"), table.column("low").to_numpy()
         x = _vectors(table.column("v").combine_chunks())
         there, asking = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         out = []
         for a in range(0, len(asking) if len(there) else 0, 512):
             q = asking[a : a + 512]
-            score = x[q] @ x[there].T
-            best = np.argpartition(-score, min(k, len(there) - 1), axis=1)[:, : k + 1]
-            for i, one in enumerate(q):
-                found = np.empty(best.shape[1], FOUND)
-                found["cls"], found["score"] = names[there[best[i]]], score[i, best[i]]
-                out.append((names[one], found.tobytes()))
-        return pa.table({"cls": pa.array([n.ljust(16, b"\0") for n, _ in out], pa.binary()), "found": pa.array([f for _, f in out], pa.binary())})
+            out += [f.tobytes() for f in _best(x[q], x[there], names[there], low[there], k + 1)]
+        asked = [n.ljust(16, b"\0") for n in names[asking[: len(out)]]]
+        return pa.table({"cls": pa.array(asked, pa.binary()), "found": pa.array(out, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         found = np.concatenate([np.frombuffer(f, FOUND) for f in table.column("found").to_pylist()])
         best = _ranked(found, k + 1)
         return pa.table({"cls": pa.array([table.column("cls")[0].as_py()] * len(best), pa.binary()), "hit": pa.array([n.ljust(16, b"\0") for n in best["cls"]], pa.binary())})
 
-    hits = sent.mapInArrow(dealt, "block long, role byte, cls binary, v array<double>").groupBy("block").applyInArrow(visit, "cls binary, found binary")
+    hits = sent.mapInArrow(dealt, f"block long, role byte, cls binary, low long, v array<{kind}>").groupBy("block").applyInArrow(visit, "cls binary, found binary")
     hits = written(hits.groupBy("cls").applyInArrow(merge, "cls binary, hit binary"), "vector-hits")
+    discard(at)
 
     # The exact measure, summed in the order of the components, and the ids that a class stands for.
-    mine = classes.select("cls", F.col("v").alias("qv"))
-    theirs = classes.select(F.col("cls").alias("hit"), "ids", F.col("v").alias("cv"))
+    mine = classes.select("cls", F.col("v").cast("array<double>").alias("qv"))
+    theirs = classes.select(F.col("cls").alias("hit"), "ids", F.col("v").cast("array<double>").alias("cv"))
     score = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = hits.join(theirs, "hit").join(mine, "cls").select("cls", "ids", score.alias("score"))
     by_class = scored.select("cls", "score", F.explode("ids").alias("cand")).groupBy("cls").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("cand").alias("cand"))).alias("all"))
