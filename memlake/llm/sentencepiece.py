@@ -3,8 +3,8 @@
 The model's protobuf is parsed here; its normaliser, metaspace marker, scores
 and byte fallback are rebuilt as a ``tokenizers`` pipeline, whose batches are
 encoded multithreaded.  Where no piece crosses the start of a word, each
-different word of a batch is encoded once.  ``verify_parity`` compares the
-result with the SentencePiece library itself.
+different word of a batch is encoded once.  ``verify_parity`` compares ids and
+decoded texts with the SentencePiece library itself.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 1 << 20
+#: Longest word whose ids are kept, and the bytes of words that are kept.
+SHORT, CACHE_BYTES = 128, 96 << 20
 
 PROBES = ["", " ", "  two  spaces ", "Hello world", "tab\tand\nnew line\r\n", "éèßñ 你好 \U0001f600", "a" * 300, "1234567890 3.14", "<s> </s> <unk> <0x0A>", MARK + "x" + MARK, "\u0000\u0085  ", "Źéro", "ﬁne ½ Ａ", "...!!!???  ###"]
 
@@ -158,14 +160,14 @@ def build_tokenizer(m: Model):
 class Encoder:
     """Texts to ids, as little-endian 32-bit numbers, and back."""
 
-    def __init__(self, data: bytes, cache_words: int = 1 << 19):
+    def __init__(self, data: bytes, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         m = parse_model(data)
         self.whole = build_tokenizer(m)
         self.words = build_tokenizer(m)
         self.words.normalizer = None
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.held, self.cache_bytes = 0, cache_bytes
         names = [p for p, _, kind in m.pieces if kind == NORMAL]
         # No piece has a marker behind another character: words then never share a piece.  A line
         # feed that is in no piece is a byte of its own.
@@ -188,16 +190,28 @@ class Encoder:
             split = [self.cut.findall((self.prefix + t).replace(" ", MARK)) if t else [] for t in texts]
         else:
             split = [self.cut.findall(self.whole.normalizer.normalize_str(t)) for t in texts]
-        if len(self.cache) > self.cache_words:
+        if self.held > self.cache_bytes:
             self.cache.clear()
-        new = list({w for words in split for w in words if w not in self.cache})
+            self.held = 0
+        cache = self.cache
+        new = list({w for words in split for w in words if w not in cache})
+        long: dict[str, bytes] = {}
         for k in range(0, len(new), 1 << 16):
             part = new[k : k + (1 << 16)]
-            self.cache.update(zip(part, (array("I", e.ids).tobytes() for e in self.words.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.cache.__getitem__
+            for w, e in zip(part, self.words.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = array("I", e.ids).tobytes()
+                if len(w) > SHORT:
+                    long[w] = ids
+                else:
+                    cache[w] = ids
+                    self.held += 160 + 4 * len(w) + len(ids)
+        if long:
+            return [b"".join([long[w] if w in long else cache[w] for w in words]) for words in split]
+        get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, encoded: list[bytes]) -> list[str]:
+        """The texts of ids, from a table of each piece's bytes; ``verify_parity`` holds it against the SentencePiece library's decoder."""
         get = self.bytes_of.__getitem__
         out = []
         for e in encoded:
@@ -205,6 +219,10 @@ class Encoder:
             out.append(text[text.startswith(b" ") and bool(self.prefix) :].decode("utf-8", "replace"))
         return out
 
+    def decode_by_library(self, encoded: list[bytes]) -> list[str]:
+        """The same by the tokenizers library's decoder."""
+        return self.whole.decode_batch([np.frombuffer(e, "<u4").tolist() for e in encoded], skip_special_tokens=False)
+
 
 @lru_cache(maxsize=2)
 def encoder_of(data: bytes) -> Encoder:
@@ -212,12 +230,14 @@ def encoder_of(data: bytes) -> Encoder:
 
 
 def verify_parity(data: bytes, texts: list[str]) -> list[int]:
-    """Indices of the texts whose ids differ from the SentencePiece library's."""
+    """Indices of the texts whose ids, or whose ids' decoded texts, differ from the SentencePiece library's."""
     import sentencepiece
 
-    theirs = sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts, num_threads=1)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    theirs = sp.encode(texts, num_threads=1)
     ours = encoder_of(data).encode(texts)
-    return [k for k, (a, b) in enumerate(zip(theirs, ours, strict=True)) if np.array(a, "<u4").tobytes() != b]
+    back = encoder_of(data).decode(ours)
+    return [k for k, (a, b, t) in enumerate(zip(theirs, ours, back, strict=True)) if np.array(a, "<u4").tobytes() != b or sp.decode(a) != t]
 
 
 def model_bytes(spark, path: str) -> bytes:
