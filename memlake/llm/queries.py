@@ -10,11 +10,11 @@ from memlake.llm.exact_dedup import exact_dedup
 from memlake.llm.line_dedup import dedup_lines
 from memlake.llm.mixing import mix_sources
 from memlake.llm.quality import classify_quality
-from memlake.llm.scratch import scratch_path, written
+from memlake.llm.scratch import discard, scratch_path, written
 from memlake.llm.sentencepiece import encode_documents, model_bytes
 from memlake.llm.simhash import simhash_dedup
 from memlake.llm.substring_dedup import dedup_substrings
-from memlake.llm.token_counts import WORDS, TokenRollup, count_tokens, inserted
+from memlake.llm.token_counts import OLD_WORDS, UNICODE, WORDS, TokenRollup, count_tokens, inserted, revised
 from memlake.llm.url_filter import Rule, filter_urls
 from memlake.llm.vector_search import nearest
 
@@ -70,12 +70,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """Both tokenizer versions' inserts, each a batch; the first one is sent twice, as after a lost answer."""
+    """All documents' counts of two tokenizer versions.
+
+    Three batches: the BPE's inserts, an older word count's inserts, and its
+    revision by today's, which deletes each old count and inserts the new one.
+    The first one is sent again, as after a lost answer.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    counts = written(count_tokens(docs, {WORDS: None, BPE: (model_bytes(spark, ranks), BPE_PATTERN)}), "token-counts")
+    counts = written(count_tokens(docs, {OLD_WORDS: UNICODE, WORDS: None, BPE: (model_bytes(spark, ranks), BPE_PATTERN)}), "token-counts")
+    of = lambda version: counts.where(counts.tokenizer == version)
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    for batch in (WORDS, BPE, WORDS):
-        rollup.commit(f"insert-{batch}", inserted(counts.where(counts.tokenizer == batch)))
+    rollup.commit(f"insert/{BPE}", inserted(of(BPE)))
+    rollup.commit(f"insert/{OLD_WORDS}", inserted(of(OLD_WORDS)))
+    rollup.commit(f"revise/{OLD_WORDS}/{WORDS}", revised(of(OLD_WORDS), of(WORDS)))
+    rollup.commit(f"insert/{BPE}", inserted(of(BPE)))
+    discard(counts)
     return rollup.totals()
 
 
