@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from memlake.llm.scratch import written
 
-#: Fractional part of the golden ratio.
-PHI = 0.6180339887498949
+#: Fractional parts of the golden ratio and of 2**20 times it.
+PHI, PHI_20 = 0.6180339887498949, 0.607787409740351
 
 
 def word_count(text_col: str):
@@ -63,7 +63,9 @@ def mix_schedule(targets: DataFrame, block: int, bins: int = 4096) -> DataFrame:
     slots = t.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     run = max(1024, math.isqrt(slots))
     s = spark.range(0, slots, 1, max(1, slots // 500_000)).withColumnRenamed("id", "slot")
-    s = s.withColumn("x", F.pmod(F.col("slot") * F.lit(PHI) + F.lit(0.5), F.lit(1.0))).withColumn("run", F.floor(F.col("slot") / run))
+    # In two parts, so that no product has more digits before the point than a double can spare.
+    high, low = F.shiftright("slot", 20), F.col("slot").bitwiseAND(F.lit((1 << 20) - 1))
+    s = s.withColumn("x", F.pmod(high * F.lit(PHI_20) + low * F.lit(PHI) + F.lit(0.5), F.lit(1.0))).withColumn("run", F.floor(F.col("slot") / run))
     # A point finds its source by its bin of the unit interval, then by the exact bounds.
     top = F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1))
     bounds = t.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.greatest(top, F.floor(F.col("lo") * bins)))).alias("bin"))
