@@ -117,6 +117,8 @@ def _link_runs(fps: np.ndarray, keys: np.ndarray, members: np.ndarray, other: np
     A group of over ``wide`` is split by parts of its members' other halves:
     members within the radius agree in one of the five parts, so no link is lost.
     """
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys, members = keys[order], members[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))

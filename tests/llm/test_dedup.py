@@ -3,7 +3,8 @@ import re
 
 from memlake.llm.exact_dedup import exact_dedup
 from memlake.llm.line_dedup import LINE, LevelledRuns, dedup_lines
-from memlake.llm.substring_dedup import COVER, PERIOD, dedup_substrings
+from memlake.llm.chunks import CHUNK, in_chunks
+from memlake.llm.substring_dedup import COVER, PERIOD, SHORT, Words, dedup_substrings
 
 import numpy as np
 
@@ -45,6 +46,41 @@ def test_substrings_match_brute_force(documents, odd_docs, no_docs):
         assert by_rows(dedup_substrings(df, with_text=False)) == brute_substrings(rows)
 
 
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n])
+
+
+def test_different_words_are_told_apart(spark):
+    """Words on which polynomial hashes modulo 2**64 agree, at lengths on both sides of the table's."""
+    for n in (SHORT, 2048):
+        x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        same = " ".join(f"w{i}" for i in range(12))
+        rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{same} {x}")]
+        got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False)
+        assert by_rows(got) == brute_substrings(rows)
+        assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_word_hashes_depend_on_every_byte_and_its_place():
+    rng = np.random.default_rng(4)
+    some = {bytes(rng.integers(33, 120, int(n)).astype(np.uint8)) for n in rng.integers(1, 90, 2000)}
+    some |= {w[:i] + b"~" + w[i + 1 :] for w in list(some)[:300] for i in range(len(w))} | {w + b"!" for w in some}
+    w = Words([b" ".join(sorted(some))])
+    for half in (0, 1):
+        assert len(set(w.hashes(half).tolist())) == len(some)
+        assert (w.hashes(half) == Words([b" ".join(sorted(some))]).hashes(half, piece=100)).all()
+    assert not (w.hashes(0) == w.hashes(1)).any()
+
+
+def test_rows_without_id_are_dealt_over_chunks(spark):
+    rows = [(None, "a b c")] * 2000 + [(7, f"text {i}") for i in range(2000)]
+    got = in_chunks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 128).groupBy(CHUNK).count().collect()
+    assert len(got) > 100 and max(r["count"] for r in got) < 100
+
+
 def test_substrings_kept_text(odd_docs):
     for r in dedup_substrings(odd_docs).collect():
         assert sha(r.kept_text) == r.kept_sha256
@@ -101,6 +137,14 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
+def test_one_id_for_several_texts(spark):
+    a, b = "A" * 32, "B" * 32
+    rows = [(1, a + "tail"), (2, a + "tail2"), (1, b + "tail"), (3, b + "tail3"), (1, a), (1, b), (2**62 + 1, "x"), (2**63 - 1, "x"), (None, "x"), (None, "y"), (None, "y"), (-5, a), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"first_width": 1, "growth": 3}, {"first_width": 33}):
+        assert by_rows(exact_dedup(df, **options)) == brute_exact(rows)
+
+
 def test_exact_match_brute_force(documents, odd_docs, no_docs):
     for df in (documents, odd_docs, no_docs):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

@@ -42,6 +42,13 @@ def test_matches_brute_force(documents, odd_docs, no_docs):
         assert sorted((tuple(r) for r in simhash_dedup(df).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 40])
+def test_few_documents(spark, documents, n):
+    rows = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").limit(n).collect()]
+    for some in (rows, [(1, "one")] * n):
+        assert sorted((tuple(r) for r in simhash_dedup(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=str) == brute(some)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.integers(0, 10**6), st.sampled_from([3, 64, 4096]))
 def test_groups_lose_no_link(centre, seed, wide):

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from memlake.llm.queries import BPE_PATTERN, TOKENIZERS
-from memlake.llm.sentencepiece import BYTE, MARK, NORMAL, UNKNOWN, CONTROL, UNIGRAM, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
+from memlake.llm.sentencepiece import BYTE, MARK, NORMAL, UNKNOWN, CONTROL, UNIGRAM, Encoder, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
 from memlake.llm.token_counts import WORDS, PieceCounter, TokenRollup, _encoding, count_tokens, deleted, inserted, revised
 
 MODEL = model_bytes(None, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -86,6 +86,66 @@ def as_sums(df):
     return {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in df.collect()}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=4))
+def test_decoding_matches_both_libraries(texts):
+    t = encoder_of(MODEL)
+    assert t.decode(t.encode(texts)) == t.decode_by_library(t.encode(texts))
+
+
+def test_caches_are_bounded_by_bytes():
+    texts = ["x" * 100_000, " ".join(f"word{i}" for i in range(5000)), "one two"]
+    t, c = Encoder(MODEL, cache_bytes=10_000), PieceCounter("t", RANKS, BPE_PATTERN, cache_bytes=10_000)
+    for _ in range(3):
+        for k, x in enumerate(texts):
+            assert t.encode([x]) == encoder_of(MODEL).encode([x])
+            assert c.count(x) == len(_encoding("t", RANKS, BPE_PATTERN).encode_ordinary(x))
+            assert t.held < 2_000_000 and len(c.cache) < 100 and all(len(w) <= 128 for w in [*t.cache, *c.cache])
+
+
+def test_batch_ids(spark, documents, tmp_path):
+    """Any text is an id; a writer that comes second with an id changes nothing."""
+    counts = inserted(count_tokens(documents, {WORDS: None}))
+    rollup = TokenRollup(spark, str(tmp_path / "r"))
+    names = ["2026/11/27", "2026~11", "a b=c%2F", "é", "..", "_x", "~", "A", "a"]
+    for k, name in enumerate(names, 1):
+        assert rollup.commit(name, counts) and not rollup.commit(name, counts)
+        assert rollup.batches() == sorted(names[:k])
+    once = as_sums(counts.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+    assert as_sums(rollup.totals()) == {key: (len(names) * d, len(names) * t) for key, (d, t) in once.items()}
+    for bad in ("", "x" * 81):
+        with pytest.raises(ValueError):
+            rollup.commit(bad, counts)
+
+    class Slow(TokenRollup):
+        """Another writer commits the same id while this one writes."""
+
+        def _write(self, deltas):
+            folder = super()._write(deltas)
+            other.commit("same", counts.limit(1))
+            return folder
+
+    other, slow = TokenRollup(spark, str(tmp_path / "s")), Slow(spark, str(tmp_path / "s"))
+    assert not slow.commit("same", counts)
+    assert sum(d for d, _ in as_sums(slow.totals()).values()) == 1
+
+
+def test_snapshots_keep_the_totals(spark, documents, tmp_path):
+    counts = inserted(count_tokens(documents, {WORDS: None})).cache()
+    rollup = TokenRollup(spark, str(tmp_path / "r"), every=2)
+    want = as_sums(counts.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+    for k in range(1, 10):
+        assert rollup.commit(f"b{k}", counts)
+        assert as_sums(rollup.totals()) == {key: (k * d, k * t) for key, (d, t) in want.items()}
+    assert len(list((tmp_path / "r" / "snapshots").glob("0*"))) == 4 and len(list((tmp_path / "r" / "data").iterdir())) < 9
+    assert len(rollup.batches()) == 9
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([("a b", "x", "y", 1)], "text string, `__text` string, tokenizer string, tokens int")
+    assert [tuple(r) for r in count_tokens(df, {WORDS: None}).collect()] == [("x", WORDS, 2)]
+
+
 def test_rollup(spark, documents, odd_docs, no_docs, tmp_path):
     spec = {WORDS: None, "t": (RANKS, BPE_PATTERN)}
     for n, df in enumerate((documents, odd_docs, no_docs)):
@@ -105,10 +165,19 @@ def test_rollup(spark, documents, odd_docs, no_docs, tmp_path):
 
 
 def test_a_broken_commit_is_made_again(spark, documents, tmp_path):
+    """A batch without its commit file, as a lost driver leaves it, does not count."""
     counts = count_tokens(documents, {WORDS: None})
     rollup = TokenRollup(spark, str(tmp_path / "r"))
-    inserted(counts).limit(3).write.parquet(str(tmp_path / "r" / "batch=one"))
-    (tmp_path / "r" / "batch=one" / "_SUCCESS").unlink()
-    assert as_sums(rollup.totals()) == {}
+    inserted(counts).limit(3).write.parquet(str(tmp_path / "r" / "data" / "lost"))
+    (tmp_path / "r" / "commits").mkdir()
+    (tmp_path / "r" / "commits" / ".lost").write_text("data/lost")
+    assert as_sums(rollup.totals()) == {} and rollup.batches() == []
     assert rollup.commit("one", inserted(counts))
     assert as_sums(rollup.totals()) == as_sums(inserted(counts).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+
+
+def test_query_counts_all_documents(spark, sf_dir, documents):
+    from memlake.llm.queries import BPE, op9_token_counts
+
+    got = as_sums(op9_token_counts(spark, sf_dir))
+    assert got == {(s, l, BPE if v == "t" else v): x for (s, l, v), x in brute(documents.collect()).items()}

@@ -50,6 +50,27 @@ def test_small_tables_are_exact(spark):
         assert found(nearest(few)) == {q: v for q, v in brute([(r.vec_id, r.embedding) for r in few.collect()]).items() if v}
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """Small whole numbers: very many different vectors tie at every place; some rows are repeated."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 6)]) for i in rng.permutation(2000).tolist()]
+    again = [r for r in rows if r[0] in (3, 20, 40)] * 30
+    got = found(nearest(spark.createDataFrame(rows + again, "vec_id long, embedding array<float>").repartition(4), least=10_000))
+    assert got == brute(rows)
+
+
+def test_fewer_products_than_exact_search():
+    """On a table far above ``least``, all curves' windows together hold fewer rows than the table."""
+    import inspect
+
+    p = {k: v.default for k, v in inspect.signature(nearest).parameters.items()}
+    for n in (10_000, 1_000_000, 10**9):
+        looked = max(math.ceil(p["window"] * n), p["least"])
+        blocks = max(1, 3 * n // looked, -(-n // p["rows_per_block"]))
+        reach = max(1, math.ceil((looked * blocks / n - 1) / 2))
+        assert p["curves"] * (2 * reach + 1) / blocks < 1
+
+
 def test_recall(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
     got, want = found(nearest(df)), brute([(r.vec_id, r.embedding) for r in df.collect()])
