@@ -8,11 +8,13 @@ from pyspark.sql import Column, functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Words left out of frequent-word titles.
-STOP_WORDS = (
-    "a an the and or but is are was were in on at to for with by about of from as that this these those it its them they their "
-    "he she his her him we our you your not be been being have has had do does did can could will would shall should may might must "
-    "when where which who whom whose why how"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "is", "are", "was", "were", "in", "on", "at", "to", "for", "with",
+    "by", "about", "of", "from", "as", "that", "this", "these", "those", "it", "its", "them", "they", "their", "he", "she",
+    "his", "her", "him", "we", "our", "you", "your", "not", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "can", "could", "will", "would", "shall", "should", "may", "might", "must", "when", "where", "which", "who", "whom", "whose",
+    "why", "how",
+]
 
 #: Typed entity patterns and the text that describes a hit.
 ENTITY_PATTERNS = {
@@ -287,5 +289,7 @@ def first_line(c: Column | str) -> Column:
 
 
 def concept(c: Column | str) -> Column:
-    """Stand-in for a lemma: lower case, trimmed."""
-    return F.lower(F.trim(col(c)))
+    """Stand-in for a lemma: lower case, trimmed, and a plural's ending taken off."""
+    text = F.lower(F.trim(col(c)))
+    many = F.when(text.rlike("[^aeiou]ies$"), F.regexp_replace(text, "ies$", "y")).when(text.rlike("(ss|sh|ch|x|z)es$"), F.regexp_replace(text, "es$", ""))
+    return many.when(text.rlike("[^sui]s$"), F.regexp_replace(text, "s$", "")).otherwise(text)

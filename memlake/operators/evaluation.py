@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import text as X
@@ -131,31 +135,30 @@ def recommendation_recall(df: DataFrame, titles: DataFrame, ks: tuple[int, ...]
     return j.select("query_id", *[part(k).alias(f"recall_{k}") for k in ks])
 
 
-def bootstrap_interval(scores: DataFrame, col: str = "score", samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """``(mean, low, high)``: seeded bootstrap of the mean; each row draws its Poisson(1) count for each sample.
+def bootstrap_interval(scores: DataFrame, col: str = "score", samples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """``(mean, low, high)``: seeded bootstrap of the mean, with Poisson counts in place of draws.
 
-    Poisson counts make the resamples without a join of samples to rows; the
-    counts come from a hash, so runs agree.
+    Rows of equal scores are drawn together, as one Poisson count of their
+    number, so the work is that of the different scores; runs agree.
     """
-    ids = scores.select(F.col(col).cast("double").alias("v"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("h"))
-    drawn = ids.select("v", F.explode(F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda k: F.struct(k.alias("k"), poisson_count(F.xxhash64("h", k)).alias("n")))).alias("d"))
-    means = drawn.groupBy("d.k").agg((F.sum(F.col("v") * F.col("d.n")) / F.nullif(F.sum("d.n"), F.lit(0))).alias("m"))
+    values = scores.select(F.col(col).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(samples), np.zeros(samples)
+        for b in batches:
+            for v, c in zip(b.column("v").to_pylist(), b.column("c").to_pylist(), strict=True):
+                drawn = np.random.default_rng([seed, *np.array([v]).view(np.uint32).tolist()]).poisson(c, samples)
+                n, total = n + drawn, total + v * drawn
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(n), pa.array(total)], names=["k", "n", "total"])
+
+    drawn = values.mapInArrow(draw, "k long, n double, total double")
+    means = drawn.groupBy("k").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
     cut = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return scores.agg(F.avg(col).alias("mean")).join(F.broadcast(cut))
 
 
-def poisson_count(h: Column) -> Column:
-    """A Poisson(1) count from a hash."""
-    u = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # The distribution function of Poisson(1).
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
-    out = F.lit(0)
-    for s in steps:
-        out = out + (u > s).cast("int")
-    return out
-
-
 def rouge_best(df: DataFrame, pred: str = "output", golds: str = "answers") -> DataFrame:
     """ROUGE-L F1 and recall, each the best over the golds."""
     keyed = df.withColumn("__row", F.monotonically_increasing_id())

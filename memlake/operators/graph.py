@@ -216,28 +216,43 @@ def hops(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFr
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, coefficient)``: linked pairs among a node's neighbours; 0 below two neighbours."""
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
-    two = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    deg = two.groupBy("x").agg(F.count("*").alias("k"))
-    tri = two.toDF("x", "p").join(two.toDF("x", "q"), "x").where("p < q").join(e.toDF("p", "q"), ["p", "q"]).groupBy("x").agg(F.count("*").alias("t"))
-    c = deg.join(tri, "x", "left").select(F.col("x").alias("id"), F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("coefficient"))
+    """``(id, coefficient)``: linked pairs among a node's neighbours; 0 below two neighbours.
+
+    Links point from the end of lower degree to the other, so each triangle is
+    found once, at a node with few links out, however many a hub has.
+    """
+    e = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct())
+    deg = cut(e.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("k")))
+    both = e.join(deg.toDF("x", "kx"), "x").join(deg.toDF("y", "ky"), "y")
+    up = (F.col("kx") < F.col("ky")) | ((F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y")))
+    out = cut(both.select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b")))
+    open_ = out.toDF("a", "p").join(out.toDF("a", "q"), "a").where("p < q")
+    closed = open_.join(e.toDF("p", "q"), ["p", "q"])
+    tri = closed.select(F.explode(F.array("a", "p", "q")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    c = deg.join(tri, "id", "left").select("id", F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("coefficient"))
     return nodes.select("id").join(c, "id", "left").fillna(0.0, ["coefficient"])
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, optional: bool = False) -> DataFrame:
-    """One row of descriptive metrics; the optional ones are -1 unless asked for, or the graph is in parts."""
+    """One row of descriptive metrics; the optional ones are -1 unless asked for, or the graph is in parts.
+
+    The driver reads counts only; the sizes of the components, largest first, are
+    gathered by Spark from their histogram.
+    """
     n, m = nodes.count(), edges.count()
-    sizes = sorted((r["n"] for r in components(nodes, edges).groupBy("component").agg(F.count("*").alias("n")).collect()), reverse=True)
+    sizes = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
+    spread = cut(sizes.groupBy("n").agg(F.count("*").alias("times")), "sizes")
+    listed = spread.agg(F.coalesce(F.sum("times"), F.lit(0)).cast("int").alias("num_components"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "times")), asc=False), lambda s: F.array_repeat(s["n"], s["times"].cast("int")))).alias("component_sizes"))
     loops, diameter, mean_path, cluster = -1, -1, -1.0, -1.0
     if optional:
         loops = edges.where("src = dst").count()
         cluster = clustering(nodes, edges).agg(F.avg("coefficient")).first()[0] or 0.0
-        if len(sizes) == 1:
+        if spread.where("n > 0").agg(F.sum("times")).first()[0] == 1:
             far = hops(nodes, edges).where("src <> dst").agg(F.max("dist").alias("d"), F.avg("dist").alias("a")).first()
             diameter, mean_path = far["d"] or 0, far["a"] or 0.0
-    row = (n, m, 2 * m / n if n else 0.0, m / (n * (n - 1)) if n > 1 else 0.0, len(sizes), sizes, loops, diameter, mean_path, cluster)
-    return nodes.sparkSession.createDataFrame([row], "num_nodes long, num_edges long, mean_degree double, edge_density double, num_components int, component_sizes array<long>, num_self_loops long, diameter int, mean_path double, clustering double")
+    row = (n, m, 2 * m / n if n else 0.0, m / (n * (n - 1)) if n > 1 else 0.0, loops, diameter, mean_path, cluster)
+    scalars = nodes.sparkSession.createDataFrame([row], "num_nodes long, num_edges long, mean_degree double, edge_density double, num_self_loops long, diameter int, mean_path double, clustering double")
+    return scalars.join(F.broadcast(listed)).select("num_nodes", "num_edges", "mean_degree", "edge_density", "num_components", "component_sizes", "num_self_loops", "diameter", "mean_path", "clustering")
 
 
 def relation_histogram(edges: DataFrame) -> DataFrame:

@@ -43,9 +43,10 @@ def user_relations(nodes: DataFrame, edges: DataFrame, user: str, limit: int = 1
     return e.join(n.toDF("src", "source"), "src").join(n.toDF("dst", "target"), "dst").select("source", F.col("rel").alias("relationship"), "target").orderBy("source", "relationship", "target").limit(limit)
 
 
-def both_directions(nodes: DataFrame, edges: DataFrame, asked: DataFrame, threshold: float = 0.7, k: int = 100) -> DataFrame:
-    """Incoming and outgoing relations of nodes at least ``threshold`` similar to the asked vectors, each once."""
-    hits = topk(nodes.select("id", "vector"), asked, k).where(F.round("score", 4) >= threshold).select("query_id", F.col("id").alias("hit"), F.round("score", 4).alias("similarity"))
+def both_directions(nodes: DataFrame, edges: DataFrame, asked: DataFrame, threshold: float = 0.7, k: int | None = None) -> DataFrame:
+    """Incoming and outgoing relations of all nodes at least ``threshold`` similar to the asked vectors, each once; of the ``k`` most similar where ``k`` is given."""
+    near = topk(nodes.select("id", "vector"), asked, k)
+    hits = near.select("query_id", F.col("id").alias("hit"), F.round("score", 4).alias("similarity")).where(F.col("similarity") >= threshold)
     out_ = hits.join(edges, F.col("hit") == F.col("src")).select("query_id", "src", "rel", "dst", "similarity")
     in_ = hits.join(edges, F.col("hit") == F.col("dst")).select("query_id", "src", "rel", "dst", "similarity")
     return out_.union(in_).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Mapping
 from typing import Any
 
@@ -40,23 +42,35 @@ def predicate(filters: Mapping[str, Any] | None, payload: Column | None = None)
     return F.coalesce(out, F.lit(False))
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", keep: tuple[str, ...] = (), blocks: int = 8) -> DataFrame:
-    """``(query_id, rank, id, score)``: exact nearest of every query.
+def cells(df: DataFrame) -> int:
+    """Into how many parts a join of all with all is dealt: as many as shuffles have, eight at least."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _numbered(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", keep: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
+    """``(query_id, rank, id, score)``: exact nearest of every query; without ``k`` all scores, unranked.
 
     The query set meets the rows block by block, by an equality join on the
     block: Spark broadcasts the queries below its size threshold and shuffles
     blocks above it.  The window's limit is applied before its shuffle.
     """
     measure, high = METRICS[metric]
+    n = blocks or cells(vectors)
     v, q = F.col(vector_col), F.col(query_vector)
     if metric == "cosine":
         # Unit vectors once a row, so a pair costs one product; zero vectors have no cosine.
         vectors, queries = vectors.where(norm(v) > 0), queries.where(norm(q) > 0)
         v, q, measure = normalized(v), normalized(q), lambda x, y: F.when(F.size(x) == F.size(y), dot(x, y))
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("__v"), *keep, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("__b"))
-    asked = queries.select(F.col(query_id).alias("query_id"), q.alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__b"))
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("__v"), *keep, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("__b"))
+    asked = queries.select(F.col(query_id).alias("query_id"), q.alias("__q"), F.explode(_numbered(n)).alias("__b"))
     pairs = rows.join(asked, "__b")
     scored = pairs.select("query_id", "id", *keep, measure(F.col("__v"), F.col("__q")).alias("score")).where("score is not null")
+    if k is None:
+        return scored
     if high:
         return ranked(scored, k, tie="id").select("query_id", "rank", "id", "score", *keep)
     near = scored.withColumn("score", -F.col("score"))
@@ -64,35 +78,47 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
 
 def minmax(scores: DataFrame, by: str = "query_id", score: str = "score", out: str = "normalized") -> DataFrame:
-    """Min-max per query; equal scores give 0."""
-    w = W.partitionBy(by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return scores.withColumn(out, F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+    """Min-max per query; equal scores give 0.  The bounds are pre-aggregated, so no task holds a query's rows."""
+    bounds = scores.groupBy(F.col(by).alias("__by")).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    j = scores.join(bounds, scores[by].eqNullSafe(bounds["__by"]))
+    return j.withColumn(out, F.when(F.col("__hi") > F.col("__lo"), (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))).drop("__by", "__lo", "__hi")
+
+
+def _grid(a: DataFrame, b: DataFrame, key_a: str, key_b: str, blocks: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of two tables of different column names, dealt into about ``blocks`` cells; ``within`` columns must be equal.
+
+    Each side goes to one row or column of the grid, so to the root of the number of cells.
+    """
+    side = max(1, math.isqrt(blocks))
+    a = a.withColumn("__i", F.pmod(F.xxhash64(key_a), F.lit(side))).withColumn("__j", F.explode(_numbered(side)))
+    b = b.withColumn("__j", F.pmod(F.xxhash64(key_b), F.lit(side))).withColumn("__i", F.explode(_numbered(side)))
+    return a.join(b, ["__i", "__j", *within])
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, id_col: str = "id", vector_col: str = "vector", blocks: int = 8) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, id_col: str = "id", vector_col: str = "vector", blocks: int | None = None) -> DataFrame:
     """``(src, dst, score)``: the ``k`` most cosine-similar rows of ``right`` for each of ``left``, itself left out.
 
-    Unit vectors meet block by block; each block's best go on to the final cut.
+    Unit vectors meet in the cells of a grid; each cell's best go on to the final cut.
     """
     unit = lambda df, i, v: df.select(F.col(id_col).alias(i), normalized(F.col(vector_col)).alias(v))
-    a = unit(left, "src", "va")
-    b = unit(right, "dst", "vb").withColumn("rb", F.pmod(F.xxhash64("dst"), F.lit(blocks)))
-    a = a.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = a.join(b, "rb").where("src <> dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
+    met = _grid(unit(left, "src", "va"), unit(right, "dst", "vb"), "src", "dst", blocks or cells(left))
+    pairs = met.where("src <> dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
     if threshold is not None:
         pairs = pairs.where(F.col("score") >= threshold)
     return ranked(pairs, k, query="src", tie="dst").select("src", "dst", "rank", "score")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", keep: tuple[str, ...] = (), blocks: int = 8) -> DataFrame:
-    """``(a, b, sim)`` of pairs ``a < b`` above the cosine threshold, met block by block."""
-    unit = vectors.select(F.col(id_col).alias("id"), normalized(F.col(vector_col)).alias("v"), *keep).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", keep: tuple[str, ...] = (), within: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
+    """``(a, b, sim)`` of pairs ``a < b`` above the cosine threshold, met in the cells of a grid.
+
+    Columns of ``within`` must be equal: they are keys of the join, so rows that differ in them never meet.
+    """
+    unit = vectors.select(F.col(id_col).alias("id"), normalized(F.col(vector_col)).alias("v"), *keep, *within)
     ka, kb = ([F.col(c).alias(f"{c}_{s}") for c in keep] for s in "ab")
-    a = unit.select(F.col("id").alias("a"), F.col("v").alias("va"), *ka, "blk").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    b = unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), *kb, F.col("blk").alias("other"))
-    out = a.join(b, "other").where("a < b").withColumn("sim", dot(F.col("va"), F.col("vb"))).where(F.col("sim") > threshold)
-    return out.select("a", "b", "sim", *[f"{c}_{s}" for s in "ab" for c in keep])
+    a = unit.select(F.col("id").alias("a"), F.col("v").alias("va"), *ka, *within)
+    b = unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), *kb, *within)
+    out = _grid(a, b, "a", "b", blocks or cells(vectors), within).where("a < b").withColumn("sim", dot(F.col("va"), F.col("vb"))).where(F.col("sim") > threshold)
+    return out.select("a", "b", "sim", *[f"{c}_{s}" for s in "ab" for c in keep], *within)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -104,6 +130,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 class VectorStore:
     """Collections of ``(id, vector, payload)`` under one folder: append-only parts, latest wins, deletes are tombstones.
 
+    Of an id written twice in one write the row with the smaller payload text wins.
+
     Scores are returned as both similarity and distance, so no caller has to know which one ``score`` means.
     """
 
@@ -122,7 +150,9 @@ class VectorStore:
 
     def list_collections(self) -> list[str]:
         _, fs, root = self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+        names = {s.getPath().getName() for s in fs.listStatus(root)} if fs.exists(root) else set()
+        moved = {n[1:-4] for n in names if n.startswith(".") and n.endswith(".old")}
+        return sorted({n for n in names if not n.startswith(".")} | moved)
 
     def has_collection(self, name: str) -> bool:
         return name in self.list_collections()
@@ -145,18 +175,22 @@ class VectorStore:
         return {"name": name, "rows": rows.count(), "dims": first["d"] if first else None}
 
     def _log(self, name: str) -> DataFrame:
+        self._mended(name)
         return self.spark.read.schema(self.DDL).parquet(self._folder(name))
 
     def rows(self, name: str) -> DataFrame:
         """Current rows."""
-        return latest(self._log(name), ["id"], [F.desc("seq")]).where(~F.col("deleted")).select("id", "vector", "payload")
+        tie = F.coalesce(F.array_join(F.array_sort(F.map_values("payload")), "|"), F.lit(""))
+        return latest(self._log(name), ["id"], [F.desc("seq"), F.asc(tie)]).where(~F.col("deleted")).select("id", "vector", "payload")
 
-    def _next(self, name: str) -> int:
-        return (self._log(name).agg(F.max("seq")).first()[0] or 0) + 1
+    @staticmethod
+    def _next() -> int:
+        """A write's time in nanoseconds; no table is read for it."""
+        return time.time_ns()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Adds or replaces by id."""
-        rows.select("id", "vector", "payload", F.lit(self._next(name)).cast("long").alias("seq"), F.lit(False).alias("deleted")).write.mode("append").parquet(self._folder(name))
+        rows.select("id", "vector", "payload", F.lit(self._next()).cast("long").alias("seq"), F.lit(False).alias("deleted")).write.mode("append").parquet(self._folder(name))
 
     insert = upsert
 
@@ -171,14 +205,24 @@ class VectorStore:
 
     def delete(self, name: str, ids: list[str]) -> None:
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        gone.select("id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("map<string,string>").alias("payload"), F.lit(self._next(name)).cast("long").alias("seq"), F.lit(True).alias("deleted")).write.mode("append").parquet(self._folder(name))
+        gone.select("id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("map<string,string>").alias("payload"), F.lit(self._next()).cast("long").alias("seq"), F.lit(True).alias("deleted")).write.mode("append").parquet(self._folder(name))
 
     def compact(self, name: str) -> None:
-        """Rewrites a collection without superseded rows."""
+        """Rewrites a collection without superseded rows: a whole new folder takes the old one's place."""
+        jvm, fs, _ = self._fs()
+        path = lambda n: jvm.org.apache.hadoop.fs.Path(self._folder(n))
         whole = self.rows(name).select("*", F.lit(1).cast("long").alias("seq"), F.lit(False).alias("deleted"))
-        whole.write.mode("overwrite").parquet(self._folder(f"{name}.compact"))
-        self.spark.read.schema(self.DDL).parquet(self._folder(f"{name}.compact")).write.mode("overwrite").parquet(self._folder(name))
-        self.delete_collection(f"{name}.compact")
+        whole.write.mode("overwrite").parquet(self._folder(f".{name}.new"))
+        fs.rename(path(name), path(f".{name}.old"))
+        fs.rename(path(f".{name}.new"), path(name))
+        fs.delete(path(f".{name}.old"), True)
+
+    def _mended(self, name: str) -> None:
+        """Puts back the folder that a broken ``compact`` had moved away."""
+        jvm, fs, _ = self._fs()
+        path = lambda n: jvm.org.apache.hadoop.fs.Path(self._folder(n))
+        if not fs.exists(path(name)) and fs.exists(path(f".{name}.old")):
+            fs.rename(path(f".{name}.old"), path(name))
 
     def get(self, name: str, ids: list[str]) -> DataFrame:
         """Rows by id, in the order asked."""
@@ -193,13 +237,17 @@ class VectorStore:
     def search(self, name: str, queries: DataFrame, k: int = 5, metric: str = "cosine", filters: Mapping[str, Any] | None = None) -> DataFrame:
         """Filters first, then ranks; ``queries`` has ``query_id`` and ``query_vector``."""
         hits = topk(self.rows(name).where(predicate(filters, F.col("payload"))), queries, k, metric, keep=("payload",))
+        return hits.select("query_id", "rank", "id", "score", *self._both(metric), "payload")
+
+    @staticmethod
+    def _both(metric: str) -> tuple[Column, Column]:
         similarity = {"cosine": F.col("score"), "ip": F.col("score"), "l2": 1 / (1 + F.col("score"))}[metric]
         distance = {"cosine": 1 - F.col("score"), "ip": -F.col("score"), "l2": F.col("score")}[metric]
-        return hits.select("query_id", "rank", "id", "score", similarity.alias("similarity"), distance.alias("distance"), "payload")
+        return similarity.alias("similarity"), distance.alias("distance")
 
     batch_search = search
 
     def distances(self, name: str, queries: DataFrame, metric: str = "cosine") -> DataFrame:
-        """Every row's distance to every query, min-max normalised per query."""
-        n = max(1, self.rows(name).count())
-        return minmax(self.search(name, queries, n, metric), score="distance")
+        """Every row's distance to every query, unranked, min-max normalised per query."""
+        hits = topk(self.rows(name), queries, None, metric)
+        return minmax(hits.select("query_id", "id", "score", *self._both(metric)), score="distance")

@@ -96,16 +96,16 @@ def latest_status(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT user_id, coalesce(sum(event_id % 97), 0)::BIGINT AS prompt_tokens, coalesce(sum(event_id % 31), 0)::BIGINT AS completion_tokens,
-    coalesce(sum(event_id % 97 + event_id % 31), 0)::BIGINT AS total_tokens, count(*) AS steps FROM events GROUP BY user_id""")
+@query("""SELECT coalesce(sum(event_id % 97), 0)::BIGINT AS prompt_tokens, coalesce(sum(event_id % 31), 0)::BIGINT AS completion_tokens,
+    coalesce(sum(event_id % 97 + event_id % 31), 0)::BIGINT AS total_tokens, count(*) AS steps FROM events WHERE event_type = 'click'""")
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 97).alias("prompt_tokens"), (F.col("event_id") % 31).alias("completion_tokens")).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
-    return e.groupBy("user_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")], F.count("*").alias("steps"))
+    e = table(spark, d, "events").select("event_type", (F.col("event_id") % 97).alias("prompt_tokens"), (F.col("event_id") % 31).alias("completion_tokens")).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    return L.usage(e, event_type="click")
 
 
 @query("SELECT count(*) AS n FROM events WHERE event_type = 'click' AND value >= 1.0 AND value <= 50.0")
 def filtered_size(spark: SparkSession, d: str) -> DataFrame:
-    return L.matching(table(spark, d, "events"), L.Listing(filters={"event_type": "click", "value": {"gte": 1.0, "lte": 50.0}})).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(L.size(table(spark, d, "events"), {"event_type": "click", "value": {"gte": 1.0, "lte": 50.0}, "props": None}),)], "n long")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.plans.catalog import query
@@ -34,14 +32,14 @@ def stream_memorize(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     w = S.windows(_stream(spark, d, "events"), "1 day")
-    return S.run_to_memory(w, f"w{uuid.uuid4().hex}").withColumn("total", F.round("total", 6))
+    return S.run_to_updates(w, scratch_path(spark, "windows"), scratch_path(spark, "windows-offsets"), ["start", "event_type"]).withColumn("total", F.round("total", 6))
 
 
 @query("""WITH e AS (SELECT ts, user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
     SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_to_memory(S.sessions(_stream(spark, d, "events"), "30 minutes"), f"s{uuid.uuid4().hex}")
+    return S.run_to_updates(S.sessions(_stream(spark, d, "events"), "30 minutes"), scratch_path(spark, "sessions"), scratch_path(spark, "sessions-offsets"), None)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) + k * INTERVAL 1 HOUR - INTERVAL 1 HOUR AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL HAVING count(*) > 20")

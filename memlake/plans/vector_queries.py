@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.functions.vectors import cosine
 from memlake.operators import bm25, cluster_tree, retrieval
 from memlake.operators.vector_store import knn_join, minmax, predicate, similar_pairs, topk
 from memlake.plans.catalog import query
@@ -45,9 +44,8 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CENTRES}, s AS (SELECT query_id, vec_id AS id, 1 - {_COS.format('embedding', 'qv')} AS distance FROM embeddings CROSS JOIN c)
     SELECT query_id, id, round(distance, 6) AS distance, round((distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w), 6) AS normalized FROM s WINDOW w AS (PARTITION BY query_id)""")
 def distance_minmax(spark: SparkSession, d: str) -> DataFrame:
-    blocks = F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))
-    pairs = _vectors(spark, d).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(8))).join(_centres(spark, d).withColumn("b", F.explode(blocks)), "b")
-    out = minmax(pairs.select("query_id", "id", (1 - cosine(F.col("vector"), F.col("query_vector"))).alias("distance")), score="distance")
+    scores = topk(_vectors(spark, d), _centres(spark, d), None)
+    out = minmax(scores.select("query_id", "id", (1 - F.col("score")).alias("distance")), score="distance")
     return out.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("normalized", 6).alias("normalized"))
 
 

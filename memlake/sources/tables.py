@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from memlake.functions.ids import hash_id
 from memlake.operators.vector_store import predicate
+from memlake.scratch import cut
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,8 +38,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def sample(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
-    """``n`` rows by the order of a seeded hash; the same ones on each run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows by the order of a seeded hash; the same ones on each run and in any engine with MD5."""
+    return df.orderBy(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}"))), key).limit(n)
 
 
 def source_split(df: DataFrame, source: str, limit: int | None = None, order: str = "row_idx") -> DataFrame:
@@ -75,9 +76,22 @@ def instances(df: DataFrame, ids: list[Any] | None = None, positions: list[int]
     """Rows by ids or by positions in id order."""
     if ids is not None:
         return df.where(F.col(id_col).isin(ids))
-    from pyspark.sql import Window as W
+    return numbered(df, id_col, "__pos").where(F.col("__pos").isin(positions or [])).drop("__pos")
 
-    return df.withColumn("__pos", F.row_number().over(W.orderBy(id_col)) - 1).where(F.col("__pos").isin(positions or [])).drop("__pos")
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with each row's position by ``order``, from 0.
+
+    Rows are ranged into a written table and numbered within each range; ranges
+    start behind the rows of those before them, of which there are as many as
+    shuffle partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__start"))
+    within = F.row_number().over(W.partitionBy("__range").orderBy(order)) - 1
+    return ranged.withColumn("__k", within).join(starts, "__range").withColumn(name, F.col("__start") + F.col("__k")).select(*df.columns, name)
 
 
 def hashed(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
@@ -105,8 +119,8 @@ def lookup(stored: DataFrame, keys: list[str], key: str = "hash_id") -> DataFram
 
 
 def save_results(df: DataFrame, path: str, run: str) -> None:
-    """Appends a run's results; the run is a partition column, not part of a name."""
-    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Writes a run's results in place of any it had; the run is a partition column, not part of a name."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def load_results(spark: SparkSession, path: str, run: str) -> DataFrame:

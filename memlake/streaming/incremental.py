@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.functions.ids import hash_id
+from memlake.operators.vector_store import latest
 from memlake.sources.tables import exists
 
 
@@ -29,13 +30,23 @@ def memorize(chunks: DataFrame, path: str, checkpoint: str, text_col: str = "tex
         folder = f"{path}/batch={batch_id}"
         if exists(spark, f"{folder}/_SUCCESS"):
             return
-        if exists(spark, path):
-            new = new.join(spark.read.parquet(path).select("hash_id"), "hash_id", "left_anti")
+        # A folder without its mark is what a broken try left: this batch's own is written anew.
+        if done := [f for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]:
+            new = new.join(spark.read.schema(new.schema).parquet(*done).select("hash_id"), "hash_id", "left_anti")
         new.write.mode("overwrite").parquet(folder)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of a folder's sub-folders; none where it does not exist."""
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
+
+
 def windows(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums by tumbling or sliding window; ``late`` bounds how late an event may come."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -53,12 +64,39 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "1 hour") ->
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns the sink's table; for tests and small results."""
+    """Runs a stream over what is there and returns the sink's table, which the driver holds; for tests and small results."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
 
 
+def run_to_updates(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None) -> DataFrame:
+    """Runs a stream over what is there; returns the last update of each key.
+
+    Each batch writes the groups that it changed, so nothing is gathered on the
+    driver, and groups behind the watermark leave the state.  Session windows
+    have no updates: without keys each batch writes all groups, and the last
+    one's are returned.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    df.writeStream.foreachBatch(add).outputMode("update" if keys else "complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    done = sorted((int(f.rpartition("=")[2]), f) for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS"))
+    schema = batch_schema(df)
+    rows = spark.createDataFrame([], schema).withColumn("__batch", F.lit(-1))
+    for n, f in done if keys else done[-1:]:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f).withColumn("__batch", F.lit(n)))
+    return (latest(rows, keys, [F.desc("__batch")]) if keys else rows).drop("__batch")
+
+
+def batch_schema(df: DataFrame) -> T.StructType:
+    """The schema that a batch of the stream is read back with."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

@@ -21,7 +21,7 @@ def hits(df):
     return [(r.id, round(r.score, 4)) for r in df.orderBy("query_id", "rank").collect()]
 
 
-def test_store_contract(spark, store):
+def test_store_contract(spark, store, tmp_path):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<float>")
     assert hits(store.search("a", q, 2)) == [("1", 1.0), ("2", 0.6)]
     assert hits(store.search("a", q, 2, metric="l2")) == [("1", 0.0), ("2", 0.8944)]
@@ -32,7 +32,7 @@ def test_store_contract(spark, store):
     assert store.search("a", q, 3, filters={"nokey": "x"}).count() == 0
     r = store.search("a", q, 1).first()
     assert (r.similarity, r.distance) == (1.0, 0.0)
-    assert [round(x.normalized, 3) for x in store.distances("a", q).orderBy("rank").collect()] == [0.0, 0.4, 1.0]
+    assert [round(x.normalized, 3) for x in store.distances("a", q).orderBy("distance").collect()] == [0.0, 0.4, 1.0]
     store.upsert("a", spark.createDataFrame([("1", [0.0, 1.0], {"k": "z"})], "id string, vector array<float>, payload map<string,string>"))
     store.delete("a", ["2"])
     store.update("a", "3", payload={"k": "w"})
@@ -41,6 +41,10 @@ def test_store_contract(spark, store):
     assert store.collection_info("a") == {"name": "a", "rows": 2, "dims": 2}
     store.compact("a")
     assert store.rows("a").count() == 2 and store.list_collections() == ["a"]
+    # A compaction that was broken off between its two moves is mended.
+    root = tmp_path / "store"
+    (root / "a").rename(root / ".a.old")
+    assert store.has_collection("a") and store.rows("a").count() == 2
     store.create_collection("b")
     assert store.has_collection("b")
     store.prune()
@@ -140,7 +144,10 @@ def test_tables(spark, tmp_path):
     r = spark.createDataFrame([("x", None, ""), ("y", "v", "w")], "a string, b string, c string").select(T.as_list(F.col("b")), T.as_list(F.col("c"))).collect()
     assert [list(x) for x in r] == [[[], []], [["v"], ["w"]]]
     T.save_results(a, str(tmp_path / "r"), "one")
-    assert T.load_results(spark, str(tmp_path / "r"), "one").count() == 2
+    T.save_results(a, str(tmp_path / "r"), "two")
+    T.save_results(a, str(tmp_path / "r"), "one")  # a retry takes the place of the first try
+    assert T.load_results(spark, str(tmp_path / "r"), "one").count() == T.load_results(spark, str(tmp_path / "r"), "two").count() == 2
+    assert [x.text for x in T.instances(spark.createDataFrame([(i, f"t{i}") for i in range(50)], "id int, text string").repartition(5), positions=[0, 7, 49, 60]).orderBy("id").collect()] == ["t0", "t7", "t49"]
     assert T.remaining(a, a.limit(1), ["hash_id"]).count() == 1
     assert [x.text for x in T.sample(a, 1, F.col("text")).collect()] == [x.text for x in T.sample(a.repartition(3), 1, F.col("text")).collect()]
     s = spark.createDataFrame([(1, ("x",)), (2, ("y",)), (3, ("x",))], "row_idx int, metadata struct<source:string>")
