@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import difflib
 import json
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,70 @@ def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["f1", "recall", "precision"])
 
 
+@lru_cache(maxsize=2)
+def _encoding(ranks: bytes, pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+
+
+class BpeSize:
+    """Number of tokens of a byte-level BPE: a ``size`` for the chunkers.  ``ranks`` is the vocabulary file's content."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks, self.pattern = ranks, pattern
+
+    def __call__(self, text: str) -> int:
+        return len(_encoding(self.ranks, self.pattern).encode_ordinary(text))
+
+
+def lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of one longest common subsequence with ``b``."""
+    table = [[0] * (len(b) + 1)]
+    for x in a:
+        row, above = [0], table[-1]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        table.append(row)
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif table[i - 1][j] > table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def summary_hits(prediction: str, gold: str) -> tuple[int, int, int]:
+    """Tokens of the gold's lines that longest common subsequences with any line of the prediction cover, each as often as both texts have it; and both lengths."""
+    said, asked = ([t for line in (x or "").split("\n") if (t := _tokens(line))] for x in (prediction, gold))
+    left_said, left_asked = (Counter(t for line in lines for t in line) for lines in (said, asked))
+    hits = 0
+    for line in asked:
+        for i in sorted(set().union(*(lcs_places(line, s) for s in said))):
+            t = line[i]
+            if left_said[t] > 0 and left_asked[t] > 0:
+                hits += 1
+                left_said[t] -= 1
+                left_asked[t] -= 1
+    return hits, sum(map(len, said)), sum(map(len, asked))
+
+
+@F.pandas_udf(ROUGE)
+def rouge_lsum(prediction: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """ROUGE-Lsum: lines are sentences; tokens as in ``rouge_l``."""
+    out = np.zeros((len(prediction), 3))
+    for k, (p, g) in enumerate(zip(prediction, gold)):
+        n, a, b = summary_hits(p, g)
+        if n:
+            pr, re_ = n / a, n / b
+            out[k] = (2 * pr * re_ / (pr + re_), re_, pr)
+    return pd.DataFrame(out, columns=["f1", "recall", "precision"])
+
+
 def closest_match(candidates: list[str], cutoff: float = 0.8):
     """Column function: the candidate with the highest Ratcliff-Obershelp ratio of at least ``cutoff``, else null."""
 

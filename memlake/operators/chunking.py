@@ -98,14 +98,18 @@ def split_paragraphs(text: str, limit: int, size: Callable[[str], int], batch: b
     return out
 
 
-def pack_sentences(parts: list[str], limit: int, keep_empty: bool = True) -> list[str]:
-    """Sentences joined by one space, greedily, up to ``limit`` words; joining spaces are not counted.
+def word_size(text: str) -> int:
+    return len(text.split())
+
+
+def pack_sentences(parts: list[str], limit: int, keep_empty: bool = True, size: Callable[[str], int] = word_size) -> list[str]:
+    """Sentences joined by one space, greedily, up to ``limit`` tokens; joining spaces are not counted.
 
     With ``keep_empty`` a first sentence over the limit leaves an empty chunk before it.
     """
     out, held, total = [], [], 0
     for s in parts:
-        n = len(s.split())
+        n = size(s)
         if total + n > limit and (held or keep_empty):
             out.append(" ".join(held))
             held, total = [], 0
@@ -165,9 +169,9 @@ def document_chunks(parts: DataFrame, limit: int, size: Callable[[str], int] = o
     return out.select(id_col, "pos", "c.text", "c.size", "c.cut", F.when(F.col("c.paragraph") == 1, uuid5(F.col("c.text"))).otherwise(own).alias("chunk_id"))
 
 
-def packed_chunks(docs: DataFrame, limit: int = 4096, keep_empty: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, pos, text, n_tokens)``: whole sentences packed greedily."""
-    pack = F.pandas_udf(lambda s: s.map(lambda parts: pack_sentences(list(parts), limit, keep_empty)), "array<string>")
+def packed_chunks(docs: DataFrame, limit: int = 4096, keep_empty: bool = True, id_col: str = "doc_id", text_col: str = "text", size: Callable[[str], int] = word_size) -> DataFrame:
+    """``(id, pos, text, n_tokens)``: whole sentences packed greedily by ``size``; ``n_tokens`` counts words."""
+    pack = F.pandas_udf(lambda s: s.map(lambda parts: pack_sentences(list(parts), limit, keep_empty, size)), "array<string>")
     out = docs.select(id_col, F.posexplode(pack(sentences(F.col(text_col)))).alias("pos", "text"))
     return out.withColumn("n_tokens", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")))
 

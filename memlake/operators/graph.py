@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memlake.functions.ids import node_id
 from memlake.functions.text import node_key
+from memlake.operators.vector_store import knn_join
 from memlake.scratch import cut
 
 
@@ -33,6 +34,18 @@ def fact_edges(triples: DataFrame) -> DataFrame:
     return both_ways(e).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
+def passage_edges(triples: DataFrame) -> DataFrame:
+    """``(src, dst, weight)``: each chunk to the phrases of its triples, once."""
+    e = triples.select(F.concat(F.lit("chunk-"), F.col("chunk_id").cast("string")).alias("src"), F.explode(F.array("s", "o")).alias("dst"))
+    return e.distinct().withColumn("weight", F.lit(1.0))
+
+
+def synonym_edges(phrases: DataFrame, k: int, threshold: float = 0.8) -> DataFrame:
+    """``(src, dst, weight)``: the most similar phrases ``(id, vector)`` of each that has over two letters or digits."""
+    long = phrases.where(F.length(F.regexp_replace("id", "[^A-Za-z0-9]", "")) > 2)
+    return knn_join(long, phrases, k, threshold).select("src", "dst", F.col("score").alias("weight"))
+
+
 def entity_frequency(triples: DataFrame) -> DataFrame:
     """``(entity, chunks)``: in how many chunks an entity occurs."""
     e = triples.select("chunk_id", F.explode(F.array("s", "o")).alias("entity"))
@@ -322,6 +335,36 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return rank
 
 
+def pagerank_of_queries(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20) -> DataFrame:
+    """``(query_id, id, rank)``: a personalised PageRank for each query's ``seeds (query_id, id, weight)``, all moved together.
+
+    A query has rows only for the nodes that its walk has reached.  Seed weights
+    of a node add up, negative and null ones count as 0; the mass of nodes
+    without edges restarts.
+    """
+    e = edges.select("src", "dst", F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight")).where("src <> dst and weight > 0")
+    two = both_ways(e).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    out = two.groupBy("src").agg(F.sum("weight").alias("total"))
+    step = cut(two.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    s = seeds.groupBy("query_id", "id").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("w")).where("w > 0")
+    total = s.groupBy("query_id").agg(F.sum("w").alias("total"))
+    reset = cut(s.join(total, "query_id").select("query_id", "id", (F.col("w") / F.col("total")).alias("reset")))
+    linked = step.select(F.col("src").alias("id")).distinct()
+    lone = not reset.join(linked, "id", "left_anti").isEmpty()
+    rank = reset.withColumnRenamed("reset", "rank")
+    for k in range(rounds):
+        moved = rank.join(step, rank.id == step.src).groupBy("query_id", "dst").agg(F.sum(F.col("p") * F.col("rank")).alias("x")).select("query_id", F.col("dst").alias("id"), (damping * F.col("x")).alias("x"))
+        back = reset.withColumn("stuck", F.lit(0.0))
+        if lone:
+            held = rank.join(linked, "id", "left_anti").groupBy("query_id").agg(F.sum("rank").alias("stuck"))
+            back = reset.join(held, "query_id", "left").fillna(0.0, ["stuck"])
+        back = back.select("query_id", "id", ((1 - damping + damping * F.col("stuck")) * F.col("reset")).alias("x"))
+        rank = moved.unionByName(back).groupBy("query_id", "id").agg(F.sum("x").alias("rank"))
+        if k % 4 == 3:
+            rank = cut(rank)
+    return rank
+
+
 def triplet_topk(edges: DataFrame, node_distance: DataFrame, edge_distance: DataFrame, k: int) -> DataFrame:
     """``(edge_id, src, rel, dst, total)``: the ``k`` triplets with the least summed distance, best first.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memlake.functions.ids import hash_id
+from memlake.functions.vectors import dot, norm, normalized
+from memlake.operators.bm25 import ranked
 from memlake.operators.vector_store import latest
 
 SCOPE = ("user_id", "agent_id", "run_id")
@@ -37,15 +39,27 @@ def add_events(facts: DataFrame, start_seq: int = 0) -> DataFrame:
     return one.withColumn("event", F.lit("ADD")).withColumn("seq", F.lit(start_seq) + 1 + F.monotonically_increasing_id())
 
 
-def decide(facts: DataFrame, similar: DataFrame, same: float = 0.95, close: float = 0.7) -> DataFrame:
+def similar_memories(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
+    """``(fact_id, memory_id, similarity)``: the ``k`` most similar memories of each fact's user, each memory once."""
+    asked = facts.where(norm("vector") > 0).select("fact_id", "user_id", normalized(F.col("vector")).alias("q"))
+    known = memories.where(norm("vector") > 0).select("memory_id", "user_id", normalized(F.col("vector")).alias("v"))
+    pairs = asked.join(known, "user_id").where(F.size("v") == F.size("q")).select("fact_id", "memory_id", dot(F.col("v"), F.col("q")).alias("similarity"))
+    best = pairs.groupBy("fact_id", "memory_id").agg(F.max("similarity").alias("similarity"))
+    return ranked(best, k, query="fact_id", score="similarity", tie="memory_id").drop("rank")
+
+
+def decide(facts: DataFrame, similar: DataFrame, same: float = 0.95, close: float = 0.7, negates: Column | None = None) -> DataFrame:
     """Offline stand-in for the model's decision: ``(fact_id, event, memory_id)``.
 
-    A fact is NONE if a neighbour is almost the same, UPDATE of the nearest
-    close one, else ADD.  ``similar`` has ``(fact_id, memory_id, similarity)``.
+    A fact is DELETE of the nearest close memory that it negates, NONE if a
+    neighbour is almost the same, UPDATE of the nearest close one, else ADD.
+    ``similar`` has ``(fact_id, memory_id, similarity)``; of equally similar
+    memories the smallest counts.
     """
-    best = similar.groupBy("fact_id").agg(F.max_by("memory_id", F.struct("similarity", "memory_id")).alias("memory_id"), F.max("similarity").alias("s"))
-    out = facts.join(best, "fact_id", "left")
-    event = F.when(F.col("s") >= same, "NONE").when(F.col("s") >= close, "UPDATE").otherwise("ADD")
+    nearest = F.min_by("memory_id", F.struct((-F.col("similarity")).alias("far"), "memory_id"))
+    best = similar.groupBy("fact_id").agg(nearest.alias("memory_id"), F.max("similarity").alias("s"))
+    out = facts.withColumn("__negates", F.lit(False) if negates is None else negates).join(best, "fact_id", "left")
+    event = F.when((F.col("s") >= close) & F.col("__negates"), "DELETE").when(F.col("s") >= same, "NONE").when(F.col("s") >= close, "UPDATE").otherwise("ADD")
     return out.select("fact_id", event.alias("event"), F.when(event != "ADD", F.col("memory_id")).alias("memory_id"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from memlake.functions import text as X
 from memlake.operators import bm25, graph
 from memlake.operators.vector_store import minmax, topk
+from memlake.scratch import cut
 
 
 def dense(passages: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", **cols) -> DataFrame:
@@ -57,6 +58,33 @@ def fused(facts: DataFrame, fact_hits: DataFrame, mentions: DataFrame, dense_hit
     return rank.withColumnRenamed("rank", "rank_").select(F.row_number().over(w).alias("rank"), F.col("id").alias("passage_id"), F.col("rank_").alias("score")).where(F.col("rank") <= k)
 
 
+def best_facts(hits: DataFrame, k: int) -> DataFrame:
+    """``(query_id, fact_id, score)``: the ``k`` best facts of each question, ties by fact."""
+    return bm25.ranked(hits, k, tie="fact_id").select("query_id", "fact_id", "score")
+
+
+def fused_batch(facts: DataFrame, fact_hits: DataFrame, mentions: DataFrame, dense_hits: DataFrame, edges: DataFrame, k: int, link_top_k: int = 5, passage_weight: float = 0.05, damping: float = 0.5, rounds: int = 20) -> DataFrame:
+    """Graph and dense fusion for all questions at once: ``(query_id, rank, passage_id, score)``.
+
+    As ``fused``, with a ``query_id`` in ``fact_hits`` and ``dense_hits``; the
+    walks of all questions move together, over the nodes that each has reached.
+    Questions without facts keep their dense order.
+    """
+    dense_n = minmax(dense_hits).select("query_id", "id", (F.col("normalized") * passage_weight).alias("weight"))
+    freq = mentions.groupBy("phrase").agg(F.countDistinct("chunk_id").alias("chunks"))
+    chosen = fact_hits.join(facts, "fact_id")
+    phrases = chosen.select("query_id", "score", F.explode(F.array("s", "o")).alias("phrase")).groupBy("query_id", "phrase").agg(F.avg("score").alias("mean"))
+    weighed = phrases.join(freq, "phrase", "left").select("query_id", F.col("phrase").alias("id"), (F.col("mean") / F.coalesce("chunks", F.lit(1))).alias("weight"))
+    w = W.partitionBy("query_id").orderBy(F.desc("weight"), "id")
+    best = weighed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= link_top_k).drop("n")
+    asking = cut(fact_hits.select("query_id").distinct())
+    seeds = best.unionByName(dense_n).join(asking, "query_id", "left_semi")
+    rank = graph.pagerank_of_queries(edges, seeds, damping, rounds)
+    walked = rank.join(dense_hits.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", F.col("rank").alias("score"))
+    plain = dense_hits.join(asking, "query_id", "left_anti").select("query_id", "id", "score")
+    return bm25.ranked(walked.unionByName(plain), k, tie="id").select("query_id", "rank", F.col("id").alias("passage_id"), "score")
+
+
 def insights(exact: DataFrame, entity_hits: DataFrame, type_hits: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, cutoff: float = 0.5) -> DataFrame:
     """Connections of the node asked for, else of close hits (entities before types), each relation once.
 
@@ -139,5 +167,6 @@ def search_types() -> Registry:
     r.add("insights", insights)
     r.add("graph_completion", graph.triplet_topk)
     r.add("fused", fused)
+    r.add("fused_batch", fused_batch)
     r.add("cypher", lambda spark, sql: spark.sql(sql))
     return r

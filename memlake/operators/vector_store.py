@@ -22,7 +22,7 @@ def predicate(filters: Mapping[str, Any] | None, payload: Column | None = None)
     """AND of payload conditions; a missing key never matches.
 
     A list means membership, ``{"gte", "lte", "gt", "lt", "eq", "ne"}`` a
-    comparison, ``None`` no condition, anything else equality as text.  Without
+    comparison (``$gte`` and so on too), ``None`` no condition, anything else equality as text.  Without
     ``payload`` keys are columns; else it is a map of strings.
     """
     out = F.lit(True)
@@ -31,10 +31,11 @@ def predicate(filters: Mapping[str, Any] | None, payload: Column | None = None)
             continue
         have = F.col(key) if payload is None else F.element_at(payload, F.lit(key))
         if isinstance(want, Mapping):
+            want = {op.lstrip("$"): v for op, v in want.items()}
             num = have if payload is None else have.cast("double")
             ops = {"gte": num >= want.get("gte"), "lte": num <= want.get("lte"), "gt": num > want.get("gt"), "lt": num < want.get("lt"), "eq": have == want.get("eq"), "ne": have != want.get("ne")}
             for op in want:
-                out &= ops[op.lstrip("$")]
+                out &= ops[op]
         elif isinstance(want, list | tuple | set):
             out &= have.cast("string").isin([_shown(w) for w in want])
         else:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from memlake.functions import text as X
-from memlake.functions.arrow import rouge_l
+from memlake.functions.arrow import BpeSize, rouge_l
 from memlake.functions.ids import hash_id, uuid5
 from memlake.operators import bm25, chunking, evaluation as ev
 from memlake.plans.catalog import query
-from memlake.providers import PatternExtractor
+from memlake.providers import PatternExtractor, title
 from memlake.sources.tables import hashed, table, texts
 
 _WORDS = r"list_filter(string_split(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -194,6 +194,19 @@ def chunk_packed(spark: SparkSession, d: str) -> DataFrame:
     return chunking.packed_chunks(texts(spark, d, "documents"), 256)
 
 
+#: Where a byte-level vocabulary is, and the pattern that it was made with (a fixed value).
+BPE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query()
+def bpe_chunks(spark: SparkSession, d: str, ranks: str = BPE_RANKS) -> DataFrame:
+    """Sentences packed by the tokens of a byte-level BPE."""
+    with open(ranks, "rb") as f:
+        size = BpeSize(f.read(), BPE_PATTERN)
+    return chunking.packed_chunks(texts(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"), 64, size=size)
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """A conversation is a document, its messages are the parts."""
@@ -231,6 +244,18 @@ def top_words(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word")).cast("long")).where("rank <= 3")
 
 
+@query(rf"""
+    WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS x FROM documents),
+    b AS (SELECT doc_id, regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS word FROM w),
+    c AS (SELECT doc_id, word, count(*) AS n FROM b WHERE word <> '' AND word NOT IN ({_STOP}) GROUP BY ALL),
+    t AS (SELECT doc_id, string_agg(word, ', ' ORDER BY rank) AS top FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 3) GROUP BY doc_id)
+    SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:7], ' ') || '... [' || top || ']' AS title FROM documents JOIN t USING (doc_id)""")
+def titled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles: a text's first words, and its most frequent ones in brackets."""
+    top = top_words(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("top"))
+    return texts(spark, d, "documents").join(top, "doc_id").select("doc_id", title(F.col("text"), F.col("top")).alias("title"))
+
+
 @query(r"""
     SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g')) AS phrase, translate(lower(p_name), ' ''', '_') AS node_key, 'entity-' || md5(p_name) AS hash_id FROM part""")
 def phrase_keys(spark: SparkSession, d: str) -> DataFrame:

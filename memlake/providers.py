@@ -52,6 +52,23 @@ def first_sentences(n: int = 1) -> Callable[[Column], Column]:
     return lambda t: F.array_join(F.slice(F.split(F.trim(t), r"(?<=[.!?])\s+"), 1, n), " ")
 
 
+#: Frequent words that tell languages apart, for the stand-in; ties go to the first.
+LANGUAGES = {"en": ["the", "and", "of"], "fr": ["le", "la", "et"], "de": ["der", "und", "die"], "es": ["el", "los", "y"]}
+
+
+def language(text: Column) -> Column:
+    """Stand-in for language detection: the language whose frequent words occur most; ``unknown`` without any."""
+
+    def count(ws: Column, marks: list[str]) -> Column:
+        return F.size(F.filter(ws, lambda w: w.isin(marks)))
+
+    def most(ws: Column) -> Column:
+        counts = F.array(*[F.struct(count(ws, marks).alias("n"), F.lit(-k).alias("first"), F.lit(name).alias("name")) for k, (name, marks) in enumerate(LANGUAGES.items())])
+        return X.let(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("unknown"))
+
+    return X.let(X.words(F.lower(text)), most)
+
+
 def title(text: Column, top: Column, first: int = 7) -> Column:
     """First words of a text and its most frequent ones in brackets."""
     return F.concat(F.array_join(F.slice(X.words(text), 1, first), " "), F.lit("... ["), top, F.lit("]"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from memlake.functions.ids import hash_id, uuid5
@@ -86,28 +84,50 @@ def nested_ontology(rows: DataFrame, levels: int, key: str = "name", kids: str =
     return out
 
 
-_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
-_RDFS = "{http://www.w3.org/2000/01/rdf-schema#}"
-_OWL = "{http://www.w3.org/2002/07/owl#}"
+def config_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, key, value)`` of flat configuration files: ``key: value`` lines, quotes and comments taken off."""
+    lines = spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
+    line = r"^([\w.-]+)\s*:\s*(?:\"([^\"]*)\"|'([^']*)'|(.*?))\s*(?:\s#.*)?$"
+    part = lambda k: F.regexp_extract("value", line, k)
+    return lines.where(F.col("value").rlike(line)).select("file", part(1).alias("key"), F.concat(part(2), part(3), part(4)).alias("value"))
+
+
+def config(spark: SparkSession, path: str) -> dict[str, str]:
+    """One configuration file as a mapping; it is small."""
+    return {r["key"]: r["value"] for r in config_rows(spark, path).collect()}
+
+
+#: The elements of an ontology file that are nodes, and their kind.
+NODE_TAGS = {"owl:Class": "classes", "rdfs:Class": "classes", "owl:NamedIndividual": "individuals"}
+#: The properties that mean "is a".
+IS_A = ("rdfs:subClassOf", "rdf:type")
 
 
 def rdf_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(id, name, kind)`` of an RDF/XML file's classes and individuals, and their ``(src, rel, dst)`` links."""
-    root = ET.fromstring(whole_text(spark, path).first()["text"])
-    short = lambda iri: iri.rpartition("#")[2] or iri.rpartition("/")[2]
-    nodes, links = [], []
-    for el in root:
-        iri = el.get(f"{_RDF}about") or el.get(f"{_RDF}ID")
-        if iri is None or el.tag not in (f"{_OWL}Class", f"{_OWL}NamedIndividual", f"{_RDFS}Class"):
+    """``(id, name, kind)`` of RDF/XML files' classes and individuals, and their ``(src, rel, dst)`` links.
+
+    Elements are read as rows, so files of any size are parsed by the executors.
+    """
+    short = lambda c: F.regexp_extract(c, r"([^#/]*)$", 1)
+    key = lambda c: F.translate(F.lower(short(c)), " ", "_")
+    nodes = spark.createDataFrame([], "id string, name string, kind string")
+    links = spark.createDataFrame([], "src string, rel string, dst string")
+    for tag, kind in NODE_TAGS.items():
+        rows = spark.read.format("xml").option("rowTag", tag).load(path)
+        names = [f"`{c}`" for c in ("_rdf:about", "_rdf:ID") if c in rows.columns]
+        if not names:
             continue
-        name = short(iri)
-        nodes.append((name.lower().replace(" ", "_"), name, "individuals" if el.tag == f"{_OWL}NamedIndividual" else "classes"))
-        for sub in el:
-            to = sub.get(f"{_RDF}resource")
-            if to:
-                rel = "is_a" if sub.tag in (f"{_RDFS}subClassOf", f"{_RDF}type") else sub.tag.rpartition("}")[2]
-                links.append((name.lower().replace(" ", "_"), rel, short(to).lower().replace(" ", "_")))
-    return spark.createDataFrame(nodes, "id string, name string, kind string"), spark.createDataFrame(links, "src string, rel string, dst string")
+        rows = rows.withColumn("__iri", F.coalesce(*names)).where("__iri is not null")
+        nodes = nodes.unionByName(rows.select(key(F.col("__iri")).alias("id"), short(F.col("__iri")).alias("name"), F.lit(kind).alias("kind")))
+        for f in rows.schema:
+            many = isinstance(f.dataType, T.ArrayType)
+            inner = f.dataType.elementType if many else f.dataType
+            if isinstance(inner, T.StructType) and "_rdf:resource" in inner.names:
+                to = F.explode(F.col(f"`{f.name}`.`_rdf:resource`")) if many else F.col(f"`{f.name}`.`_rdf:resource`")
+                rel = "is_a" if f.name in IS_A else f.name.rpartition(":")[2]
+                found = rows.select(key(F.col("__iri")).alias("src"), F.lit(rel).alias("rel"), to.alias("to")).where("to is not null")
+                links = links.unionByName(found.select("src", "rel", key(F.col("to")).alias("dst")))
+    return nodes, links
 
 
 def multihop(df: DataFrame, layout: str) -> tuple[DataFrame, DataFrame]:
@@ -127,5 +147,3 @@ def multihop(df: DataFrame, layout: str) -> tuple[DataFrame, DataFrame]:
         golden = F.array_join(F.transform("question_decomposition", lambda q: F.concat(at(q["paragraph_support_idx"])["title"], F.lit(": "), at(q["paragraph_support_idx"])["paragraph_text"])), "\n")
     docs = docs.distinct().select(hash_id(F.col("text"), "doc-").alias("doc_id"), "text")
     return docs, df.select("id", "question", "answer", golden.alias("golden"))
-
-

@@ -16,7 +16,7 @@ def ids(cell):
 
 def table():
     with open(f"{ROOT}/COVERAGE.md") as f:
-        return [(list(ids(a)), b) for a, b in re.findall(r"^\| ([^|]+) \| ([^|]+) \|$", f.read(), re.M)]
+        return [(list(ids(a)), b, c) for a, b, c in re.findall(r"^\| ([^|]+) \| ([^|]+) \| ([^|]+) \|$", f.read(), re.M)]
 
 
 def test_every_survey_operator_is_listed():
@@ -24,10 +24,21 @@ def test_every_survey_operator_is_listed():
         text = f.read()
     section = text[text.index("## 2. Operator inventory") : text.index("### 2.17")]
     asked = set(re.findall(r"^\| ([A-Z]+\d+) \|", section, re.M))
-    assert asked - {i for a, _ in table() for i in a} == set()
+    assert asked - {i for a, _, _ in table() for i in a} == set()
 
 
 def test_every_place_exists():
-    for _, where in table():
+    for _, where, _ in table():
         for module, name in re.findall(r"([a-z_.0-9]+):(\w+)", where):
             assert hasattr(importlib.import_module(f"memlake.{module}"), name), (module, name)
+
+
+def test_every_query_exists():
+    from memlake.plans import catalog
+
+    catalog.load()
+    for names, _, queries in table():
+        found = [q for q in re.findall(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b|\bconnections|\bneighbours|\bconcepts", queries)]
+        assert set(found) <= set(catalog.QUERIES), (names, set(found) - set(catalog.QUERIES))
+        sure = [q for q in found if q in catalog.SQL]
+        assert not names or sure or re.search("no SQL|none|every query", queries), names
