@@ -1,8 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A bucket of the hash space keeps its line hashes in sorted runs on levels.  Each
-batch (a chunk's run) is merge-anti-joined with the runs: lines that they hold
-are counted where they stand, and its new lines are added as a run of its own.
+batch (some chunks' runs) is merge-anti-joined with the runs: lines that they
+hold are counted where they stand, and its new lines are added as a run of its
+own.
 Whenever a level holds ``fanout`` runs, they are compacted into one of the next
 level.  A line is in one run only, so counts need no second look.
 """
@@ -10,6 +11,7 @@ level.  A line is in one run only, so counts need no second look.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,32 @@ class LevelledRuns:
         return out
 
 
+def batched(runs: list[np.ndarray], least: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of ``least`` lines or more of consecutive runs, and the place of each of their lines in the batch.
+
+    A batch is sorted and has each line once, with its documents added up and its largest id.
+    """
+    held, n = [], 0
+    for k, run in enumerate(runs, 1):
+        held.append(run)
+        n += len(run)
+        if n < least and k < len(runs):
+            continue
+        rows = np.concatenate(held)
+        order = np.lexsort((rows["h2"], rows["h1"]))
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])
+        at = np.flatnonzero(new)
+        batch = rows[at]
+        if len(at):
+            batch["docs"], batch["top"] = np.add.reduceat(rows["docs"], at), np.maximum.reduceat(rows["top"], at)
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        yield batch, place
+        held, n = [], 0
+
+
 def merged(runs: list[np.ndarray]) -> np.ndarray:
     """One sorted run of runs that share no line."""
     rows = np.concatenate(runs)
@@ -176,9 +204,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def answer(runs: list[np.ndarray]) -> list[np.ndarray]:
         store = LevelledRuns(fanout)
-        slots = [store.add(run) for run in runs]
+        slots = np.concatenate([store.add(batch)[place] for batch, place in batched(runs)])
         said = []
-        for run, slot in zip(runs, slots, strict=True):
+        for run, slot in zip(runs, np.split(slots, np.cumsum([len(r) for r in runs])[:-1]), strict=True):
             common = store.docs[slot] >= min_docs
             said.append(np.stack([common, common & (store.top[slot] == run["top"])], axis=1).astype(np.uint8))
         return said

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from memlake.llm.exact_dedup import exact_dedup
-from memlake.llm.line_dedup import LINE, LevelledRuns, dedup_lines
+from memlake.llm.line_dedup import LINE, LevelledRuns, batched, dedup_lines
 from memlake.llm.chunks import CHUNK, in_chunks
 from memlake.llm.substring_dedup import COVER, PERIOD, SHORT, Words, dedup_substrings
 
@@ -124,6 +124,24 @@ def test_levelled_runs_compact_and_anti_join():
     assert dict(zip(whole["h1"].tolist(), whole["docs"].tolist())) == seen
 
 
+def test_batches_count_each_line_once():
+    rng = np.random.default_rng(8)
+    runs, want = [], {}
+    for k in range(50):
+        run = np.zeros(int(rng.integers(1, 40)), LINE)
+        run["h1"] = np.sort(rng.choice(100, len(run), replace=False))
+        run["docs"], run["top"] = rng.integers(1, 4, len(run)), rng.integers(0, 1000, len(run))
+        runs.append(run)
+        for r in run.tolist():
+            docs, top = want.get(r[0], (0, -1))
+            want[r[0]] = docs + r[2], max(top, r[3])
+    for least in (1, 100, 10**6):
+        store = LevelledRuns(fanout=2)
+        slots = np.concatenate([store.add(batch)[place] for batch, place in batched(runs, least)])
+        for run, slot in zip(runs, np.split(slots, np.cumsum([len(r) for r in runs])[:-1]), strict=True):
+            assert list(zip(store.docs[slot].tolist(), store.top[slot].tolist())) == [want[h] for h in run["h1"].tolist()]
+
+
 def brute_exact(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
