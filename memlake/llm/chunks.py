@@ -11,12 +11,15 @@ executor's part is made again with the same runs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from memlake.llm.scratch import bounded_batches
+
 CHUNK = "__chunk"
 CARRY = "__carry"
 #: An id that is null counts as larger than any other.
@@ -28,8 +31,13 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def counts_for(total_bytes: int, chunk_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> tuple[int, int]:
-    """Numbers of chunks and of buckets for that many bytes of text."""
-    return max(128, -(-total_bytes // chunk_bytes)), max(64, -(-total_bytes // bucket_bytes))
+    """Numbers of chunks and of buckets for that many bytes of text.
+
+    Every chunk may send a run to every bucket, so both grow, up to four times,
+    where the input is so large that runs would hold a few hashes only.
+    """
+    larger = min(4, max(1, math.isqrt(total_bytes >> 38)))
+    return max(128, -(-total_bytes // (larger * chunk_bytes))), max(64, -(-total_bytes // (larger * bucket_bytes)))
 
 
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -37,6 +45,7 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, carry:
 
     Rows without an id are dealt by their number too, so many equal ones do not fall into one chunk.
     """
+    bounded_batches(docs.sparkSession)
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // 16))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias(CARRY)] if carry else []))
     number = F.when(F.col("id").isNull(), F.monotonically_increasing_id())

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.scratch import discard, written
+from memlake.llm.scratch import bounded_batches, discard, written
 
 _GROUPS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!", b"|", b"#$%&*+=<>^~@_\\/{}[]`", b"\n", b"-:;?'\"()", bytes(range(128, 256)))
 _MEMBER = np.array([[float(c in g) for g in _GROUPS] for c in range(256)])
@@ -49,6 +49,7 @@ def statistics_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, f.size + 1, N_FEATURES, dtype=np.int32), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("id"), lists], names=["id", "f"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, f array<double>")
 
@@ -113,7 +114,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, mo
     return docs.join(F.broadcast(y.select(id_col).distinct()), id_col, "left_semi"), y
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3, most: int = 1_000_000) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.02, threshold: float = 0.3, most: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that ``classify_quality`` predicts 1 for, with all their columns, row by row.
 
     Learns from at most about ``most`` labelled documents.  Null and empty texts

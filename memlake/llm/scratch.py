@@ -39,6 +39,15 @@ def discard(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.__dict__["_scratch"])
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets texts go to Python workers in batches of 8 MB, unless the session says otherwise: ten thousand texts may be any size."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

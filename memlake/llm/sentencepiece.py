@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from memlake.llm.scratch import bounded_batches
+
 #: The metaspace marker.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -259,6 +261,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     """
     if verify_parity(model, PROBES):
         raise ValueError("the rebuilt tokenizer differs from the SentencePiece library")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.components import connected_components
-from memlake.llm.scratch import discard, written
+from memlake.llm.scratch import BATCH_BYTES, bounded_batches, discard, written
 from memlake.llm.shingles import WIDE, set_table, shingle_sets, similar_pairs, texts_of, wide_fingerprint
 from memlake.llm.substring_dedup import mix
 
@@ -43,7 +43,7 @@ _WIDE_BALL = np.concatenate([[0], 1 << np.arange(BALL_BITS)]).astype(np.uint64)
 #: Fingerprints that are compared with each other before any is sent, and how many near one of them are sent all the same.
 LOCAL, SENT = 2048, 32
 ROW = "__row"
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", BATCH_BYTES: str(8 << 20)}
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 

@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm.scratch import create_file, drop_path, list_files, read_file
+from memlake.llm.scratch import bounded_batches, create_file, drop_path, list_files, read_file
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -84,6 +84,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[bytes, str] | str
     one; an empty table gives an empty result.  Columns of ``docs`` that are
     named ``tokenizer`` or ``tokens`` give way to the new ones.
     """
+    bounded_batches(docs.sparkSession)
     text = "__text"
     while text in docs.columns:
         text += "_"
