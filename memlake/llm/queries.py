@@ -101,6 +101,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": r"""
+            WITH w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+            ), p AS (
+                SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
+            ), k AS (
+                SELECT *, string_agg(word, ' ') OVER n AS key, count(*) OVER n = 13 AS whole FROM p WINDOW n AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+            ), l AS (
+                SELECT key, min(doc_id) AS low FROM k WHERE whole GROUP BY key
+            ), h AS (
+                SELECT k.doc_id, pos, word, coalesce(whole AND low < k.doc_id, false) AS hit FROM k LEFT JOIN l ON k.key = l.key AND whole
+            ), g AS (
+                SELECT doc_id, pos, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h
+            ), s AS (
+                SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id
+            )
+            SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)""",
         "op2_url_filter": r"""
             WITH u AS (
                 SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
