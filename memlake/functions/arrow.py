@@ -125,25 +125,29 @@ def closest_match(candidates: list[str], cutoff: float = 0.8):
 
 
 def close_json(text: str | None) -> str | None:
-    """``text`` up to its last complete element, with its open strings and brackets closed; null if still no JSON."""
+    """``text`` up to its last complete element, with its open strings and brackets closed; null if still no JSON.
+
+    One pass notes what is open at each place where an element may end.
+    """
     if text is None:
         return None
-    for end in range(len(text), 0, -1):
-        if end < len(text) and text[end] not in ",]}":
-            continue
-        stack, quoted, skip = [], False, False
-        for c in text[:end]:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}" and stack:
-                stack.pop()
-        fixed = text[:end] + '"' * quoted + "".join(reversed(stack))
+    ends, open_, quoted, skip = [], "", False, False
+    for at, c in enumerate(text):
+        if at and c in ",]}":
+            ends.append((at, quoted, open_))
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            open_ += "]" if c == "[" else "}"
+        elif c in "]}":
+            open_ = open_[:-1]
+    ends.append((len(text), quoted, open_))
+    for at, inside, closing in reversed(ends):
+        fixed = text[:at] + '"' * inside + closing[::-1]
         try:
             json.loads(fixed)
             return fixed

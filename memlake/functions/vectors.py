@@ -40,4 +40,16 @@ def mean_vector(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x.cast("double") + y.cast("double")) / 2)
 
 
+def pooled(tokens: Column, mask: Column, how: str = "mean") -> Column:
+    """One vector of a text's token vectors: the mean of those whose mask is set (null without any), or the first, ``cls``."""
+    if how == "cls":
+        return F.try_element_at(tokens, F.lit(1))
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["t"])
+
+    def mean(vs: Column) -> Column:
+        return F.when(F.size(vs) > 0, F.transform(vs[0], lambda _, i: F.aggregate(vs, F.lit(0.0), lambda s, v: s + F.element_at(v, i + 1).cast("double")) / F.size(vs)))
+
+    return let(kept, mean)
+
+
 METRICS = {"ip": (dot, True), "cosine": (cosine, True), "l2": (l2, False)}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import text as X
 from memlake.functions.arrow import rouge_l
+from memlake.scratch import cut
 
 SCALED = r"_len|_time"
 
@@ -115,13 +116,17 @@ def summary_scores(df: DataFrame) -> DataFrame:
 def nearest_titles(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title") -> DataFrame:
     """``(name, nearest, distance)`` by edit distance in lower case; ties go to the smallest title.
 
-    Names meet titles by blocks of the titles; each block's best go on.
+    One title of each length gives a name a first distance; then it meets only
+    titles whose length differs by no more, and no distance is followed beyond it.
     """
-    blocks = 16
-    t = titles.select(F.col(title).alias("t")).distinct().withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
-    n = names.select(F.col(name).alias("n")).distinct().withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = n.join(t, "b").select("n", F.struct(F.levenshtein(F.lower("n"), F.lower("t")).alias("d"), "t").alias("x"))
-    best = d.groupBy("n").agg(F.min("x").alias("x"))
+    size = lambda c: F.length(F.lower(c))
+    t = cut(titles.select(F.col(title).alias("t")).where("t is not null").distinct().withColumn("size", size("t")))
+    n = names.select(F.col(name).alias("n")).where("n is not null").distinct()
+    some = t.groupBy("size").agg(F.min("t").alias("t"))  # one row a length
+    first = cut(n.join(F.broadcast(some)).groupBy("n").agg(F.min(F.levenshtein(F.lower("n"), F.lower("t"))).alias("most")))
+    reach = first.withColumn("size", F.explode(F.sequence(F.greatest(size("n") - F.col("most"), F.lit(0)), size("n") + F.col("most"))))
+    d = reach.join(t, "size").withColumn("d", F.levenshtein(F.lower("n"), F.lower("t")))
+    best = d.where("d <= most").groupBy("n").agg(F.min(F.struct("d", "t")).alias("x"))
     return best.select(F.col("n").alias(name), F.col("x.t").alias("nearest"), F.col("x.d").alias("distance"))
 
 
@@ -155,8 +160,8 @@ def bootstrap_interval(scores: DataFrame, col: str = "score", samples: int = 10_
     drawn = values.mapInArrow(draw, "k long, n double, total double")
     means = drawn.groupBy("k").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
-    cut = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return scores.agg(F.avg(col).alias("mean")).join(F.broadcast(cut))
+    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return scores.agg(F.avg(col).alias("mean")).join(F.broadcast(ends))
 
 
 def rouge_best(df: DataFrame, pred: str = "output", golds: str = "answers") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from memlake.functions.ids import node_id
 from memlake.functions.text import node_key
 from memlake.operators.vector_store import knn_join
-from memlake.scratch import cut
+from memlake.scratch import cut, drop
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -162,6 +162,22 @@ def connections(edges: DataFrame, nodes: DataFrame, of: DataFrame, rel: str | No
     return out_.union(in_).join(nodes.select(F.col("id").alias("other")), "other", "left_semi").select("id", "direction", "rel", "other")
 
 
+def match_path(edges: DataFrame, steps: list[str], start: DataFrame | None = None) -> DataFrame:
+    """``(n0, n1, …)``: the paths of a pattern of relations, from ``start (id)`` where given.
+
+    A step is a relation's name, followed from source to target, or from target
+    to source after ``<``; ``*`` is any relation.  A node may occur twice.
+    """
+    out = None if start is None else start.select(F.col("id").alias("n0"))
+    for k, step in enumerate(steps):
+        rel, back = step.lstrip("<"), step.startswith("<")
+        e = edges if rel == "*" else edges.where(F.col("rel") == rel)
+        a, b = ("dst", "src") if back else ("src", "dst")
+        hop = e.select(F.col(a).alias(f"n{k}"), F.col(b).alias(f"n{k + 1}")).distinct()
+        out = hop if out is None else out.join(hop, f"n{k}")
+    return out.select(*[f"n{k}" for k in range(len(steps) + 1)])
+
+
 def neighbours(edges: DataFrame, of: DataFrame) -> DataFrame:
     return both_ways(edges.select("src", "dst")).join(of.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).distinct()
 
@@ -197,6 +213,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = cut(two.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        drop(pairs, large)
         if small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and small.groupBy("u").count().where("count > 1").isEmpty():
             break
         pairs = small
@@ -224,7 +241,8 @@ def hops(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFr
         front = cut(near.join(seen, ["src", "dst"], "left_anti").withColumn("dist", F.lit(d)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        before, seen = seen, cut(seen.unionByName(front))
+        drop(before)
     return seen
 
 
@@ -322,7 +340,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     linked = step.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
     s = cut(s.select("id", reset.alias("reset")).join(linked, "id", "left").fillna(False, ["linked"]))
     rank = s.select("id", F.col("reset").alias("rank"))
-    some_stuck = not s.where("not linked").isEmpty()
+    some_stuck, written = not s.where("not linked").isEmpty(), []
     for k in range(rounds):
         got = step.join(rank, step.src == rank.id).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         new = s.join(got.withColumnRenamed("dst", "id"), "id", "left").fillna(0.0, ["got"])
@@ -332,6 +350,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
         rank = new.select("id", (damping * F.col("got") + (1 - damping) * F.col("reset")).alias("rank"))
         if k % 4 == 3:
             rank = cut(rank)
+            drop(*written)
+            written = [rank]
     return rank
 
 
@@ -350,7 +370,7 @@ def pagerank_of_queries(edges: DataFrame, seeds: DataFrame, damping: float = 0.5
     total = s.groupBy("query_id").agg(F.sum("w").alias("total"))
     reset = cut(s.join(total, "query_id").select("query_id", "id", (F.col("w") / F.col("total")).alias("reset")))
     linked = step.select(F.col("src").alias("id")).distinct()
-    lone = not reset.join(linked, "id", "left_anti").isEmpty()
+    lone, written = not reset.join(linked, "id", "left_anti").isEmpty(), []
     rank = reset.withColumnRenamed("reset", "rank")
     for k in range(rounds):
         moved = rank.join(step, rank.id == step.src).groupBy("query_id", "dst").agg(F.sum(F.col("p") * F.col("rank")).alias("x")).select("query_id", F.col("dst").alias("id"), (damping * F.col("x")).alias("x"))
@@ -362,6 +382,8 @@ def pagerank_of_queries(edges: DataFrame, seeds: DataFrame, damping: float = 0.5
         rank = moved.unionByName(back).groupBy("query_id", "id").agg(F.sum("x").alias("rank"))
         if k % 4 == 3:
             rank = cut(rank)
+            drop(*written)
+            written = [rank]
     return rank
 
 
@@ -395,7 +417,9 @@ def best_first(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, rounds:
         front = cut(new.join(best.withColumnRenamed("cost", "had"), "id", "left").where("had is null or cost < had").select("id", "cost"))
         if front.isEmpty():
             break
-        best = cut(best.union(front).groupBy("id").agg(F.min("cost").alias("cost")))
+        before, best = best, cut(best.union(front).groupBy("id").agg(F.min("cost").alias("cost")))
+        if before is not front:
+            drop(before)
     return best
 
 
@@ -408,5 +432,6 @@ def ontology_closure(links: DataFrame, start: DataFrame, depth: int | None = Non
         front = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        before, seen = seen, cut(seen.unionByName(front))
+        drop(before)
     return seen

@@ -168,5 +168,6 @@ def search_types() -> Registry:
     r.add("graph_completion", graph.triplet_topk)
     r.add("fused", fused)
     r.add("fused_batch", fused_batch)
+    r.add("pattern", graph.match_path)
     r.add("cypher", lambda spark, sql: spark.sql(sql))
     return r

@@ -146,7 +146,16 @@ def block_undo(spark: SparkSession, d: str) -> DataFrame:
     return M.checkpoint_neighbours(e)
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT conv_id AS block_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN role = 'user' THEN 'checkpoint' WHEN turn % 4 = 1 THEN 'undo' ELSE 'redo' END AS op, text AS value FROM conversations),
+    r(block_id, i, stack, pos) AS (
+        SELECT DISTINCT block_id, 0::BIGINT, []::VARCHAR[], 0::BIGINT FROM o
+        UNION ALL
+        SELECT r.block_id, r.i + 1, CASE WHEN op = 'checkpoint' THEN list_append(stack[1:pos], value) ELSE stack END,
+               CASE op WHEN 'checkpoint' THEN pos + 1 WHEN 'undo' THEN greatest(pos - 1, least(pos, 1)) ELSE least(pos + 1, len(stack)) END
+        FROM r JOIN o ON o.block_id = r.block_id AND o.i = r.i + 1
+    ), e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY i DESC) = 1)
+    SELECT block_id, CAST(pos AS INT) AS position, CAST(len(stack) AS INT) AS depth, CASE WHEN pos > 0 THEN stack[pos] END AS value FROM e""")
 def block_fold(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation as a block: user turns checkpoint, the others undo and redo in turn."""
     op = F.when(F.col("role") == "user", "checkpoint").when(F.col("turn") % 4 == 1, "undo").otherwise("redo")

@@ -109,6 +109,13 @@ def two_hop_search(spark: SparkSession, d: str) -> DataFrame:
     return GM.two_hop(e, n.where("id LIKE 'supplier:%'"), ["s_nationkey"], ["n_regionkey"])
 
 
+@query(f"""WITH {_EDGES}, a AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'n_regionkey'), b AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 's_nationkey')
+    SELECT b.src AS n0, b.dst AS n1, a.dst AS n2, o.src AS n3 FROM b JOIN a ON a.src = b.dst JOIN a o ON o.dst = a.dst""")
+def path_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers, their nation, its region, and that region's nations, by a pattern of relations."""
+    return R.search_types().search("pattern", _relational(spark, d)[1], ["s_nationkey", "n_regionkey", "<n_regionkey"])
+
+
 _JUDGED = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'abstention' WHEN 1 THEN 'temporal' WHEN 2 THEN 'preference' ELSE 'single' END AS kind FROM conversations"""
 
 

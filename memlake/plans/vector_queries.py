@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from memlake.functions.vectors import mean_vector, pooled
 from memlake.operators import bm25, cluster_tree, retrieval
 from memlake.operators.vector_store import knn_join, minmax, predicate, similar_pairs, topk
 from memlake.plans.catalog import query
@@ -76,6 +77,17 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid(lexical, topk(v, asked, 50), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""WITH t AS (SELECT vec_id, embedding AS a, list_reverse(embedding) AS b FROM embeddings), e AS (SELECT vec_id, unnest(range(len(a))) AS i, unnest(a) AS a, unnest(b) AS b FROM t)
+    SELECT vec_id, CAST(i AS INT) AS i, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS mean, a AS first, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS halves FROM e""")
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Token vectors pooled by their mask, by the first one, and from two halves."""
+    v = table(spark, d, "embeddings").withColumn("b", F.reverse("embedding"))
+    tokens = F.array("embedding", "b", F.transform("b", lambda x: x * 0 + 9))
+    mask = F.array(F.lit(1), F.lit(1), F.lit(0))
+    rows = v.select("vec_id", F.arrays_zip(pooled(tokens, mask).alias("mean"), pooled(tokens, mask, "cls").alias("first"), mean_vector(F.col("embedding"), F.col("b")).alias("halves")).alias("z"))
+    return rows.select("vec_id", F.posexplode("z").alias("i", "z")).select("vec_id", "i", F.round("z.mean", 6).alias("mean"), F.col("z.first").alias("first"), F.round("z.halves", 6).alias("halves"))
+
+
 @query()
 def cluster_tree_levels(spark: SparkSession, d: str) -> DataFrame:
     leaves = _vectors(spark, d).withColumn("text", F.concat(F.lit("leaf "), F.col("id").cast("string")))

@@ -30,6 +30,16 @@ class HashEmbedder:
         return F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.aggregate(F.filter(both, lambda z: z["a"] == i), F.lit(0.0), lambda t, z: t + z["s"]).cast("float"))
 
 
+#: Embedders by name; a model's own class is added to it.
+EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hash": HashEmbedder}
+
+
+def embedder(name: str = "hash", dims: int = 64) -> Embedder:
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {name}")
+    return EMBEDDERS[name](dims)
+
+
 class PatternExtractor:
     """Stand-in for entity extraction: typed patterns."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -47,6 +47,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def polled(df: DataFrame, add: Callable[[DataFrame, int], None], checkpoint: str, interval: str) -> StreamingQuery:
+    """Looks for new rows every ``interval`` until it is stopped, and gives each batch to ``add``."""
+    return df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def windows(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums by tumbling or sliding window; ``late`` bounds how late an event may come."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

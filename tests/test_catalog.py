@@ -45,3 +45,42 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.isdir(e.HERE)
+
+
+def test_persons_and_addresses(spark, sf_dir):
+    """The two patterns that the SQL engine cannot run, against Python's."""
+    import re
+
+    from memlake.functions.text import ENTITY_PATTERNS
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    got = {(r.page_id, r.type): r.hits for r in catalog.QUERIES["regex_entities_all"](spark, sf_dir).collect()}
+    for kind in ("PERSON", "IP_ADDRESS"):
+        pattern = re.compile(ENTITY_PATTERNS[kind][0])
+        want = {r.page_id: n for r in pages if (n := sum(1 for _ in pattern.finditer(r.html)))}
+        assert {p: n for (p, k), n in got.items() if k == kind} == want
+
+
+def test_bootstrap_is_of_the_labels(spark, sf_dir):
+    """The interval of ten thousand resamples is that of the binomial."""
+    q = [r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("quality").collect()]
+    r = catalog.QUERIES["bootstrap_ci"](spark, sf_dir).first()
+    p, n = sum(q) / len(q), len(q)
+    half = 1.96 * (p * (1 - p) / n) ** 0.5
+    assert abs(r.mean - p) < 1e-9 and abs(r.low - (p - half)) < 0.25 * half and abs(r.high - (p + half)) < 0.25 * half
+
+
+def test_clusters_are_trees(spark, sf_dir):
+    """Each level's nodes are all children of the next, once; a parent's vector is its children's mean."""
+    from memlake.operators.cluster_tree import build_tree
+    from pyspark.sql import functions as F
+
+    leaves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("some words").alias("text"))
+    nodes = {r.id: r for r in build_tree(leaves, levels=2).collect()}
+    for level in range(max(r.level for r in nodes.values())):
+        own = sorted(i for i, r in nodes.items() if r.level == level)
+        parents = [r for r in nodes.values() if r.level == level + 1]
+        assert sorted(c for r in parents for c in r.children) == own
+        for r in parents:
+            mean = [sum(x) / len(r.children) for x in zip(*(nodes[c].vector for c in r.children))]
+            assert r.vector == pytest.approx(mean, abs=1e-5)

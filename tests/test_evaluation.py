@@ -171,3 +171,107 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "b")).collect()] == [("k", "1", 2)]
     assert [list(x) for x in spark.range(1).select(S.batched(F.array(*map(F.lit, range(5))), 2)).first()[0]] == [[0, 1], [2, 3], [4]]
     assert S.task_chain(spark.range(4), lambda d: d.where("id > 1"), lambda d: d.limit(1)).count() == 1
+
+
+def test_rouge_lsum_is_rouge_l_on_one_line_and_unites_lines(spark):
+    from memlake.functions.arrow import lcs_length, lcs_places, rouge_l, rouge_lsum, summary_hits
+
+    df = spark.createDataFrame([("the cat sat on a mat", "a cat sat there"), ("", "x"), (None, None), ("a b", "a b")], "p string, g string")
+    for r in df.select(rouge_l("p", "g").alias("a"), rouge_lsum("p", "g").alias("b")).collect():
+        assert tuple(r.a) == pytest.approx(tuple(r.b))
+    # The gold's line is covered by two lines together; a word counts as often as both texts have it.
+    assert summary_hits("w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5", "w1 w2 w3 w4 w5") == (4, 10, 5)
+    assert summary_hits("x\nx", "x x x") == (1, 2, 3)
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in "ab")
+        places = sorted(lcs_places(a, b))
+        assert len(places) == lcs_length(a, b)
+        it = iter(b)
+        assert all(a[i] in it for i in places)
+
+
+def test_chunks_by_bpe_tokens(spark):
+    from memlake.functions.arrow import BpeSize
+    from memlake.operators.chunking import packed_chunks
+    from memlake.plans.text_queries import BPE_PATTERN, BPE_RANKS
+
+    with open(BPE_RANKS, "rb") as f:
+        size = BpeSize(f.read(), BPE_PATTERN)
+    assert size("") == 0 and size("Hello world") == 2
+    text = " ".join(f"Sentence number {i} is here." for i in range(40))
+    parts = [r.text for r in packed_chunks(spark.createDataFrame([(1, text)], "doc_id int, text string"), 30, size=size).orderBy("pos").collect()]
+    whole = [s for s in parts if s]
+    assert " ".join(whole) == text and all(sum(size(s) for s in p.replace(". ", ".|").split("|")) <= 30 for p in whole)
+
+
+def test_languages(spark):
+    from memlake.providers import language
+
+    df = spark.createDataFrame([("The cat and the dog",), ("Le chat et la souris",), ("der Hund und die Katze",), ("el perro y los gatos",), ("xyz",), ("the la",)], "t string")
+    assert [r.l for r in df.select(language(F.col("t")).alias("l")).collect()] == ["en", "fr", "de", "es", "unknown", "en"]
+
+
+def test_broken_json_is_closed_in_one_pass():
+    import json
+
+    from memlake.functions.arrow import close_json
+
+    whole = '{"a": ["x, y", {"b": 1}], "c": "d\\"e"}'
+    for n in range(1, len(whole) + 1):
+        got = close_json(whole[:n])
+        assert got is None or json.loads(got) is not None
+    assert close_json(whole) == whole and json.loads(close_json(whole[:20])) == {"a": ["x, y"]}
+    assert close_json(None) is None and close_json("no") is None
+    assert close_json('["' + "a" * 200_000) is not None
+
+
+def test_nearest_titles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcAB ") for _ in range(rng.randrange(0, 12)))
+    titles, names = {word() for _ in range(80)}, {word() for _ in range(60)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {n: min((distance(n.lower(), t.lower()), t) for t in titles) for n in names}
+    got = ev.nearest_titles(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame([(t,) for t in titles] + [(None,)], "title string"))
+    assert {r.name: (r.distance, r.nearest) for r in got.collect()} == want
+
+
+def test_pooling(spark):
+    from memlake.functions.vectors import pooled
+
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "t array<array<double>>, m array<int>")
+    r = df.select(pooled(F.col("t"), F.col("m")), pooled(F.col("t"), F.col("m"), "cls")).collect()
+    assert [list(x) for x in r] == [[[2.0, 3.0], [1.0, 2.0]], [None, [1.0, 2.0]]]
+
+
+def test_embedders_by_name(spark):
+    from memlake.providers import EMBEDDERS, embedder
+
+    assert embedder("hash", 8).dims == 8 and "hash" in EMBEDDERS
+    with pytest.raises(ValueError):
+        embedder("none")
+
+
+def test_polling_finds_new_files(spark, tmp_path):
+    seen = []
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    q = S.polled(S.table_stream(spark, str(tmp_path / "in"), "id long"), lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "c"), "100 milliseconds")
+    try:
+        q.processAllAvailable()
+        spark.range(3, 5).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(seen) == [0, 1, 2, 3, 4]

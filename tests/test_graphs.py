@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import graph as G, graph_memory as GM
+from memlake.operators import graph as G, graph_memory as GM, retrieval as R
 
 
 def graph(spark, n, links):
@@ -171,3 +171,47 @@ def test_closure_has_no_depth_limit_and_takes_cycles(spark):
     start = spark.createDataFrame([(0,)], "id int")
     assert {r.id: r.depth for r in G.ontology_closure(links, start).collect()} == {i: i for i in range(54)}
     assert G.ontology_closure(links, start, 2).count() == 3
+
+
+@pytest.mark.parametrize("links", [{(0, 1): 1.0, (1, 2): 2.0, (2, 3): 0.5, (3, 0): 1.0}, {(0, 1): 1.0, (1, 2): 3.0}])
+def test_walks_of_many_queries_match_power_iteration(spark, links):
+    """Node 4 has no edges: the mass of a seed there restarts."""
+    e = spark.createDataFrame([(str(a), str(b), w) for (a, b), w in links.items()], "src string, dst string, weight double")
+    weights = {"x": [1, 0, 3, 0, 0.5], "y": [0, 0, 1, 0, 0], "z": [0, 0, 0, 0, 2]}
+    seeds = spark.createDataFrame([(q, str(i), w / 2) for q, ws in weights.items() for i, w in enumerate(ws) for _ in range(2)] + [("x", "3", -1.0)], "query_id string, id string, weight double")
+    got = {(r.query_id, r.id): r.rank for r in G.pagerank_of_queries(e, seeds, 0.5, 12).collect()}
+    for q, ws in weights.items():
+        want = pagerank(5, links, ws, 0.5, 12)
+        assert [got.get((q, str(i)), 0.0) for i in range(5)] == pytest.approx(want.tolist())
+
+
+def test_all_questions_are_fused_as_one_is(spark):
+    facts = spark.createDataFrame([(1, "a", "r", "b"), (2, "b", "r", "c"), (3, "d", "r", "a")], "fact_id int, s string, p string, o string")
+    mentions = spark.createDataFrame([("P1", "a"), ("P1", "b"), ("P2", "c"), ("P3", "d"), ("P3", "a")], "chunk_id string, phrase string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("d", "a", 1.0), ("P1", "a", 1.0), ("P1", "b", 1.0), ("P2", "c", 1.0), ("P3", "d", 1.0), ("P3", "a", 1.0)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in ("a", "b", "c", "d", "P1", "P2", "P3")], "id string")
+    hits = spark.createDataFrame([("q1", 1, 0.9), ("q1", 2, 0.5), ("q2", 3, 0.7)], "query_id string, fact_id int, score double")
+    dense = spark.createDataFrame([(q, p, s + k / 7) for k, q in enumerate(("q1", "q2", "q3")) for p, s in (("P1", 0.3), ("P2", 0.9), ("P3", 0.5))], "query_id string, id string, score double")
+    got = R.fused_batch(facts, hits, mentions, dense, edges, 3).collect()
+    for q in ("q1", "q2", "q3"):
+        one = R.fused(facts, hits.where(F.col("query_id") == q).drop("query_id"), mentions, dense.where(F.col("query_id") == q).drop("query_id"), nodes, edges, 3).collect()
+        want = sorted((r.rank, r.passage_id, round(r.score, 5)) for r in one)
+        assert sorted((r.rank, r.passage_id, round(r.score, 5)) for r in got if r.query_id == q) == want
+
+
+def test_hubs_do_not_change_the_coefficient(spark):
+    rng = np.random.default_rng(2)
+    links = {(0, i) for i in range(1, 60)} | {tuple(sorted(map(int, rng.choice(np.arange(1, 60), 2, replace=False)))) for _ in range(150)}
+    n, e = graph(spark, 61, sorted(links) + [(5, 5)])
+    near = {i: {a + b - i for a, b in links if i in (a, b)} for i in range(61)}
+    want = {str(i): 2 * sum((a, b) in links for a in s for b in s if a < b) / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for i, s in near.items()}
+    assert {r.id: pytest.approx(r.coefficient) for r in G.clustering(n, e).collect()} == want
+
+
+def test_relations_of_all_similar_nodes(spark):
+    """More nodes than any cut-off lie above the threshold: all of their relations are found."""
+    nodes = spark.createDataFrame([(f"n{i}", [1.0, i / 1000]) for i in range(300)], "id string, vector array<double>")
+    edges = spark.createDataFrame([(f"n{i}", "r", "x") for i in range(300)], "src string, rel string, dst string")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
+    assert GM.both_directions(nodes, edges, asked, 0.7).count() == 300
+    assert GM.both_directions(nodes, edges, asked, 0.7, 10).count() == 10

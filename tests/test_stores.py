@@ -192,3 +192,28 @@ def test_multihop(spark):
     b = spark.createDataFrame([("1", "q", "x", [("T", "body")], [("sub", "y", 0)])], "id string, question string, answer string, paragraphs array<struct<title:string,paragraph_text:string>>, question_decomposition array<struct<question:string,answer:string,paragraph_support_idx:int>>")
     docs, qa = files.multihop(b, "paragraphs")
     assert docs.count() == 1 and qa.first().golden == "T: body"
+
+
+def test_range_operators_take_a_dollar_sign(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "n int")
+    for f in ({"gte": 3, "lt": 5}, {"$gte": 3, "$lt": 5}):
+        assert sorted(r.n for r in df.where(predicate({"n": f})).collect()) == [3, 4]
+    assert df.where(predicate({"n": {"$ne": 3}, "other": None})).count() == 9
+
+
+def test_numbers_follow_the_order(spark):
+    import random
+
+    ids = random.Random(1).sample(range(10**6), 500)
+    got = {r.n: r.pos for r in T.numbered(spark.createDataFrame([(i,) for i in ids], "n long").repartition(7), "n", "pos").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+
+
+def test_only_the_owners_memories_are_similar(spark):
+    v = lambda *x: list(map(float, x))
+    memories = spark.createDataFrame([("a", "u", v(1, 0)), ("a", "u", v(0.9, 0.1)), ("b", "u", v(0, 1)), ("c", "w", v(1, 0)), ("z", "u", v(0, 0))], "memory_id string, user_id string, vector array<double>")
+    facts = spark.createDataFrame([(1, "u", v(1, 0), True), (2, "u", v(1, 0), False), (3, "x", v(1, 0), True)], "fact_id int, user_id string, vector array<double>, negates boolean")
+    near = M.similar_memories(facts, memories, 5)
+    assert sorted((r.fact_id, r.memory_id) for r in near.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    got = {r.fact_id: (r.event, r.memory_id) for r in M.decide(facts, near, negates=F.col("negates")).collect()}
+    assert got == {1: ("DELETE", "a"), 2: ("NONE", "a"), 3: ("ADD", None)}
