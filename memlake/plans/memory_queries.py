@@ -102,7 +102,7 @@ def last_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT conv_id, list(turn ORDER BY turn) AS ts FROM conversations WHERE role <> 'system' GROUP BY conv_id), k AS (SELECT conv_id, ts, unnest(range((len(ts) + 2) // 3)) AS k FROM l)
-    SELECT conv_id, CAST(k AS INT) AS batch, ts[k * 3 + 1 : k * 3 + 3] AS turns FROM k""")
+    SELECT conv_id, CAST(k AS INT) AS batch, array_to_string(ts[k * 3 + 1 : k * 3 + 3], ',') AS turns FROM k""")
 def batched_tasks(spark: SparkSession, d: str) -> DataFrame:
     """A chain of tasks as one plan: filter, gather, cut into batches."""
     return task_chain(
@@ -110,6 +110,7 @@ def batched_tasks(spark: SparkSession, d: str) -> DataFrame:
         lambda df: df.where("role <> 'system'"),
         lambda df: df.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("ts")),
         lambda df: df.select("conv_id", F.posexplode(batched(F.col("ts"), 3)).alias("batch", "turns")),
+        lambda df: df.withColumn("turns", F.array_join("turns", ",")),
     )
 
 

@@ -158,9 +158,10 @@ def block_edits(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", X.block_append("block", F.lit("new")).alias("appended"), X.block_replace("block", F.col("c_name"), F.lit("X")).alias("replaced"), X.block_insert("block", 1, F.lit("mid")).alias("inserted"), X.block_insert("block", -1, F.lit("end")).alias("last"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN [text] ELSE [] END AS listed FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS listed, CASE WHEN role = 'user' THEN text END AS first FROM conversations")
 def listed_values(spark: SparkSession, d: str) -> DataFrame:
     """Scalars as lists of one; null and empty ones as empty lists."""
     from memlake.sources.tables import as_list
 
-    return table(spark, d, "conversations").select("conv_id", "turn", as_list(F.when(F.col("role") == "user", F.col("text")).when(F.col("role") == "system", "")).alias("listed"))
+    one = as_list(F.when(F.col("role") == "user", F.col("text")).when(F.col("role") == "system", ""))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(one).alias("listed"), F.try_element_at(one, F.lit(1)).alias("first"))

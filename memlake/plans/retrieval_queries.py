@@ -30,7 +30,7 @@ def gated_answers(spark: SparkSession, d: str) -> DataFrame:
     return R.gated(_hits(spark, d), i % 3 != 0, i % 2 == 1, i % 5)
 
 
-@query(f"WITH {_HITS} SELECT DISTINCT query_id // 2 AS question_id, id FROM hits")
+@query(f"WITH {_HITS} SELECT DISTINCT CAST(query_id // 2 AS BIGINT) AS question_id, id FROM hits")
 def union_of_rewrites(spark: SparkSession, d: str) -> DataFrame:
     """Passages found by any rewrite of a question, each once."""
     return R.union_of_queries(_hits(spark, d).select((F.col("query_id") / 2).cast("long").alias("question_id"), "id"))

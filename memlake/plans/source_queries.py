@@ -246,13 +246,13 @@ def picked_fields(spark: SparkSession, d: str) -> DataFrame:
     WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS qs, list(text ORDER BY turn) FILTER (role = 'assistant') AS ans FROM conversations GROUP BY conv_id),
     z AS (SELECT conv_id, coalesce(qs, []) AS qs, coalesce(ans, []) AS ans FROM c),
     m AS (SELECT conv_id, unnest(range(least(len(qs), len(ans)))) AS pos, qs, ans FROM z WHERE len(qs) > 1 AND len(ans) > 1)
-    SELECT conv_id, CAST(pos AS INT) AS pos, qs[pos + 1] AS question, [ans[pos + 1]] AS answers FROM m
-    UNION ALL SELECT conv_id, 0, qs[1], ans FROM z WHERE NOT (len(qs) > 1 AND len(ans) > 1)""")
+    SELECT conv_id, CAST(pos AS INT) AS pos, qs[pos + 1] AS question, 1 AS n, ans[pos + 1] AS answers FROM m
+    UNION ALL SELECT conv_id, 0, qs[1], CAST(len(ans) AS INT), array_to_string(ans, '|') FROM z WHERE NOT (len(qs) > 1 AND len(ans) > 1)""")
 def question_pairs(spark: SparkSession, d: str) -> DataFrame:
     """A conversation's user messages as questions, the assistant's as answers, paired by position."""
     t = table(spark, d, "conversations")
     of = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
-    return T.question_pairs(t.groupBy("conv_id").agg(of("user").alias("questions"), of("assistant").alias("answers")), "conv_id")
+    return T.question_pairs(t.groupBy("conv_id").agg(of("user").alias("questions"), of("assistant").alias("answers")), "conv_id").withColumn("n", F.size("answers")).withColumn("answers", F.array_join("answers", "|"))
 
 
 @query("SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey DESC LIMIT 3")

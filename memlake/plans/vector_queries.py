@@ -78,7 +78,7 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT vec_id, embedding AS a, list_reverse(embedding) AS b FROM embeddings), e AS (SELECT vec_id, unnest(range(len(a))) AS i, unnest(a) AS a, unnest(b) AS b FROM t)
-    SELECT vec_id, CAST(i AS INT) AS i, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS mean, a AS first, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS halves FROM e""")
+    SELECT vec_id, CAST(i AS INT) AS i, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS mean, a::DOUBLE AS first, round((a::DOUBLE + b::DOUBLE) / 2, 6) AS halves FROM e""")
 def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Token vectors pooled by their mask, by the first one, and from two halves."""
     v = table(spark, d, "embeddings").withColumn("b", F.reverse("embedding"))
