@@ -52,6 +52,11 @@ class Model:
     escape: bool = True
     suffix: bool = False
 
+    @property
+    def stripped(self) -> bool:
+        """A decoded text loses one space at its start, as the one that was put there (the library does so for suffixes too)."""
+        return self.add_prefix and self.escape
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Numbers and values of a protobuf message's fields."""
@@ -132,11 +137,9 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(m: Model):
-    """A ``tokenizers.Tokenizer`` with the model's ids."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """A ``tokenizers.Tokenizer`` with the model's ids, for texts that are normalised already; user-defined pieces are matched first."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models
 
-    if m.suffix or not m.escape or any(kind == USER for _, _, kind in m.pieces):
-        raise NotImplementedError("white space as suffix or unescaped, and user-defined pieces, are not rebuilt")
     unk = next(k for k, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)
     names = [p for p, _, _ in m.pieces]
     if m.kind == BPE:
@@ -148,15 +151,19 @@ def build_tokenizer(m: Model):
         t = Tokenizer(models.Unigram([(p, s if kind == NORMAL else floor) for p, s, kind in m.pieces], unk_id=unk, byte_fallback=m.byte_fallback))
     else:
         raise NotImplementedError(f"model type {m.kind}")
+    t.add_tokens([AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER])
+    t.decoder = decoders.Sequence([*([decoders.Replace(MARK, " ")] if m.escape else []), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.stripped else [])])
+    return t
+
+
+def build_normalizer(m: Model):
+    """The model's rules for characters and runs of spaces; None where it has none."""
+    from tokenizers import Regex, normalizers
+
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
-    if m.add_prefix:
-        steps.append(normalizers.Prepend(" "))
-    steps.append(normalizers.Replace(" ", MARK))
-    t.normalizer = normalizers.Sequence(steps)
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.add_prefix else [])])
-    return t
+    return normalizers.Sequence(steps) if steps else None
 
 
 class Encoder:
@@ -165,33 +172,40 @@ class Encoder:
     def __init__(self, data: bytes, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         m = parse_model(data)
-        self.whole = build_tokenizer(m)
         self.words = build_tokenizer(m)
-        self.words.normalizer = None
+        self.normalizer = build_normalizer(m)
         self.cache: dict[str, bytes] = {}
         self.held, self.cache_bytes = 0, cache_bytes
-        names = [p for p, _, kind in m.pieces if kind == NORMAL]
-        # No piece has a marker behind another character: words then never share a piece.  A line
-        # feed that is in no piece is a byte of its own.
+        mark = MARK if m.escape else " "
+        names = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
+        # Where no piece has a marker inside, words never share a piece.  A line feed that is in no
+        # piece is a byte of its own.
         self.cut = None
-        if not any(MARK in p.lstrip(MARK) for p in names):
+        if m.suffix:
+            if not any(mark in p.rstrip(mark) for p in names):
+                self.cut = re.compile(f"[^{mark}]*{mark}+|[^{mark}]+")
+        elif not any(mark in p.lstrip(mark) for p in names):
             alone = m.byte_fallback and not any("\n" in p for p in names)
-            self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.plain = not m.charsmap and not m.squeeze
-        self.prefix = MARK * m.add_prefix
+            self.cut = re.compile(f"{mark}+[^{mark}\n]*|[^{mark}\n]+|\n" if alone else f"{mark}+[^{mark}]*|[^{mark}]+")
+        self.mark, self.stripped = mark, m.stripped
+        self.before, self.after = (mark * (m.add_prefix and here) for here in (not m.suffix, m.suffix))
         # The library's decoder turns bytes that are not UTF-8 to marks one by one; texts that were
         # encoded here have none, so their pieces' bytes only need joining.
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else (p.replace(MARK, " ") if m.escape else p).encode() for p, _, kind in m.pieces]
         self.surface = m.unk_surface.encode()
         self.bytes_of[next(k for k, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)] = self.surface
 
+    def normal(self, text: str) -> str:
+        """The text as the model's pieces spell it."""
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return self.before + text.replace(" ", self.mark) + self.after if text else ""
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        texts = [self.normal(t) for t in texts]
         if self.cut is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.plain:
-            split = [self.cut.findall((self.prefix + t).replace(" ", MARK)) if t else [] for t in texts]
-        else:
-            split = [self.cut.findall(self.whole.normalizer.normalize_str(t)) for t in texts]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.cut.findall(t) for t in texts]
         if self.held > self.cache_bytes:
             self.cache.clear()
             self.held = 0
@@ -218,12 +232,12 @@ class Encoder:
         out = []
         for e in encoded:
             text = b"".join(map(get, np.frombuffer(e, "<u4").tolist()))
-            out.append(text[text.startswith(b" ") and bool(self.prefix) :].decode("utf-8", "replace"))
+            out.append(text[self.stripped and text.startswith(b" ") :].decode("utf-8", "replace"))
         return out
 
     def decode_by_library(self, encoded: list[bytes]) -> list[str]:
         """The same by the tokenizers library's decoder."""
-        return self.whole.decode_batch([np.frombuffer(e, "<u4").tolist() for e in encoded], skip_special_tokens=False)
+        return self.words.decode_batch([np.frombuffer(e, "<u4").tolist() for e in encoded], skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)

@@ -421,10 +421,12 @@ def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     had = {k: conf.get(k, None) for k in BATCHES}
     for k, v in BATCHES.items():
         conf.set(k, v)
+    given, own = (docs.withColumnRenamed(ROW, f"{ROW}_given"), True) if ROW in docs.columns else (docs, False)
     try:
-        rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-rows")
+        rows = written(given.withColumn(ROW, F.monotonically_increasing_id()), "near-rows")
         goes = _going(rows, id_col, text_col, shingle, Fraction(str(similarity)))
     finally:
         for k, v in had.items():
             conf.set(k, v) if v is not None else conf.unset(k)
-    return rows.join(goes, ROW, "left_anti").drop(ROW)
+    out = rows.join(goes, ROW, "left_anti").drop(ROW)
+    return out.withColumnRenamed(f"{ROW}_given", ROW) if own else out

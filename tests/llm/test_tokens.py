@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from memlake.llm.queries import BPE_PATTERN, TOKENIZERS
-from memlake.llm.sentencepiece import BYTE, MARK, NORMAL, UNKNOWN, CONTROL, UNIGRAM, Encoder, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
+from memlake.llm.sentencepiece import BPE as BPE_MODEL, BYTE, CONTROL, MARK, NORMAL, UNIGRAM, UNKNOWN, USER, Encoder, encode_documents, encoder_of, model_bytes, parse_model, verify_parity
 from memlake.llm.token_counts import WORDS, PieceCounter, TokenRollup, _encoding, count_tokens, deleted, inserted, revised
 
 MODEL = model_bytes(None, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -41,15 +41,29 @@ def varint(n):
     yield n
 
 
-@pytest.mark.parametrize("squeeze", [0, 1])
-def test_parity_of_a_unigram_model(squeeze):
-    pieces = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), *((f"<0x{i:02X}>", 0.0, BYTE) for i in range(256))]
-    pieces += [(p, -1.0 - k / 3, NORMAL) for k, p in enumerate([MARK, "a", "b", "ab", MARK + "a", "ba", MARK + "ab", "bab", "c"])]
+def small_model(kind, user=(), suffix=0, escape=1, prefix=1, squeeze=1):
+    """A model with every byte, a few pieces with the marker at the side where it belongs, and user-defined ones."""
+    mark = MARK if escape else " "
+    pieces = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), *((f"<0x{i:02X}>", 0.0, BYTE) for i in range(256)), *((u, 0.0, USER) for u in user)]
+    marked = ["a" + mark, "ab" + mark, "b" + mark] if suffix else [mark + "a", mark + "ab", mark + "b"]
+    pieces += [(p, -1.0 - 0.37 * k - 0.0131 * (k * k % 7), NORMAL) for k, p in enumerate([mark, "a", "b", "ab", "ba", "bab", "c", "<", "x", ">", *marked])]
     data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
-    data += message((2, message((3, UNIGRAM), (35, 1)))) + message((3, message((3, 1), (4, squeeze), (5, 1))))
-    assert parse_model(data).kind == UNIGRAM
-    texts = ["abab", "babab ab", "", "  a  b ", "cabxé", "a\nb", "bbab aab"]
-    assert verify_parity(data, texts) == []
+    return data + message((2, message((3, kind), (24, suffix), (35, 1)))) + message((3, message((3, prefix), (4, squeeze), (5, escape))))
+
+
+SMALL = ["abab", "babab ab", "", " ", "  a  b ", "cabxé", "a\nb", "bbab aab", "<x>ab<x>", "ab <x> ba", "<x", "a<x>  <x> b", "  <x>", "<x><xx>", "a <x", "b\n\n<x> "]
+
+
+@pytest.mark.parametrize("kind", [UNIGRAM, BPE_MODEL])
+@pytest.mark.parametrize("user", [(), ("<x>",), ("<x>", "<x", "b<x>")])
+@pytest.mark.parametrize(("suffix", "escape"), [(0, 1), (1, 1), (0, 0), (1, 0)])
+def test_parity_of_small_models(kind, user, suffix, escape):
+    """Unigram and BPE, user-defined pieces, white space before or behind words, escaped or not, with and without dummy and squeezed spaces."""
+    for prefix in (0, 1):
+        for squeeze in (0, 1):
+            data = small_model(kind, user, suffix, escape, prefix, squeeze)
+            assert parse_model(data).kind == kind
+            assert verify_parity(data, SMALL) == [], (prefix, squeeze)
 
 
 def test_documents_round_trip(documents, odd_docs, no_docs):
