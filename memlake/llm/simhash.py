@@ -247,8 +247,11 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
 
 
-def local_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(a, b, nth)``: within blocks of rows, each row with the first one before it within ``radius`` that has none itself, numbered from 0."""
+def local_pairs(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """``(a, b, nth)`` of nodes ``(node, digest, fp)``: within blocks of rows, each row with the first one before it within ``radius`` that has none itself, numbered from 0.
+
+    Blocks are made and ordered by digests, so they are the same in every run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -267,7 +270,8 @@ def local_pairs(nodes: DataFrame, radius: int) -> DataFrame:
                 ids = batch.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(first)]), pa.array(ids[np.concatenate(second)]), pa.array(np.concatenate(nth))], names=["a", "b", "nth"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "a long, b long, nth long")
+    dealt = nodes.select("node", "digest", "fp").repartition(max(8, n // (8 * LOCAL)), "digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(run, "a long, b long, nth long")
 
 
 def _segment(fps: np.ndarray, j: int) -> np.ndarray:
@@ -305,7 +309,9 @@ def _met(keys: np.ndarray, member: np.ndarray, fps: np.ndarray, radius: int) ->
 
 
 def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100_000) -> DataFrame:
-    """``(a, b)``: pairs of nodes ``(node, fp)`` that meet under a segment and lie within ``radius``, as spanning forests of the nearest ones.
+    """``(a, b)``: pairs of nodes ``(node, digest, fp)`` that meet under a segment and lie within ``radius``, as spanning forests of the nearest ones.
+
+    Which ones are compared follows from the digests alone, so runs agree.
 
     A bucket holds the fingerprints that agree in a segment's upper bits; balls
     in its lower bits are enumerated there.  Where buckets would be too large,
@@ -320,6 +326,7 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100
             for k in range(0, whole.num_rows, LOCAL):
                 batch = whole.slice(k, LOCAL)
                 fps, ids = _words(batch.column("fp")), batch.column("node").to_numpy().view(np.uint64)
+                salt = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint64)[::2]
                 for j in range(SEGMENTS):
                     key, own = _segment(fps, j), np.arange(len(ids))
                     if sent_balls:
@@ -329,18 +336,18 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100
                         bucket = (key >> np.uint64(BALL_BITS)) + np.uint64(j * upper)
                     order = np.argsort(bucket, kind="stable")
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-                    rows = np.column_stack([key | np.uint64(j << 32), ids[own], fps[own]])[order]
+                    rows = np.column_stack([key | np.uint64(j << 32), ids[own], salt[own], fps[own]])[order]
                     names = bucket[order][cut[:-1]].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "rows"])
 
     def link(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64).reshape(-1, WIDE + 2)
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64).reshape(-1, WIDE + 3)
         # An order of each segment's own, so that a group has another leader in each.
-        rows = rows[np.argsort(mix(rows[:, 1] + (rows[:, 0] >> np.uint64(32))), kind="stable")]
+        rows = rows[np.argsort(mix(rows[:, 2] + (rows[:, 0] >> np.uint64(32))), kind="stable")]
         ids, at, member = np.unique(rows[:, 1], return_index=True, return_inverse=True)
         rank = np.argsort(np.argsort(at))
         by_rank = np.argsort(at)
-        ids, fps, member = ids[by_rank], rows[at[by_rank], 2:], rank[member]
+        ids, fps, member = ids[by_rank], rows[at[by_rank], 3:], rank[member]
         keys = rows[:, 0]
         if not sent_balls:
             keys, member = (keys[:, None] ^ _WIDE_BALL).ravel(), np.repeat(member, len(_WIDE_BALL))
@@ -350,7 +357,7 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100
         edges = ids[forest.edges()].view(np.int64)
         return pa.table({"a": edges.min(axis=1), "b": edges.max(axis=1)})
 
-    sent = nodes.select("node", "fp").mapInArrow(spread, "bucket long, rows binary")
+    sent = nodes.select("node", "digest", "fp").mapInArrow(spread, "bucket long, rows binary")
     return sent.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
 
 
@@ -383,8 +390,8 @@ def _going(rows: DataFrame, id_col: str, text_col: str, shingle: int, t: Fractio
     same = written(sketches.select("digest", ROW).join(nodes.select("digest", "node"), "digest").where(F.col(ROW) != F.col("node")).select(ROW), "near-same")
     discard(sketches)
     mean, most = distance_bounds(t)
-    full = nodes.where(F.length("fp") > 0).select("node", "fp")
-    local = written(local_pairs(full, mean), "near-local")
+    full = nodes.where(F.length("fp") > 0).select("node", "digest", "fp")
+    local = written(local_pairs(full, full.count(), mean), "near-local")
     links = _verified(local.select("a", "b"), texts, shingle, t)
     # Of very many that are linked to one of their block, only some are sent.
     gone = links.join(local.where(F.col("nth") >= SENT), ["a", "b"]).select(F.col("b").alias("node")).distinct()
