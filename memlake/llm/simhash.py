@@ -42,6 +42,8 @@ SEGMENTS, SEGMENT_BITS, BALL_BITS = 18, 28, 22
 _WIDE_BALL = np.concatenate([[0], 1 << np.arange(BALL_BITS)]).astype(np.uint64)
 #: Fingerprints that are compared with each other before any is sent, and how many near one of them are sent all the same.
 LOCAL, SENT = 2048, 32
+#: Differing bits of wide fingerprints up to which texts are near enough at 0.8: two deviations below the mean.
+SURE = 62
 ROW = "__row"
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", BATCH_BYTES: str(8 << 20)}
 
@@ -308,8 +310,21 @@ def _met(keys: np.ndarray, member: np.ndarray, fps: np.ndarray, radius: int) ->
     return pairs[np.argsort(pairs[:, 2], kind="stable")]
 
 
+def _kept(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
+    """Of the pairs that ``n`` members met in, a spanning forest of the nearest, and all of those members that met none within ``sure``.
+
+    Links of the forest may turn out too far when verified; beyond ``sure``, another pair may then be the true one.
+    """
+    forest = Forest(n)
+    forest.add(pairs[:, 0], pairs[:, 1])
+    nearest = np.full(n, 64 * WIDE)
+    np.minimum.at(nearest, pairs[:, :2].ravel(), np.repeat(pairs[:, 2], 2))
+    doubt = (nearest[pairs[:, :2]] > sure).any(axis=1)
+    return np.concatenate([forest.edges(), pairs[doubt, :2]])
+
+
 def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100_000) -> DataFrame:
-    """``(a, b)``: pairs of nodes ``(node, digest, fp)`` that meet under a segment and lie within ``radius``, as spanning forests of the nearest ones.
+    """``(a, b)``: pairs of nodes ``(node, digest, fp)`` that meet under a segment and lie within ``radius``, as spanning forests of the nearest ones and what is in doubt.
 
     Which ones are compared follows from the digests alone, so runs agree.
 
@@ -352,9 +367,7 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100
         if not sent_balls:
             keys, member = (keys[:, None] ^ _WIDE_BALL).ravel(), np.repeat(member, len(_WIDE_BALL))
         pairs = _met(keys, member, fps, radius)
-        forest = Forest(len(ids))
-        forest.add(pairs[:, 0], pairs[:, 1])
-        edges = ids[forest.edges()].view(np.int64)
+        edges = ids[_kept(pairs, len(ids), SURE)].view(np.int64)
         return pa.table({"a": edges.min(axis=1), "b": edges.max(axis=1)})
 
     sent = nodes.select("node", "digest", "fp").mapInArrow(spread, "bucket long, rows binary")
