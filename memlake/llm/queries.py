@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.llm.exact_dedup import exact_dedup
 from memlake.llm.line_dedup import dedup_lines
 from memlake.llm.mixing import mix_sources
+from memlake.llm.periodic_runs import periodic_runs
 from memlake.llm.quality import classify_quality
+from memlake.llm.resampling import resample
 from memlake.llm.scratch import discard, scratch_path, written
 from memlake.llm.sentencepiece import encode_documents, model_bytes
+from memlake.llm.sharding import shard_rows
 from memlake.llm.simhash import simhash_dedup
 from memlake.llm.substring_dedup import dedup_substrings
 from memlake.llm.token_counts import OLD_WORDS, UNICODE, WORDS, TokenRollup, count_tokens, inserted, revised
@@ -92,7 +95,36 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-OPS = (op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_line_dedup, op5_vector_search, op6_simhash_dedup, op7_sentencepiece, op8_mixing, op9_token_counts, op10_exact_dedup)
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, those whose ``crc32(doc_id)`` ends in 0, go on periodically from some word on.
+
+    With ``g`` a tenth of that number and ``n`` words, word ``i >= a`` is that at
+    ``a + (i - a) % p``, where ``a = g % n`` and ``p = 1 + (n - a) // (3 + g % 8)``.
+    A null id or text stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rule = lambda w: F.struct(w.alias("w"), (F.floor(h / 10) % F.size(w)).cast("int").alias("a"))
+    period = lambda s: F.struct(s["w"].alias("w"), s["a"].alias("a"), (1 + F.floor((F.size(s["w"]) - s["a"]) / (3 + F.floor(h / 10) % 8))).cast("int").alias("p"))
+    again = lambda s: F.array_join(F.transform(s["w"], lambda w, i: F.when(i < s["a"], w).otherwise(F.get(s["w"], s["a"] + (i - s["a"]) % s["p"]))), " ")
+    # Each step is a lambda over an array of one, so that its value is computed once.
+    text = F.transform(F.transform(F.transform(F.array(words), rule), period), again)[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(planted_runs(table(spark, sf_dir, "documents")), with_text=False)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPS = (op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_line_dedup, op5_vector_search, op6_simhash_dedup, op7_sentencepiece, op8_mixing, op9_token_counts, op10_exact_dedup, op11_periodic_runs, op12_sharding, op13_importance_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
