@@ -8,9 +8,10 @@ distances are verified.
 
 ``near_copy_dedup`` links texts by the similarity of their word shingles.  At a
 similarity of 0.8 about 15 % of a fingerprint's bits differ, too many for 64
-bits, so it takes 512 bits, looks up 18 segments of 28 bits each by balls of
+bits, so it takes 512 bits, looks up 20 segments of 25 bits each by balls of
 radius one on both sides, verifies the whole distances, and then the true
-similarity of what is left.
+similarity of what is left; what hangs together by distance, but not by
+similarity, is compared again by its sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.components import connected_components
 from memlake.llm.scratch import BATCH_BYTES, bounded_batches, discard, written
-from memlake.llm.shingles import WIDE, set_table, shingle_sets, similar_pairs, texts_of, wide_fingerprint
+from memlake.llm.shingles import WIDE, set_table, shingle_sets, similar, similar_pairs, texts_of, wide_fingerprint
 from memlake.llm.substring_dedup import mix
 
 RADIUS = 4
@@ -38,12 +39,8 @@ _BALL = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint64)
 #: Parts of the other half, one of which agrees within the radius: 6 + 6 + 6 + 7 + 7 bits.
 _PARTS = ((0, 6), (6, 6), (12, 6), (18, 7), (25, 7))
 #: Segments of a wide fingerprint, their bits, and the lower ones of them that balls reach into.
-SEGMENTS, SEGMENT_BITS, BALL_BITS = 18, 28, 22
+SEGMENTS, SEGMENT_BITS, BALL_BITS = 20, 25, 19
 _WIDE_BALL = np.concatenate([[0], 1 << np.arange(BALL_BITS)]).astype(np.uint64)
-#: Fingerprints that are compared with each other before any is sent, and how many near one of them are sent all the same.
-LOCAL, SENT = 2048, 32
-#: Differing bits of wide fingerprints up to which texts are near enough at 0.8: two deviations below the mean.
-SURE = 62
 ROW = "__row"
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", BATCH_BYTES: str(8 << 20)}
 
@@ -249,33 +246,6 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
 
 
-def local_pairs(nodes: DataFrame, n: int, radius: int) -> DataFrame:
-    """``(a, b, nth)`` of nodes ``(node, digest, fp)``: within blocks of rows, each row with the first one before it within ``radius`` that has none itself, numbered from 0.
-
-    Blocks are made and ordered by digests, so they are the same in every run.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, LOCAL):
-                batch = whole.slice(k, LOCAL)
-                fps, left = _words(batch.column("fp")), np.arange(batch.num_rows)
-                first, second, nth = ([np.empty(0, np.int64)] for _ in range(3))
-                while len(left) > 1:
-                    near = _apart(fps[left[0]], fps[left]) <= radius
-                    near[0] = False
-                    second.append(left[near])
-                    first.append(np.full(near.sum(), left[0]))
-                    nth.append(np.arange(near.sum()))
-                    near[0] = True
-                    left = left[~near]
-                ids = batch.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(first)]), pa.array(ids[np.concatenate(second)]), pa.array(np.concatenate(nth))], names=["a", "b", "nth"])
-
-    dealt = nodes.select("node", "digest", "fp").repartition(max(8, n // (8 * LOCAL)), "digest").sortWithinPartitions("digest")
-    return dealt.mapInArrow(run, "a long, b long, nth long")
-
-
 def _segment(fps: np.ndarray, j: int) -> np.ndarray:
     word, shift = divmod(SEGMENT_BITS * j, 64)
     out = fps[:, word] >> np.uint64(shift)
@@ -285,14 +255,17 @@ def _segment(fps: np.ndarray, j: int) -> np.ndarray:
 
 
 def _met(keys: np.ndarray, member: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of members under one key, within ``radius``, nearest first.
+    """Pairs that connect all members that lie within ``radius`` under one key, nearest first.
 
-    The first member of a key's group meets all others; those that are not near
-    it go on in the same way, so a large group of near copies costs one round.
+    The first member of a key's group meets all others.  Those near it are done:
+    they hang together through it.  The others go on in the same way.  One that
+    is not near the first may still be near a member that is done; it can only be
+    so within the radius and that member's distance from the first (distances of
+    bits are a metric), and is then compared with those.
     """
     order = np.lexsort((member, keys))
     k, m = keys[order], member[order]
-    found = [np.empty((0, 3), np.int64)]
+    found, joined = [np.empty((0, 3), np.int64)], Forest(len(fps))
     while len(k):
         new = np.concatenate([[True], k[1:] != k[:-1]])
         start = np.flatnonzero(new)
@@ -305,82 +278,189 @@ def _met(keys: np.ndarray, member: np.ndarray, fps: np.ndarray, radius: int) ->
         near = apart <= radius
         hit = near & (lead != m)
         found.append(np.stack([lead[hit], m[hit], apart[hit]], axis=1))
+        joined.add(lead[hit], m[hit])
+        widest = np.repeat(np.maximum.reduceat(np.where(near, apart, 0), start), size)
+        ring = np.flatnonzero(~near & (apart <= radius + widest))
+        ring = ring[_roots(joined.parent, m[ring]) != _roots(joined.parent, lead[ring])]
+        group = np.cumsum(new) - 1
+        for g in np.unique(group[ring]).tolist():
+            mine = slice(start[g], start[g] + size[g])
+            done = m[mine][hit[mine]]
+            outer = m[ring[group[ring] == g]]
+            for i in range(0, len(outer), 64):
+                some = outer[i : i + 64]
+                d = _apart(fps[some][:, None], fps[done][None])
+                best = d.argmin(axis=1)
+                least = d[np.arange(len(some)), best]
+                ok = least <= radius
+                found.append(np.stack([done[best[ok]], some[ok], least[ok]], axis=1))
+                joined.add(done[best[ok]], some[ok])
         k, m = k[~near & ~alone], m[~near & ~alone]
     pairs = np.concatenate(found)
     return pairs[np.argsort(pairs[:, 2], kind="stable")]
 
 
-def _kept(pairs: np.ndarray, n: int, sure: int) -> np.ndarray:
-    """Of the pairs that ``n`` members met in, a spanning forest of the nearest, and all of those members that met none within ``sure``.
-
-    Links of the forest may turn out too far when verified; beyond ``sure``, another pair may then be the true one.
-    """
-    forest = Forest(n)
+def _bucket_links(blobs: list[bytes], own_balls: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of what is near under a key in these rows, and the rows that lead its trees."""
+    rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, WIDE + 3)
+    # An order of each segment's own, so that a group has another leader in each.
+    rows = rows[np.argsort(mix(rows[:, 2] + (rows[:, 0] >> np.uint64(32))), kind="stable")]
+    ids, at, member = np.unique(rows[:, 1], return_index=True, return_inverse=True)
+    by_rank = np.argsort(at)
+    rank = np.argsort(by_rank)
+    ids, fps, member = ids[by_rank], rows[at[by_rank], 3:], rank[member]
+    keys, of = rows[:, 0], member
+    if own_balls:
+        keys, of = (keys[:, None] ^ _WIDE_BALL).ravel(), np.repeat(member, len(_WIDE_BALL))
+    pairs = _met(keys, of, fps, radius)
+    forest = Forest(len(ids))
     forest.add(pairs[:, 0], pairs[:, 1])
-    nearest = np.full(n, 64 * WIDE)
-    np.minimum.at(nearest, pairs[:, :2].ravel(), np.repeat(pairs[:, 2], 2))
-    doubt = (nearest[pairs[:, :2]] > sure).any(axis=1)
-    return np.concatenate([forest.edges(), pairs[doubt, :2]])
+    root = forest.parent[member] == member
+    return ids[forest.edges()].view(np.int64), rows[root]
 
 
 def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100_000) -> DataFrame:
-    """``(a, b)``: pairs of nodes ``(node, digest, fp)`` that meet under a segment and lie within ``radius``, as spanning forests of the nearest ones and what is in doubt.
-
-    Which ones are compared follows from the digests alone, so runs agree.
+    """``(a, b)``: pairs of nodes ``(node, digest, fp)`` within ``radius`` that connect all nodes which meet under a segment within it.
 
     A bucket holds the fingerprints that agree in a segment's upper bits; balls
     in its lower bits are enumerated there.  Where buckets would be too large,
-    the balls' values are sent instead, to as many buckets as are needed.
+    the balls' values are sent instead, to as many buckets as are needed; what is
+    connected is the same either way.
+
+    A bucket that still is much larger than others, because very many texts are
+    near one, is cut into salted parts.  Each part sends on only the rows that
+    lead its trees, and these meet in the bucket.
     """
     upper = 1 << (SEGMENT_BITS - BALL_BITS)
     sent_balls = n > rows_per_bucket * upper
     n_buckets = SEGMENTS * (upper if not sent_balls else -(-n * len(_WIDE_BALL) // (rows_per_bucket * 8)))
+    heavy_rows = 4 * rows_per_bucket * (8 if sent_balls else 1)
+
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each segment: buckets, keys and rows of the batch."""
+        fps = _words(batch.column("fp"))
+        for j in range(SEGMENTS):
+            key, own = _segment(fps, j), np.arange(len(fps))
+            if sent_balls:
+                key, own = (key[:, None] ^ _WIDE_BALL).ravel(), np.repeat(own, len(_WIDE_BALL))
+                bucket = mix(key | np.uint64(j << 32)) % np.uint64(n_buckets)
+            else:
+                bucket = (key >> np.uint64(BALL_BITS)) + np.uint64(j * upper)
+            yield bucket, key | np.uint64(j << 32), own
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, _, _ in placed(batch):
+                names, count = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(count)], names=["bucket", "n"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, LOCAL):
-                batch = whole.slice(k, LOCAL)
+            for k in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(k, BLOCK)
                 fps, ids = _words(batch.column("fp")), batch.column("node").to_numpy().view(np.uint64)
                 salt = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint64)[::2]
-                for j in range(SEGMENTS):
-                    key, own = _segment(fps, j), np.arange(len(ids))
-                    if sent_balls:
-                        key, own = (key[:, None] ^ _WIDE_BALL).ravel(), np.repeat(own, len(_WIDE_BALL))
-                        bucket = mix(key | np.uint64(j << 32)) % np.uint64(n_buckets)
-                    else:
-                        bucket = (key >> np.uint64(BALL_BITS)) + np.uint64(j * upper)
+                for bucket, key, own in placed(batch):
                     order = np.argsort(bucket, kind="stable")
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-                    rows = np.column_stack([key | np.uint64(j << 32), ids[own], salt[own], fps[own]])[order]
+                    rows = np.column_stack([key, ids[own], salt[own], fps[own]])[order]
                     names = bucket[order][cut[:-1]].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "rows"])
 
     def link(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64).reshape(-1, WIDE + 3)
-        # An order of each segment's own, so that a group has another leader in each.
-        rows = rows[np.argsort(mix(rows[:, 2] + (rows[:, 0] >> np.uint64(32))), kind="stable")]
-        ids, at, member = np.unique(rows[:, 1], return_index=True, return_inverse=True)
-        rank = np.argsort(np.argsort(at))
-        by_rank = np.argsort(at)
-        ids, fps, member = ids[by_rank], rows[at[by_rank], 3:], rank[member]
-        keys = rows[:, 0]
-        if not sent_balls:
-            keys, member = (keys[:, None] ^ _WIDE_BALL).ravel(), np.repeat(member, len(_WIDE_BALL))
-        pairs = _met(keys, member, fps, radius)
-        edges = ids[_kept(pairs, len(ids), SURE)].view(np.int64)
-        return pa.table({"a": edges.min(axis=1), "b": edges.max(axis=1)})
-
-    sent = nodes.select("node", "digest", "fp").mapInArrow(spread, "bucket long, rows binary")
-    return sent.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, t: Fraction) -> DataFrame:
-    """Links of the written candidate pairs: their true similarity is ``t`` or more."""
-    met = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-    sets = written(set_table(texts.join(met, ROW, "left_semi"), shingle, ROW), "near-sets")
-    links = written(similar_pairs(pairs, sets, t), "near-links")
-    discard(sets)
-    return links
+        edges, leaders = _bucket_links(table.column("rows").to_pylist(), not sent_balls, radius)
+        cut = table.column("salts")[0].as_py() is not None
+        a, b = edges.min(axis=1).tolist(), edges.max(axis=1).tolist()
+        more = [leaders[k : k + BLOCK].tobytes() for k in range(0, len(leaders), BLOCK)] if cut else []
+        none = [None] * len(more)
+        bucket = [None] * len(a) + [table.column("bucket")[0].as_py()] * len(more)
+        return pa.table([pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array(bucket, pa.int64()), pa.array([None] * len(a) + more, pa.binary())], names=["a", "b", "bucket", "rows"])
+
+    given = nodes.select("node", "digest", "fp")
+    sent, no_salts = given.mapInArrow(spread, "bucket long, rows binary"), F.lit(None).cast("long")
+    found = "a long, b long, bucket long, rows binary"
+    load = given.mapInArrow(sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > heavy_rows)
+    heavy = written(load.select("bucket", F.ceil(F.col("n") / heavy_rows).cast("long").alias("salts")), "near-heavy")
+    if heavy.isEmpty():
+        return sent.withColumn("salts", no_salts).groupBy("bucket").applyInArrow(link, found).select("a", "b").distinct()
+    parts = sent.join(heavy, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("rows"), F.coalesce("salts", F.lit(1))))
+    first = written(parts.groupBy("bucket", "salt").applyInArrow(link, found), "near-parts")
+    second = first.where("rows is not null").select("bucket", "rows").withColumn("salts", no_salts).groupBy("bucket").applyInArrow(link, found)
+    return first.where("rows is null").select("a", "b").unionByName(second.select("a", "b")).distinct()
+
+
+def tile_links(members: DataFrame, radius: int, t: Fraction, tile_bytes: int = 8 << 20) -> DataFrame:
+    """``(a, b)``: similar pairs of members ``(node, cluster, label, fp, set)`` that have one cluster and different labels.
+
+    A label of many bytes is cut into blocks of its own, the small ones of a
+    cluster share blocks; two blocks of a cluster meet in a tile, unless both are
+    of one label.  A tile compares whole fingerprints, then whole sets, and leaves
+    out pairs that its own links already join.
+    """
+    size = members.groupBy("cluster", "label").agg(F.sum(F.length("set")).alias("bytes"))
+    size = size.withColumn("big", F.col("bytes") > tile_bytes)
+    small = size.where("not big").groupBy("cluster").agg(F.ceil(F.sum("bytes") / tile_bytes).alias("mixed"))
+    size = size.join(small, "cluster", "left").select("cluster", "label", "big", F.when(F.col("big"), F.ceil(F.col("bytes") / tile_bytes)).otherwise(F.col("mixed")).alias("parts"))
+    owner = F.when(F.col("big"), F.col("label"))
+    part = F.when(F.col("big"), F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("label"), F.col("parts")))
+    dealt = members.join(size, ["cluster", "label"]).select("node", "cluster", "label", "fp", "set", F.struct(owner.alias("owner"), part.alias("part")).alias("block"))
+    dealt = written(dealt, "near-dealt")
+    blocks = dealt.select("cluster", "block").distinct()
+    other = blocks.select("cluster", F.col("block").alias("q"))
+    same = F.col("p.owner").isNotNull() & (F.col("p.owner") == F.col("q.owner"))
+    tiles = blocks.select("cluster", F.col("block").alias("p")).join(other, "cluster").where((F.col("p") <= F.col("q")) & ~F.coalesce(same, F.lit(False)))
+    of_block = tiles.select("cluster", F.struct("p", "q").alias("tile"), F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        fps = _words(table.column("fp"))
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        first = np.array(table.column("first").to_pylist())
+        whole = first.all()  # a block with itself
+        names, tree = np.unique(label, return_inverse=True)
+        joined, links = Forest(len(names)), []
+        for x in range(len(node)) if whole else np.flatnonzero(first).tolist():
+            y = np.arange(x + 1, len(node)) if whole else np.flatnonzero(~first)
+            y = y[(sizes[y] * t.denominator >= sizes[x] * t.numerator) & (sizes[x] * t.denominator >= sizes[y] * t.numerator)]
+            y = y[_roots(joined.parent, tree[y]) != _roots(joined.parent, tree[[x]])[0]]
+            apart = _apart(fps[y], fps[x])
+            y = y[np.argsort(apart, kind="stable")][: int((apart <= radius).sum())]
+            while len(y):
+                if similar(sets[x], sets[y[0]], t):
+                    links.append((node[x], node[y[0]]))
+                    joined.add(tree[[x]], tree[y[:1]])
+                    y = y[_roots(joined.parent, tree[y]) != _roots(joined.parent, tree[[x]])[0]]
+                else:
+                    y = y[1:]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    met = dealt.join(of_block, ["cluster", "block"]).select("cluster", "tile", "node", "label", "fp", "set", (F.col("block") == F.col("tile.p")).alias("first"))
+    return met.groupBy("cluster", "tile").applyInArrow(link, "a long, b long")
+
+
+def _linked(full: DataFrame, texts: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """``(node, component)`` of the nodes ``(node, digest, fp)`` that are similar to another."""
+    met = written(wide_pairs(full, full.count(), distance_bounds(t)[1]), "near-met")
+    ends = met.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
+    sets = written(set_table(texts.join(ends, ROW, "left_semi"), shingle, ROW), "near-sets")
+    links = written(similar_pairs(met, sets, t), "near-links")
+    labels = written(connected_components(links), "near-labels")
+    # What met hangs together in clusters.  Where that takes links that failed, members of
+    # different labels may be similar all the same, and are compared.
+    clusters = connected_components(met).toDF("node", "cluster").join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label"))
+    clusters = written(clusters, "near-clusters")
+    split = clusters.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
+    members = clusters.join(split, "cluster").join(full.select("node", "fp"), "node").join(sets, "node")
+    more = written(tile_links(members, distance_bounds(t)[1], t), "near-more")
+    discard(met, sets, clusters)
+    if more.isEmpty():
+        return labels
+    out = written(connected_components(links.unionByName(more)), "near-components")
+    discard(links, labels, more)
+    return out
 
 
 def _going(rows: DataFrame, id_col: str, text_col: str, shingle: int, t: Fraction) -> DataFrame:
@@ -402,17 +482,7 @@ def _going(rows: DataFrame, id_col: str, text_col: str, shingle: int, t: Fractio
     nodes = written(nodes.select("digest", F.col(f"low.{ROW}").alias("node"), "low", "fp"), "near-nodes")
     same = written(sketches.select("digest", ROW).join(nodes.select("digest", "node"), "digest").where(F.col(ROW) != F.col("node")).select(ROW), "near-same")
     discard(sketches)
-    mean, most = distance_bounds(t)
-    full = nodes.where(F.length("fp") > 0).select("node", "digest", "fp")
-    local = written(local_pairs(full, full.count(), mean), "near-local")
-    links = _verified(local.select("a", "b"), texts, shingle, t)
-    # Of very many that are linked to one of their block, only some are sent.
-    gone = links.join(local.where(F.col("nth") >= SENT), ["a", "b"]).select(F.col("b").alias("node")).distinct()
-    sent = written(full.join(gone, "node", "left_anti"), "near-sent")
-    far = written(wide_pairs(sent, sent.count(), most), "near-far")
-    links = links.unionByName(_verified(far, texts, shingle, t))
-    discard(local, sent, far)
-    comp = written(connected_components(links), "near-components")
+    comp = _linked(nodes.where(F.length("fp") > 0).select("node", "digest", "fp"), texts, shingle, t)
     named = written(nodes.join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")), "near-named")
     stays = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col(f"low.{ROW}").alias("node"))
     goes = written(same.unionByName(named.join(stays, "node", "left_anti").select(F.col("node").alias(ROW))), "near-goes")
@@ -431,11 +501,14 @@ def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id counts as larger than any other, and of rows that share an id and
     a group one stays.  An empty table gives an empty result.
 
-    Equal sets always meet.  Others meet by their fingerprints: first within
-    blocks of rows, which takes most of a large group of near copies out of the
-    shuffle, then under the segments.  A pair at similarity 0.8 meets under a segment with a chance
-    of nine in ten, one at 0.9 nearly always, and a group is joined by any of its
-    links.
+    Equal sets always meet.  Others meet by their fingerprints, under a segment
+    and within a radius that all but one pair in 30,000 of that similarity keep:
+    a pair at 0.8 with a chance of 0.97, one at 0.9 nearly always.  What
+    meets forms clusters, of any number of rows, and each similar pair of a
+    cluster within the radius is linked, whichever of its rows met each other.
+    Pairs that links already join are not compared; a cluster of ``m`` rows whose
+    links leave ``g`` groups costs up to ``m * g`` comparisons of fingerprints, in
+    tiles of 16 MB.
     """
     conf = docs.sparkSession.conf
     had = {k: conf.get(k, None) for k in BATCHES}
