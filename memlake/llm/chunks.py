@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from memlake.llm.salting import SALT, salted
 from memlake.llm.scratch import bounded_batches
 
 CHUNK = "__chunk"
@@ -43,13 +44,15 @@ def counts_for(total_bytes: int, chunk_bytes: int = 4 << 20, bucket_bytes: int =
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, text, __carry, __chunk)``, dealt by chunk; ``carry`` names columns that go along.
 
-    Rows without an id are dealt by their number too, so many equal ones do not fall into one chunk.
+    Rows that share an id, null included, are dealt by their number too, so many
+    equal ones do not fall into one chunk.  What is found does not depend on the
+    dealing, but it must be the same each time the result is read: so must be
+    the order of ``docs`` where ids are repeated, as that of files is.
     """
     bounded_batches(docs.sparkSession)
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // 16))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias(CARRY)] if carry else []))
-    number = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
-    return rows.withColumn(CHUNK, F.pmod(F.xxhash64("id", "text", number, F.lit(4)), F.lit(n_chunks))).repartition(n_parts, CHUNK)
+    return salted(rows, ["id"]).withColumn(CHUNK, F.pmod(F.xxhash64("id", "text", SALT, F.lit(4)), F.lit(n_chunks))).drop(SALT).repartition(n_parts, CHUNK)
 
 
 def ids_and_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:

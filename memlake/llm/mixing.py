@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from memlake.llm.salting import NUMBER, SALT, salted
 from memlake.llm.scratch import written
 
 #: Fractional parts of the golden ratio and of 2**20 times it.
@@ -91,10 +92,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to the word.  Null and empty texts have size 0 and are never taken; a null
     source is a source of its own; rows that repeat an id are rows of their own;
     an empty table gives an empty result.  The shuffle is a hash of id, text
-    size and seed, so reruns agree.
+    size and seed, so reruns agree; rows that agree in id, source and size are
+    told apart by their number, so they do not fall into one bucket, and may
+    change places with each other.
     """
     ids = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    ids = written(ids.withColumn("key", F.xxhash64("id", F.lit(seed))), "mix-sizes")
+    ids = written(ids.withColumn(NUMBER, F.monotonically_increasing_id()), "mix-sizes")
     sizes = written(ids.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "mix-totals")
     targets = target_sizes(sizes.select("source", "source_size"), cap)
     everything = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -104,7 +107,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = t.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0.0)))
     t = written(t, "mix-targets")
 
-    with_sid = ids.join(t.select(F.col("source").alias("t_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    keyed = salted(ids, ["id", "source", "size"]).withColumn("key", F.xxhash64("id", "size", SALT, F.lit(seed)))
+    with_sid = keyed.join(t.select(F.col("source").alias("t_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source", NUMBER)
     # Shuffled order within a source, and each document's first word there: sums over buckets of
     # the hash first, then within a bucket, so no task holds a whole source.
     n = ids.count()

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
+from memlake.llm.salting import NUMBER, SALT, salted
 from memlake.llm.scratch import discard, written
 
 #: NumPy draws from populations below this.
@@ -96,23 +97,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     """
     text = F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("number"),
+        F.col(id_col).cast("long").alias("id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias(NUMBER),
         *([F.struct(*carry).alias(CARRY)] if carry else []),
     )
     rows = written(rows, "shard-rows")
     more = [CARRY] if carry else []
     same = ["id", "size", "text_crc32"]
-    repeated = written(rows.groupBy(*same).agg(F.count("*").alias("times")).where("times > 1"), "shard-repeated")
     n = rows.count()
     n_parts = max(16, -(-n // rows_per_part))
-    if repeated.isEmpty():
-        salted = rows.withColumn("salt", F.lit(None).cast("long"))
-    else:
-        r = repeated.select(*(F.col(c).alias(f"r_{c}") for c in same)).hint("merge")
-        met = rows.join(r, rows.id.eqNullSafe(r.r_id) & (rows.size == r.r_size) & (rows.text_crc32 == r.r_text_crc32), "left")
-        salted = met.select(*rows.columns, F.when(F.col("r_size").isNotNull(), F.col("number")).alias("salt"))
-    key = F.xxhash64(*same, "salt", F.lit(seed))
-    parts = written(salted.select(*rows.columns, key.alias("key"), F.pmod(key, F.lit(n_parts)).cast("int").alias("part")), "shard-parts")
+    key = F.xxhash64(*same, SALT, F.lit(seed))
+    parts = written(salted(rows, same).select(*rows.columns, key.alias("key"), F.pmod(key, F.lit(n_parts)).cast("int").alias("part")), "shard-parts")
     sizes = np.zeros(n_parts, np.int64)
     for r in parts.groupBy("part").count().collect():  # one number a part
         sizes[r["part"]] = r["count"]
@@ -120,16 +114,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
 
     def deal(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        table = table.sort_by([(c, "ascending") for c in ("key", *same, "number")])
+        table = table.sort_by([(c, "ascending") for c in ("key", *same, NUMBER)])
         rng = np.random.default_rng([seed, part])
         shard = np.empty(table.num_rows, np.int32)
         shard[rng.permutation(table.num_rows)] = np.repeat(np.arange(shards), matrix_row(part, upto, room, seed))
         place = rng.integers(0, 1 << 62, table.num_rows)
         return table.select([*same, *more]).append_column("shard", pa.array(shard)).append_column("place", pa.array(place))
 
-    schema = StructType([f for f in rows.schema if f.name != "number"]).add("shard", "integer").add("place", "long")
+    schema = StructType([f for f in rows.schema if f.name != NUMBER]).add("shard", "integer").add("place", "long")
     dealt = written(parts.groupBy("part").applyInArrow(deal, schema), "shard-dealt")
-    discard(rows, repeated, parts)
+    discard(rows, parts)
     # A shard's order of places, in buckets of a bounded size: their rows come after those of all lower buckets.
     buckets = max(1, int(room.max(initial=0)) // rows_per_part)
     bucketed = dealt.withColumn("bucket", F.floor(F.col("place") / F.lit(2.0**62) * buckets))

@@ -4,6 +4,8 @@ import re
 from memlake.llm.exact_dedup import exact_dedup
 from memlake.llm.line_dedup import LINE, LevelledRuns, batched, dedup_lines
 from memlake.llm.chunks import CHUNK, in_chunks
+from memlake.llm.mixing import mix_sources
+from memlake.llm.salting import SALT, salted
 from memlake.llm.substring_dedup import COVER, PERIOD, SHORT, Words, dedup_substrings
 
 import numpy as np
@@ -168,3 +170,22 @@ def test_exact_match_brute_force(documents, odd_docs, no_docs):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         assert by_rows(exact_dedup(df)) == brute_exact(rows)
         assert by_rows(exact_dedup(df, first_width=1, growth=3)) == brute_exact(rows)
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """100,000 rows without an id, and as many of one id and text, fill no chunk; other rows need no salt."""
+    n = 100_000
+    rows = spark.range(2 * n + 1000).selectExpr(f"CASE WHEN id < {n} THEN NULL WHEN id < {2 * n} THEN 7 ELSE id END AS doc_id", f"CASE WHEN id < {2 * n} THEN 'same' ELSE string(id) END AS text").repartition(4)
+    per = {r[CHUNK]: r["count"] for r in in_chunks(rows, "doc_id", "text", 128).groupBy(CHUNK).count().collect()}
+    assert sum(per.values()) == 2 * n + 1000 and len(per) == 128 and max(per.values()) < 2 * (2 * n + 1000) / 128
+    out = salted(rows.where("doc_id is not null"), ["doc_id"]).selectExpr("doc_id = 7 AS hot", SALT).distinct().groupBy("hot").agg({SALT: "count"}).collect()
+    assert {tuple(r) for r in out} == {(True, n), (False, 0)}
+
+
+def test_mixing_spreads_equal_rows(spark):
+    """Rows of one id, source and text are taken about equally often, whichever bucket they fall into."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 5 END AS doc_id", "'a b c d' AS text", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS source").repartition(3)
+    out = mix_sources(rows).collect()
+    assert len(out) == 3000 and sum(r.taken for r in out) == 12000 and {r.taken for r in out if r.source == "x"} <= {0, 4, 8} | set(range(9))
+    for s in "xy":
+        assert sum(r.taken for r in out if r.source == s) == round(next(r.target for r in out if r.source == s))
