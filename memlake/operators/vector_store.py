@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from memlake.functions.vectors import METRICS, dot, norm, normalized
 from memlake.operators.bm25 import ranked
+from memlake.operators.metric_join import close_between, close_pairs
 
 
 def _shown(value: Any) -> str:
@@ -99,10 +100,15 @@ def _grid(a: DataFrame, b: DataFrame, key_a: str, key_b: str, blocks: int, withi
 def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, id_col: str = "id", vector_col: str = "vector", blocks: int | None = None) -> DataFrame:
     """``(src, dst, score)``: the ``k`` most cosine-similar rows of ``right`` for each of ``left``, itself left out.
 
-    Unit vectors meet in the cells of a grid; each cell's best go on to the final cut.
+    With a threshold, unit vectors meet in cells around pivots, which rows too far
+    apart do not share; without one, all meet in the cells of a grid.
     """
-    unit = lambda df, i, v: df.select(F.col(id_col).alias(i), normalized(F.col(vector_col)).alias(v))
-    met = _grid(unit(left, "src", "va"), unit(right, "dst", "vb"), "src", "dst", blocks or cells(left))
+    n = blocks or cells(left)
+    if threshold is not None:
+        met = close_between(left, right, threshold, n, id_col, vector_col).toDF("src", "dst", "va", "vb")
+    else:
+        unit = lambda df, i, v: df.select(F.col(id_col).alias(i), normalized(F.col(vector_col)).alias(v))
+        met = _grid(unit(left, "src", "va"), unit(right, "dst", "vb"), "src", "dst", n)
     pairs = met.where("src <> dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
     if threshold is not None:
         pairs = pairs.where(F.col("score") >= threshold)
@@ -110,15 +116,12 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", keep: tuple[str, ...] = (), within: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
-    """``(a, b, sim)`` of pairs ``a < b`` above the cosine threshold, met in the cells of a grid.
+    """``(a, b, sim)`` of pairs ``a < b`` above the cosine threshold, met in cells around pivots (``metric_join``).
 
     Columns of ``within`` must be equal: they are keys of the join, so rows that differ in them never meet.
     """
-    unit = vectors.select(F.col(id_col).alias("id"), normalized(F.col(vector_col)).alias("v"), *keep, *within)
-    ka, kb = ([F.col(c).alias(f"{c}_{s}") for c in keep] for s in "ab")
-    a = unit.select(F.col("id").alias("a"), F.col("v").alias("va"), *ka, *within)
-    b = unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), *kb, *within)
-    out = _grid(a, b, "a", "b", blocks or cells(vectors), within).where("a < b").withColumn("sim", dot(F.col("va"), F.col("vb"))).where(F.col("sim") > threshold)
+    met = close_pairs(vectors, threshold, blocks or cells(vectors), id_col, vector_col, keep, within)
+    out = met.withColumn("sim", dot(F.col("va"), F.col("vb"))).where(F.col("sim") > threshold)
     return out.select("a", "b", "sim", *[f"{c}_{s}" for s in "ab" for c in keep], *within)
 
 
