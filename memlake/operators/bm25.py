@@ -8,6 +8,8 @@ from memlake.functions.text import words
 from memlake.scratch import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents a block, and what bounds are raised by, so that rounding skips no block.
+BLOCK, SLACK = 64, 1e-6
 
 
 def ranked(scores: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -48,5 +50,66 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
-    return ranked(bm25_scores(docs, queries, **options), k).select("query_id", "rank", "doc_id", "score")
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """``(doc_id, dl, term, tf)``: texts are split once, and a document's words stay together.  A text without words has one row, without a term."""
+    t = words(F.lower(text_col)) if tokens is None else tokens
+    split = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(t, F.array().cast("array<string>")).alias("ts"))
+    each = split.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode_outer("ts").alias("term"))
+    return each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def saturation(tf: Column, dl: Column, mean: Column | float, k1: float = K1, b: float = B) -> Column:
+    """What a term's frequency counts for: more with a higher one, less in a longer text."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+
+
+def bounds(postings: DataFrame) -> DataFrame:
+    """``(term, block, n, tf, dl)``: per block the number of a term's documents, their highest frequency and shortest length."""
+    return postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
+def pruned_topk(postings: DataFrame, limits: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
+    """``(query_id, rank, doc_id, score)``, exact.
+
+    ``postings`` has ``(block, doc_id, dl, term, tf)`` and ``limits`` their bounds,
+    both of the terms in ``asked`` (``query_id, term, qtf``) at least.
+    """
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = limits.groupBy("term").agg(F.sum("n").alias("df"))
+    weights = cut(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w")), "weights")
+    most = F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), mean))
+    blocks = cut(limits.join(weights, "term").groupBy("query_id", "block").agg(most.alias("bound")), "blocks")
+
+    def scored(some: DataFrame) -> DataFrame:
+        of_block = some.join(weights, "query_id")
+        met = postings.join(of_block, ["block", "term"])
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), mean)).alias("score"))
+
+    best = ranked(blocks, max(2, k // 8), score="bound", tie="block").select("query_id", "block")
+    sure = ranked(scored(best), k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
+    sure = cut(sure.where(F.col("found") == k).select("query_id", "least"), "least")
+    rest = blocks.join(sure, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).select("query_id", "block")
+    return ranked(scored(cut(rest, "blocks")), k).select("query_id", "rank", "doc_id", "score")
+
+
+def questions(queries: DataFrame, query_col: str = "query_id", text_col: str = "query", tokens: Column | None = None) -> DataFrame:
+    """``(query_id, term, qtf)``."""
+    q = words(F.lower(text_col)) if tokens is None else tokens
+    return queries.select(F.col(query_col).alias("query_id"), F.explode(q).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query", tokens: Column | None = None, query_tokens: Column | None = None) -> DataFrame:
+    """``(query_id, rank, doc_id, score)``: the ``k`` best documents of each query, by bounds of blocks first.
+
+    Texts are split once: each document adds one entry without a word, of which
+    the statistics are made, to the postings of the queries' terms.
+    """
+    asked = cut(questions(queries, query_col, query_text, query_tokens), "asked")
+    t = words(F.lower(text_col)) if tokens is None else tokens
+    split = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(t, F.array().cast("array<string>")).alias("ts"))
+    each = split.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
+    terms = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = cut(each.join(terms, "term", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    posted = tf.where("term <> ''").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, stats.n // BLOCK))))
+    return pruned_topk(posted, bounds(posted), asked, stats.n, stats.mean or 1.0, k)

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports every module of queries."""
-    from memlake.plans import answer_queries, build_queries, graph_queries, listing_queries, memory_queries, parsing_queries, retrieval_queries, source_queries, store_queries, stream_queries, text_queries, vector_queries  # noqa: F401
+    from memlake.plans import answer_queries, build_queries, graph_queries, index_queries, listing_queries, memory_queries, parsing_queries, retrieval_queries, source_queries, store_queries, stream_queries, text_queries, vector_queries  # noqa: F401
