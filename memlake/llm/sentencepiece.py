@@ -33,7 +33,9 @@ UNIGRAM, BPE = 1, 2
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 1 << 20
 #: Longest word whose ids are kept, and the bytes of words that are kept.
-SHORT, CACHE_BYTES = 128, 96 << 20
+SHORT, CACHE_BYTES = 128, 48 << 20
+#: Words that are encoded at once: what the library returns of one takes a few kilobytes.
+AT_ONCE = 1 << 13
 
 PROBES = ["", " ", "  two  spaces ", "Hello world", "tab\tand\nnew line\r\n", "éèßñ 你好 \U0001f600", "a" * 300, "1234567890 3.14", "<s> </s> <unk> <0x0A>", MARK + "x" + MARK, "\u0000\u0085  ", "Źéro", "ﬁne ½ Ａ", "...!!!???  ###"]
 
@@ -212,8 +214,8 @@ class Encoder:
         cache = self.cache
         new = list({w for words in split for w in words if w not in cache})
         long: dict[str, bytes] = {}
-        for k in range(0, len(new), 1 << 16):
-            part = new[k : k + (1 << 16)]
+        for k in range(0, len(new), AT_ONCE):
+            part = new[k : k + AT_ONCE]
             for w, e in zip(part, self.words.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = array("I", e.ids).tobytes()
                 if len(w) > SHORT:

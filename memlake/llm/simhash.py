@@ -389,7 +389,7 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int, rows_per_bucket: int = 100
     return first.where("rows is null").select("a", "b").unionByName(second.select("a", "b")).distinct()
 
 
-def tile_links(members: DataFrame, radius: int, t: Fraction, tile_bytes: int = 8 << 20) -> DataFrame:
+def tile_links(members: DataFrame, radius: int, t: Fraction, tile_bytes: int = 1 << 20) -> DataFrame:
     """``(a, b)``: similar pairs of members ``(node, cluster, label, fp, set)`` that have one cluster and different labels.
 
     A label of many bytes is cut into blocks of its own, the small ones of a
@@ -508,7 +508,7 @@ def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cluster within the radius is linked, whichever of its rows met each other.
     Pairs that links already join are not compared; a cluster of ``m`` rows whose
     links leave ``g`` groups costs up to ``m * g`` comparisons of fingerprints, in
-    tiles of 16 MB.
+    tiles of 2 MB of their sets.
     """
     conf = docs.sparkSession.conf
     had = {k: conf.get(k, None) for k in BATCHES}
