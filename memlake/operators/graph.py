@@ -246,6 +246,38 @@ def hops(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFr
     return seen
 
 
+def neighbourhood(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, limit: int | None = None) -> DataFrame:
+    """``(dist, pairs)``: about how many ordered pairs of nodes lie within each distance, each node with itself included.
+
+    A node holds one HyperLogLog sketch of what it has reached, of at most
+    ``2 ** lg_k`` bytes or so; each round unites it with its neighbours', until
+    no estimate grows.  So space is linear in nodes, however many pairs there
+    are.  The relative error of a count is about ``0.8 / 2 ** (lg_k / 2)``.
+    """
+    step = cut(both_ways(edges.select("src", "dst")).where("src <> dst").distinct())
+    held = cut(nodes.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), lg_k).alias("sketch")))
+    out, d = [], 0
+    while True:
+        out.append((d, held.agg(F.coalesce(F.sum(F.hll_sketch_estimate("sketch")), F.lit(0))).first()[0]))
+        if d == limit or d and out[-1][1] <= out[-2][1]:
+            break
+        came = held.join(step, held.id == step.src).select(F.col("dst").alias("id"), "sketch").join(held.select("id"), "id", "left_semi")
+        before, held = held, cut(held.unionByName(came).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
+        drop(before)
+        d += 1
+    drop(step, held)
+    if d and out[-1][1] <= out[-2][1]:
+        out.pop()
+    return nodes.sparkSession.createDataFrame(out, "dist int, pairs long")
+
+
+def path_metrics(nodes: DataFrame, edges: DataFrame, lg_k: int = 12) -> tuple[int, float]:
+    """Diameter and mean path length between connected nodes, by ``neighbourhood``; a diameter may come out too small where its last pairs are few among very many."""
+    rows = sorted(tuple(r) for r in neighbourhood(nodes, edges, lg_k).collect())  # one row a distance
+    far = rows[-1][1] - rows[0][1]
+    return rows[-1][0], sum(d * (n - before) for (d, n), (_, before) in zip(rows[1:], rows, strict=False)) / far if far else 0.0
+
+
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, coefficient)``: linked pairs among a node's neighbours; 0 below two neighbours.
 
@@ -264,9 +296,15 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(c, "id", "left").fillna(0.0, ["coefficient"])
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame, optional: bool = False) -> DataFrame:
+#: Nodes up to which paths are counted pair by pair; more are estimated by sketches.
+EXACT_PATHS = 2000
+
+
+def graph_metrics(nodes: DataFrame, edges: DataFrame, optional: bool = False, exact_paths: int = EXACT_PATHS) -> DataFrame:
     """One row of descriptive metrics; the optional ones are -1 unless asked for, or the graph is in parts.
 
+    Paths of a graph of more than ``exact_paths`` nodes are estimated (``path_metrics``).
+
     The driver reads counts only; the sizes of the components, largest first, are
     gathered by Spark from their histogram.
     """
@@ -279,8 +317,11 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, optional: bool = False) ->
         loops = edges.where("src = dst").count()
         cluster = clustering(nodes, edges).agg(F.avg("coefficient")).first()[0] or 0.0
         if spread.where("n > 0").agg(F.sum("times")).first()[0] == 1:
-            far = hops(nodes, edges).where("src <> dst").agg(F.max("dist").alias("d"), F.avg("dist").alias("a")).first()
-            diameter, mean_path = far["d"] or 0, far["a"] or 0.0
+            if n > exact_paths:
+                diameter, mean_path = path_metrics(nodes, edges)
+            else:
+                far = hops(nodes, edges).where("src <> dst").agg(F.max("dist").alias("d"), F.avg("dist").alias("a")).first()
+                diameter, mean_path = far["d"] or 0, far["a"] or 0.0
     row = (n, m, 2 * m / n if n else 0.0, m / (n * (n - 1)) if n > 1 else 0.0, loops, diameter, mean_path, cluster)
     scalars = nodes.sparkSession.createDataFrame([row], "num_nodes long, num_edges long, mean_degree double, edge_density double, num_self_loops long, diameter int, mean_path double, clustering double")
     return scalars.join(F.broadcast(listed)).select("num_nodes", "num_edges", "mean_degree", "edge_density", "num_components", "component_sizes", "num_self_loops", "diameter", "mean_path", "clustering")
@@ -423,6 +464,39 @@ def best_first(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, rounds:
     return best
 
 
+def best_first_batch(edges: DataFrame, seeds: DataFrame, concepts: DataFrame, answers: DataFrame, delta: float = 1.0) -> DataFrame:
+    """``(query_id, id, cost)``: for each question, all nodes that are no dearer than its cheapest answer.
+
+    As ``best_first``, for a table of questions: ``seeds`` has ``(query_id, id,
+    cost)`` and ``answers`` ``(query_id, id)``.  Nodes lie in buckets of ``delta``
+    by their cost; a step opens each question's lowest bucket that is not done.
+    A question stops once that bucket's cheapest node costs more than an answer
+    that it has; one whose answers are out of reach walks to the end.
+    """
+    c = concepts.select("id", "concepts")
+    two = both_ways(edges.select("src", "dst", "weight")).where("weight > 0").join(c.toDF("src", "cs"), "src", "left").join(c.toDF("dst", "cd"), "dst", "left")
+    two = two.where(F.size(F.array_except(F.coalesce("cd", F.array()), F.coalesce("cs", F.array()))) > 0)
+    two = cut(two.groupBy("src", "dst").agg(F.min(1 / F.col("weight")).alias("step")))
+    asked = answers.select("query_id", "id").distinct().withColumn("answer", F.lit(True))
+    have = cut(seeds.groupBy("query_id", "id").agg(F.min("cost").alias("cost")).withColumn("todo", F.lit(True)).join(asked, ["query_id", "id"], "left"))
+    while True:
+        end = F.coalesce(F.min(F.when(F.col("answer"), F.col("cost"))), F.lit(float("inf")))
+        state = have.groupBy("query_id").agg(F.min(F.when(F.col("todo"), F.col("cost"))).alias("low"), end.alias("end"))
+        open_ = state.where("low <= end").select("query_id", "end", ((F.floor(F.col("low") / delta) + 1) * delta).alias("top"))
+        front = cut(have.where("todo").join(open_, "query_id").where("cost < top and cost <= end").select("query_id", "id", "cost"))
+        if front.isEmpty():
+            break
+        new = front.join(two, front.id == two.src).select("query_id", F.col("dst").alias("id"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(True).alias("todo"))
+        done = front.select("query_id", "id", "cost", F.lit(False).alias("todo"))
+        every = have.select("query_id", "id", "cost", "todo").unionByName(done).unionByName(new)
+        # The least cost, and of equal ones that which is done.
+        least = every.groupBy("query_id", "id").agg(F.min(F.struct("cost", "todo")).alias("s")).select("query_id", "id", "s.cost", "s.todo")
+        before, have = have, cut(least.join(asked, ["query_id", "id"], "left"))
+        drop(before, front)
+    ends = have.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("answer"), F.col("cost"))), F.lit(float("inf"))).alias("end"))
+    return have.join(ends, "query_id").where("cost <= end").select("query_id", "id", "cost")
+
+
 def ontology_closure(links: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, depth)``: everything reached from ``start`` over ``(src, dst)`` links, nearest first; to ``depth`` links where it is given."""
     step = cut(links.select("src", "dst").distinct())

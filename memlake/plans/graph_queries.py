@@ -204,3 +204,46 @@ def fact_edges(spark: SparkSession, d: str) -> DataFrame:
 def ontology_closure(spark: SparkSession, d: str) -> DataFrame:
     start = table(spark, d, "customer").agg(F.concat(F.lit("customer:"), F.min("c_custkey").cast("string")).alias("id"))
     return G.ontology_closure(_relational(spark, d)[1], start, 10)
+
+
+_REGIONAL = "rel IN ('n_regionkey', 's_nationkey')"
+
+
+def _reach_sql(rounds: int) -> str:
+    """``r{k}``: all pairs of nodes within ``k`` links."""
+    return "r0 AS (SELECT id AS a, id AS b FROM nodes)" + "".join(f", r{k + 1} AS MATERIALIZED (SELECT a, b FROM r{k} UNION SELECT a, dst FROM r{k} JOIN near ON src = b)" for k in range(rounds))
+
+
+@query(f"""{_GRAPH}, near AS (SELECT src, dst FROM edges WHERE {_REGIONAL} UNION SELECT dst, src FROM edges WHERE {_REGIONAL}), {_reach_sql(6)},
+    n AS ({' UNION ALL '.join(f'SELECT {k}::INT AS dist, count(*) AS pairs FROM r{k}' for k in range(7))})
+    SELECT dist, pairs FROM n QUALIFY pairs > coalesce(lag(pairs) OVER (ORDER BY dist), 0)""")
+def path_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of regions, nations and suppliers lie within each distance, by sketches, which are exact for the few hundred nodes of a part."""
+    n, e = _relational(spark, d)
+    return G.neighbourhood(n, e.where(_REGIONAL))
+
+
+_CLOSE = """close AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS sim
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+    step AS (SELECT a AS src, b AS dst, 1 / sim AS cost FROM close WHERE sim >= 0.3 UNION ALL SELECT b, a, 1 / sim FROM close WHERE sim >= 0.3)"""
+
+
+def _walk_sql(rounds: int) -> str:
+    """``w{k}``: least costs by at most ``k`` links."""
+    return "w0 AS (SELECT item_id AS query_id, vec_id AS id, 0.0::DOUBLE AS cost FROM benchmark JOIN embeddings ON vec_id = item_id)" + "".join(
+        f", w{k + 1} AS MATERIALIZED (SELECT query_id, id, min(cost) AS cost FROM (SELECT * FROM w{k} UNION ALL SELECT query_id, dst, w{k}.cost + step.cost FROM w{k} JOIN step ON src = id) GROUP BY ALL)" for k in range(rounds)
+    )
+
+
+@query(f"""WITH {_CLOSE}, {_walk_sql(14)},
+    ends AS (SELECT query_id, min(cost) AS stop FROM w14 JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.vec_id = id WHERE q.label = v.label AND id <> query_id GROUP BY query_id)
+    SELECT w14.query_id, id, round(cost, 6) AS cost FROM w14 LEFT JOIN ends USING (query_id) WHERE cost <= coalesce(stop, 'inf'::DOUBLE)""")
+def answer_walks(spark: SparkSession, d: str) -> DataFrame:
+    """From the vector of each benchmark row through similar ones, the nearest first, to the first of its own label."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    edges = similar_pairs(v, 0.29).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("sim", 6).alias("weight")).where("weight >= 0.3")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(v.select("id", "label"), F.col("query_id") == F.col("id"))
+    answers = asked.select("query_id", "label").join(v.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
+    concepts = v.select("id", F.array("id").alias("concepts"))
+    out = G.best_first_batch(edges, asked.select("query_id", "id", F.lit(0.0).alias("cost")), concepts, answers, delta=2.0)
+    return out.select("query_id", "id", F.round("cost", 6).alias("cost"))
