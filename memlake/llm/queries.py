@@ -127,6 +127,16 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPS = (op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_line_dedup, op5_vector_search, op6_simhash_dedup, op7_sentencepiece, op8_mixing, op9_token_counts, op10_exact_dedup, op11_periodic_runs, op12_sharding, op13_importance_resampling)
 
 
+#: CRC-32 in SQL: the table of its bytes by its rule, and the checksum of a word given in hexadecimal.
+_DIGIT = """digit AS (
+                SELECT list_transform(range(256), lambda v: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v::BIGINT)) AS t
+            )"""
+
+
+def _crc32(hexed: str) -> str:
+    return f"xor(list_reduce(list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPS}
 
@@ -185,4 +195,42 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
             FROM n""",
+        "op11_periodic_runs": rf"""
+            WITH {_DIGIT}, w AS (
+                SELECT doc_id, {_crc32('hex(doc_id::VARCHAR)')} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents, digit
+            ), a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w
+            ), q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a
+            ), d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM q
+            ), id AS (SELECT word, row_number() OVER ()::INT AS k FROM (SELECT DISTINCT unnest(ws) AS word FROM d)
+            ), num AS (SELECT doc_id, list(k ORDER BY i) AS ks FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM d) JOIN id USING (word) GROUP BY doc_id
+            ), lag AS (SELECT doc_id, ks, unnest(range(1, len(ks) // 4 + 1)) AS p FROM num
+            ), eq AS (SELECT doc_id, p, unnest(list_filter(range(len(ks) - p), lambda i: ks[i + 1] = ks[i + p + 1])) AS i FROM lag
+            ), run AS (
+                SELECT doc_id, s AS start, len, min(p) AS period FROM (
+                    SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS grp FROM eq) GROUP BY doc_id, p, grp
+                ) WHERE len >= greatest(6, 4 * p) GROUP BY doc_id, s, len
+            ), best AS (
+                SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || len || ',' || period || chr(10), '' ORDER BY start, period)) AS runs FROM run GROUP BY doc_id
+            ), top AS (SELECT DISTINCT ON (doc_id) doc_id, start, len, period FROM run ORDER BY doc_id, len::DOUBLE / period DESC, start, period
+            ), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + len)) AS i FROM run
+            ), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM d) x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, len AS length, period, 1000 * len // period AS exponent_milli, coalesce(runs, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+            FROM d LEFT JOIN best USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+        "op13_importance_resampling": rf"""
+            WITH {_DIGIT}, w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+            ), b AS (
+                SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM benchmark
+            ), p AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL
+            ), k AS (SELECT word, {_crc32('hex(word)')} % 10000 AS bucket FROM (SELECT word FROM p UNION SELECT word FROM b), digit
+            ), s AS (SELECT bucket, sum(n) AS s FROM p JOIN k USING (word) GROUP BY bucket
+            ), t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket
+            ), g AS (
+                SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)
+            ), x AS (SELECT doc_id, sum(n * gain) AS weight FROM p JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id
+            ), r AS (
+                SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN x USING (doc_id)
+            ), c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r
+            ), o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+            SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM c LEFT JOIN o USING (doc_id)""",
     }
