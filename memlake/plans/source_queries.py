@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memlake.functions.ids import hash_id
@@ -40,11 +42,12 @@ def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT text AS question, md5(text) AS answer, (SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) FROM nation) || chr(10) AS context FROM benchmark")
 def context_questions(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON file of questions, each with the text of a context file."""
+    """JSON lines of questions, each with the text of a context file."""
     b = table(spark, d, "benchmark")
-    qa = _text_file(b.agg(F.to_json(F.collect_list(F.struct(F.col("text").alias("question"), F.array(F.md5("text")).alias("answer")))).alias("value")), "qa")
+    qa = scratch_path(spark, "qa")
+    b.select(F.col("text").alias("question"), F.array(F.md5("text")).alias("answer")).write.json(qa)
     context = _text_file(_joined(table(spark, d, "nation"), "n_nationkey", "n_name", ", "), "context")
-    return files.qa_with_context(spark, qa, context).select("question", F.element_at("answer", 1).alias("answer"), "context")
+    return files.qa_with_context(spark, qa, context, lines=True).select("question", F.element_at("answer", 1).alias("answer"), "context")
 
 
 @query("SELECT 'nation.' || n_nationkey AS key, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' # no' ELSE '' END AS value FROM nation")
@@ -179,8 +182,12 @@ def _rdf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = r.select(el("owl:Class", F.col("r_name")).alias("v"))
     lines = lines.union(n.join(r, n.n_regionkey == r.r_regionkey).select(el("owl:Class", F.col("n_name"), ref("rdfs:subClassOf", F.col("r_name")))))
     lines = lines.union(j.select(el("owl:NamedIndividual", F.col("s_name"), ref("rdf:type", F.col("n_name")), ref("owl:tradesWith", F.col("r_name")))))
-    whole = lines.agg(F.concat(F.lit(_XML), F.array_join(F.sort_array(F.collect_list("v")), "\n"), F.lit("</rdf:RDF>")).alias("value"))
-    return files.rdf_ontology(spark, _text_file(whole, "rdf"))
+    path = scratch_path(spark, "rdf")
+    # Documents of about a hundred elements, a file each.
+    part = F.pmod(F.xxhash64("v"), F.lit(max(1, lines.count() // 100)))
+    whole = lines.groupBy(part).agg(F.concat(F.lit(_XML), F.array_join(F.collect_list("v"), "\n"), F.lit("</rdf:RDF>")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.rdf_ontology(spark, path)
 
 
 @query("""SELECT translate(lower(n_name), ' ', '_') AS src, 'is_a' AS rel, translate(lower(r_name), ' ', '_') AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -255,18 +262,21 @@ def question_pairs(spark: SparkSession, d: str) -> DataFrame:
     return T.question_pairs(t.groupBy("conv_id").agg(of("user").alias("questions"), of("assistant").alias("answers")), "conv_id").withColumn("n", F.size("answers")).withColumn("answers", F.array_join("answers", "|"))
 
 
-@query("SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def inserted_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows inserted into a table by name, with a file's comma kept inside its quotes."""
-    n = table(spark, d, "nation").orderBy(F.desc("n_nationkey")).limit(3).select("n_name", "n_regionkey")
-    path = scratch_path(spark, "csv")
-    n.coalesce(1).write.option("header", "true").option("quoteAll", "true").csv(path)
-    return files.csv_rows(spark, path, "n_name string, n_regionkey int")
+    """Rows of a CSV file, inserted into a table by name in two parts, and read from it."""
+    path, name = scratch_path(spark, "csv"), f"inserted_{uuid.uuid4().hex}"
+    schema = "s_suppkey long, s_name string, s_nationkey int"
+    table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(", of")).alias("s_name"), "s_nationkey").write.option("header", "true").option("quoteAll", "true").csv(path)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet LOCATION '{scratch_path(spark, 'inserted')}'")
+    rows = files.csv_rows(spark, path, schema)
+    n = T.insert_rows(rows.where("s_nationkey < 10"), name) + T.insert_rows(rows.where("s_nationkey >= 10"), name)
+    return T.filtered_table(spark, name).where(F.lit(n) == rows.count()).withColumn("s_name", F.regexp_replace("s_name", ", of$", ""))
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE (conv_id, turn) IN (SELECT conv_id, min(turn) FROM conversations GROUP BY 1)")
 def rows_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """Messages by a list of ids, in the list's order."""
+    """Messages by lists of ids, one a conversation, in the lists' order."""
     t = table(spark, d, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    first = t.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(F.concat_ws("-", "conv_id", "turn").alias("id"))
-    return L.in_order(t, first.agg(F.sort_array(F.collect_list("id")).alias("ids"))).select("conv_id", "turn", "text")
+    first = t.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(F.array(F.concat_ws("-", "conv_id", "turn")).alias("ids"))
+    return L.in_order(t, first).select("conv_id", "turn", "text")

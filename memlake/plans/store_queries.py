@@ -33,20 +33,26 @@ def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return s.rows("v").select("id", F.col("payload")["label"].alias("label"), F.col("payload")["kind"].alias("kind"))
 
 
-_FILTER = "vec_id >= 100 AND vec_id < 400 AND label IN (1, 2, 5) AND label <> 2"
+_FILTERS = {"mixed": "vec_id >= 100 AND vec_id < 400 AND label IN (1, 2, 5)", "dollar": "vec_id >= 100 AND vec_id < 400 AND label <> 2", "none": "false", "member": "vec_id >= 100 AND vec_id < 400 AND label IN (1, 5)"}
 
 
-@query(f"""WITH {_CENTRES}, s AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS id, round({_COS.format('embedding', 'qv')}, 6) AS score FROM embeddings CROSS JOIN c WHERE {_FILTER})
-    SELECT query_id, id, score, round(1 - score, 6) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+@query(f"""WITH {_CENTRES}, f AS ({' UNION ALL '.join(f"SELECT '{tag}' AS filter, vec_id, embedding FROM embeddings WHERE {rule}" for tag, rule in _FILTERS.items())}),
+    s AS (SELECT filter, query_id, CAST(vec_id AS VARCHAR) AS id, round({_COS.format('embedding', 'qv')}, 6) AS score FROM f CROSS JOIN c)
+    SELECT filter, query_id, id, score, round(1 - score, 6) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY filter, query_id ORDER BY score DESC, id) <= 5""")
 def store_search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    """Ranges, memberships and comparisons of payloads come before the ranking, so each query gets its five."""
-    s = _store(spark, d)
-    hits = s.search("v", _centres(spark, d), 5, filters={"n": {"gte": 100, "lt": 400}, "label": [1, 2, 5], "day": None})
-    more = s.search("v", _centres(spark, d), 5, filters={"n": {"$gte": 100, "$lt": 400}, "label": {"ne": "2"}})
-    only = s.search("v", _centres(spark, d), 5, filters={"nokey": "x"})
-    ids = s.search("v", _centres(spark, d), 5, filters={"n": {"gte": 100, "lt": 400}, "label": ["1", "5"]})
-    # The last one is the conjunction of the others' filters.
-    return ids.join(hits.select("query_id").distinct(), "query_id").join(more.select("query_id").distinct(), "query_id").join(only, ["query_id", "id"], "left_anti").select("query_id", "id", "score", F.round("distance", 6).alias("distance"))
+    """Ranges, memberships and comparisons of payloads, with and without a dollar sign, come before the ranking, so each query gets its five; a missing key matches nothing."""
+    s, asked = _store(spark, d), _centres(spark, d)
+    filters = {
+        "mixed": {"n": {"gte": 100, "lt": 400}, "label": [1, 2, 5], "day": None},
+        "dollar": {"n": {"$gte": 100, "$lt": 400}, "label": {"ne": "2"}},
+        "none": {"nokey": "x"},
+        "member": {"n": {"gte": 100, "lt": 400}, "label": ["1", "5"]},
+    }
+    out = None
+    for tag, rule in filters.items():
+        hits = s.search("v", asked, 5, filters=rule).select(F.lit(tag).alias("filter"), "query_id", "id", "score", F.round("distance", 6).alias("distance"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 @query(f"""WITH {_CENTRES}, s AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS id, round(list_distance(embedding::DOUBLE[], qv), 6) AS score FROM embeddings CROSS JOIN c)

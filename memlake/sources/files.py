@@ -8,11 +8,11 @@ from memlake.functions.ids import hash_id, uuid5
 
 #: Which extensions make which kind of document.
 KINDS = {
-    "text": "txt md csv json xml html py",
-    "pdf": "pdf",
-    "audio": "aac mid mp3 m4a ogg flac wav amr aiff",
-    "image": "png dwg xcf jpg jpx apng gif webp cr2 tif bmp jxr psd ico heic avif",
-    "unstructured": "doc docx odt xls xlsx ods ppt pptx odp",
+    "text": ["txt", "md", "csv", "json", "xml", "html", "py"],
+    "pdf": ["pdf"],
+    "audio": ["aac", "mid", "mp3", "m4a", "ogg", "flac", "wav", "amr", "aiff"],
+    "image": ["png", "dwg", "xcf", "jpg", "jpx", "apng", "gif", "webp", "cr2", "tif", "bmp", "jxr", "psd", "ico", "heic", "avif"],
+    "unstructured": ["doc", "docx", "odt", "xls", "xlsx", "ods", "ppt", "pptx", "odp"],
 }
 
 
@@ -26,7 +26,7 @@ def folder(spark: SparkSession, path: str, extensions: list[str] | None = None,
 
 def classified(files: DataFrame) -> DataFrame:
     """Files with their ``kind``; an unknown extension fails when read."""
-    kind = F.create_map(*[F.lit(x) for k, es in KINDS.items() for e in es.split() for x in (e, k)])
+    kind = F.create_map(*[F.lit(x) for k, es in KINDS.items() for e in es for x in (e, k)])
     known = F.element_at(kind, F.col("extension"))
     return files.withColumn("kind", F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown extension: "), "extension"))))
 
@@ -46,9 +46,16 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
 
-def qa_with_context(spark: SparkSession, qa_path: str, context_path: str, schema: str = "question string, answer array<string>") -> DataFrame:
-    """JSON questions, each with the one context file's text (a single row, so a bounded broadcast)."""
-    qa = spark.read.schema(schema).json(qa_path, multiLine=True)
+#: Bytes of a context file up to which it is joined to its questions.
+CONTEXT_BYTES = 64 << 20
+
+
+def qa_with_context(spark: SparkSession, qa_path: str, context_path: str, schema: str = "question string, answer array<string>", lines: bool = False) -> DataFrame:
+    """JSON questions, one list of them or, with ``lines``, one a line, each with the one context file's text, which is one row of a checked size."""
+    sizes = spark.read.format("binaryFile").load(context_path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if sizes > CONTEXT_BYTES:
+        raise ValueError(f"a context of {sizes} bytes is too long to go with every question; cut it into chunks")
+    qa = spark.read.schema(schema).json(qa_path, multiLine=not lines)
     return qa.join(F.broadcast(whole_text(spark, context_path).limit(1).withColumnRenamed("text", "context")))
 
 
