@@ -89,12 +89,13 @@ def run_to_updates(df: DataFrame, path: str, checkpoint: str, keys: list[str] |
 
     df.writeStream.foreachBatch(add).outputMode("update" if keys else "complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     spark = df.sparkSession
-    done = sorted((int(f.rpartition("=")[2]), f) for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS"))
-    schema = batch_schema(df)
-    rows = spark.createDataFrame([], schema).withColumn("__batch", F.lit(-1))
-    for n, f in done if keys else done[-1:]:
-        rows = rows.unionByName(spark.read.schema(schema).parquet(f).withColumn("__batch", F.lit(n)))
-    return (latest(rows, keys, [F.desc("__batch")]) if keys else rows).drop("__batch")
+    if not folders(spark, path):
+        return spark.createDataFrame([], batch_schema(df))
+    # One scan, however many batches there were; a broken try's folder was written anew.
+    rows = spark.read.schema(batch_schema(df).add("batch", "long")).parquet(path)
+    if keys:
+        return latest(rows, keys, [F.desc("batch")]).drop("batch")
+    return rows.where(F.col("batch") == max(int(f.rpartition("=")[2]) for f in folders(spark, path))).drop("batch")
 
 
 def batch_schema(df: DataFrame) -> T.StructType:
