@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none.
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temp folder in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FOLDERS.get(app)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="memlake-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _FOLDERS[app] = base
     return f"{base.rstrip('/')}/memlake"
 
 
