@@ -8,6 +8,7 @@ from memlake.plans.catalog import query
 from memlake.scratch import scratch_path
 from memlake.sources.tables import table
 from memlake.streaming import incremental as S
+from memlake.streaming.groups import turn_stream
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -53,3 +54,13 @@ def stream_buffer(spark: SparkSession, d: str) -> DataFrame:
     out, mark = scratch_path(spark, "buffer"), scratch_path(spark, "buffer-offsets")
     S.run_to_table(S.bounded_buffer(_stream(spark, d, "conversations"), "conv_id", "turn", "text", 3), out, mark).awaitTermination()
     return spark.read.schema(S.BUFFER).parquet(out)
+
+
+@query("""SELECT conv_id, lag(turn, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS first, turn AS last, 3 AS messages, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no
+    FROM conversations QUALIFY turn_no % 3 = 0""")
+def stream_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every third message of a conversation triggers, with the three that came since the last; a second run finds nothing new."""
+    out, mark = scratch_path(spark, "turns"), scratch_path(spark, "turns-offsets")
+    for _ in range(2):
+        S.run_to_table(turn_stream(_stream(spark, d, "conversations"), "conv_id", "turn", 3), out, mark).awaitTermination()
+    return spark.read.schema("conv_id long, first long, last long, messages long, turn_no long").parquet(out)
