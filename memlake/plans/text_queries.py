@@ -8,6 +8,7 @@ from memlake.functions import text as X
 from memlake.functions.arrow import BpeSize, rouge_l
 from memlake.functions.ids import hash_id, uuid5
 from memlake.operators import bm25, chunking, evaluation as ev
+from memlake.operators.closest import closest_names
 from memlake.plans.catalog import query
 from memlake.providers import PatternExtractor, title
 from memlake.sources.tables import hashed, table, texts
@@ -140,6 +141,13 @@ def nearest_title(spark: SparkSession, d: str) -> DataFrame:
     return ev.nearest_titles(p.select(F.col("p_type").alias("name")), p.select(F.col("p_name").alias("title")))
 
 
+@query()
+def closest_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part names that lost some vowels, each with the whole name of the highest ratio."""
+    p = table(spark, d, "part")
+    return closest_names(p.select(F.regexp_replace("p_name", "[eo]", "").alias("name")), p.select(F.col("p_name").alias("candidate")), cutoff=0.8)
+
+
 _KINDS = ("EMAIL", "PHONE", "URL", "DATE", "TIME", "MONEY", "HASHTAG", "MENTION")
 
 
