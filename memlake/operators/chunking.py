@@ -169,10 +169,34 @@ def document_chunks(parts: DataFrame, limit: int, size: Callable[[str], int] = o
     return out.select(id_col, "pos", "c.text", "c.size", "c.cut", F.when(F.col("c.paragraph") == 1, uuid5(F.col("c.text"))).otherwise(own).alias("chunk_id"))
 
 
+def packed(parts: Column, sizes: Column, limit: int, keep_empty: bool = True) -> Column:
+    """``pack_sentences`` as a fold: the state holds where chunks end, the open chunk's size, and the place; an array of texts."""
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("at"))
+
+    def step(state: Column, n: Column) -> Column:
+        over = (state["total"] + n > limit) & ((state["at"] > 0) | F.lit(keep_empty))
+        ends = F.when(over, F.concat(state["ends"], F.array(state["at"]))).otherwise(state["ends"])
+        return F.struct(ends.alias("ends"), F.when(over, n).otherwise(state["total"] + n).alias("total"), (state["at"] + 1).alias("at"))
+
+    def cut(z: Column) -> Column:
+        first = F.concat(F.array(F.lit(0)), z["ends"])
+        last = F.concat(z["ends"], F.array(F.size(z["parts"])))
+        return F.zip_with(first, last, lambda a, b: F.array_join(F.slice(z["parts"], a + 1, b - a), " "))
+
+    return F.when(F.size(parts) > 0, let(F.struct(parts.alias("parts"), F.aggregate(sizes, start, step)["ends"].alias("ends")), cut)).otherwise(F.array().cast("array<string>"))
+
+
 def packed_chunks(docs: DataFrame, limit: int = 4096, keep_empty: bool = True, id_col: str = "doc_id", text_col: str = "text", size: Callable[[str], int] = word_size) -> DataFrame:
-    """``(id, pos, text, n_tokens)``: whole sentences packed greedily by ``size``; ``n_tokens`` counts words."""
-    pack = F.pandas_udf(lambda s: s.map(lambda parts: pack_sentences(list(parts), limit, keep_empty, size)), "array<string>")
-    out = docs.select(id_col, F.posexplode(pack(sentences(F.col(text_col)))).alias("pos", "text"))
+    """``(id, pos, text, n_tokens)``: whole sentences packed greedily by ``size``; ``n_tokens`` counts words.
+
+    Packing by words is a fold in the JVM; other sizes, as a tokenizer's, go through Arrow.
+    """
+    if size is word_size:
+        words = lambda t: F.size(F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")).cast("long")
+        chunks = let(sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda parts: packed(parts, F.transform(parts, words), limit, keep_empty))
+    else:
+        chunks = F.pandas_udf(lambda s: s.map(lambda parts: pack_sentences(list(parts), limit, keep_empty, size)), "array<string>")(sentences(F.col(text_col)))
+    out = docs.select(id_col, F.posexplode(chunks).alias("pos", "text"))
     return out.withColumn("n_tokens", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")))
 
 
