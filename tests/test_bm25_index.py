@@ -55,7 +55,7 @@ def frame(spark, rows):
 def test_blocks_that_are_left_out_hold_no_better_document(spark, asked, monkeypatch, k):
     monkeypatch.setattr(bm25, "BLOCK", 8)
     docs = corpus(300, 1) + [(1000, None), (1001, "")]
-    same(bm25.bm25_topk(frame(spark, docs), asked, k), plain(docs, QUERIES, k))
+    same(bm25.topk_by_blocks(frame(spark, docs), asked, k), plain(docs, QUERIES, k))
 
 
 def test_three_adds_are_one_build(spark, asked, tmp_path):
