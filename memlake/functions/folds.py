@@ -1,0 +1,39 @@
+"""Folds over arrays that keep every state: what depends on where the last chunk ended, without leaving the JVM."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+from memlake.functions.text import let
+
+#: A length that ``slice`` takes for all that is left; it adds it to a place, so it is no larger.
+REST = 1 << 30
+
+
+def scanned(xs: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """The state after each element of ``xs``; an empty or null array gives an empty one.
+
+    An array that grows by one is copied each time, so states are gathered in
+    blocks: a text of ``n`` words costs ``n * block`` copies, not ``n * n``.
+    """
+
+    def go(z: Column) -> Column:
+        inner = lambda seed, part: F.slice(F.aggregate(part, F.array(seed), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x)))), 2, block)
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(z) / block).cast("int") - 1)
+        all_ = F.aggregate(blocks, F.array(F.array(start)), lambda a, b: F.concat(a, F.array(inner(F.element_at(F.element_at(a, -1), -1), F.slice(z, b * block + 1, F.lit(block))))))
+        return F.when(F.size(z) > 0, F.slice(F.flatten(all_), 2, REST)).otherwise(F.slice(F.array(start), 1, 0))
+
+    return let(xs, go)
+
+
+def runs(states: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make(first, end)`` of each run of places that begins where a state's ``opens`` is true; ``end`` is the next run's first."""
+
+    def spans(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
+        first = F.filter(places, lambda i: F.get(s, i)["opens"])
+        return let(first, lambda f: F.zip_with(f, F.slice(f, 2, REST), lambda a, b: make(a, F.coalesce(b, F.size(s)))))
+
+    return let(states, spans)

@@ -1,4 +1,4 @@
-"""Chunking: words by expression; reset-dependent packing as linear Arrow functions."""
+"""Chunking: words by expression; packing as folds in the JVM, or as linear Arrow functions for other sizes than words."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from memlake.functions.folds import REST, runs, scanned
 from memlake.functions.ids import uuid5
 from memlake.functions.text import let
 
@@ -30,7 +31,7 @@ def word_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``paragraph_end`` if a line end follows it, else ``word``.
     """
     w = docs.select(F.col(id_col), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("ws"))
-    w = w.select(id_col, F.posexplode(F.arrays_zip(F.col("ws").alias("word"), F.slice("ws", 2, 2147483647).alias("next"))).alias("pos", "p"))
+    w = w.select(id_col, F.posexplode(F.arrays_zip(F.col("ws").alias("word"), F.slice("ws", 2, REST).alias("next"))).alias("pos", "p"))
     ends = F.rtrim(F.col("p.word")).rlike(f"[{MARKS}]$")
     line = F.coalesce(F.col("p.next").rlike("^[\n\r]"), F.lit(False))
     return w.select(id_col, "pos", F.col("p.word").alias("word"), F.when(ends & line, "paragraph_end").when(ends, "sentence_end").otherwise("word").alias("kind"))
@@ -126,16 +127,92 @@ def _applied(split: Callable[[str], list]) -> Callable[[Column], Column]:
     return F.pandas_udf(lambda s: s.map(lambda t: [dict(zip(CHUNK.names, x, strict=True)) for x in split(t or "")]), T.ArrayType(CHUNK))
 
 
+def word_sentences(text: Column, limit: int | None) -> Column:
+    """``split_sentences`` where each word counts one, as a fold over the words: an array of structs like ``CHUNK``."""
+    marked = lambda w: F.rtrim(w).rlike(f"[{MARKS}]$")
+
+    def told(w: Column, after: Column) -> Column:
+        kind = F.when(~marked(w), "word").when(after.rlike("^[\n\r]"), "paragraph_end").otherwise("sentence_end")
+        return F.struct(kind.alias("kind"), w.rlike(r"\p{L}").alias("letter"))
+
+    def step(s: Column, x: Column) -> Column:
+        over = s["total"] + 1 > limit if limit else F.lit(False)
+        ends = ~over & (x["kind"] != "word")
+        return F.struct(
+            F.when(over, 1).when(ends, 0).otherwise(s["total"] + 1).alias("total"),
+            F.when(ends & (x["kind"] == "paragraph_end"), s["paragraph"] + 1).otherwise(s["paragraph"]).alias("paragraph"),
+            F.when((x["kind"] != "word") | x["letter"], x["kind"]).otherwise(s["state"]).alias("state"),
+            (over | s["shut"]).alias("opens"),
+            ends.alias("shut"),
+        )
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("paragraph"), F.lit(None).cast("string").alias("state"), F.lit(False).alias("opens"), F.lit(True).alias("shut"))
+
+    def build(z: Column) -> Column:
+        def chunk(a: Column, b: Column) -> Column:
+            last, after = F.get(z["states"], b - 1), F.get(z["states"], b)
+            how = F.when(last["shut"], last["state"]).when(after.isNotNull(), after["state"]).when(last["state"] == "word", "sentence_cut").otherwise(last["state"])
+            return F.struct(F.array_join(F.slice(z["ws"], a + 1, b - a), "").alias("text"), (b - a).alias("size"), how.alias("cut"), last["paragraph"].alias("paragraph"))
+
+        return runs(z["states"], chunk)
+
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    states = lambda ws: scanned(F.zip_with(ws, F.slice(ws, 2, REST), told), start, step)
+    return let(let(words, lambda ws: F.struct(ws.alias("ws"), states(ws).alias("states"))), build)
+
+
+def _joined(items: Column, a: Column, b: Column, by: str, how: Callable[[Column], Column]) -> Column:
+    """Items from ``a`` to before ``b`` as one of ``CHUNK``; ``how`` says how, given its last item."""
+    part = F.slice(items, a + 1, b - a)
+    size = F.aggregate(part, F.lit(0), lambda n, x: n + x["size"])
+    return F.struct(F.array_join(F.transform(part, lambda x: x["text"]), by).alias("text"), size.alias("size"), how(F.get(items, b - 1)).alias("cut"))
+
+
+def word_paragraphs(text: Column, limit: int, batch: bool = True) -> Column:
+    """``split_paragraphs`` where each word counts one, as a fold over the sentences: an array of (text, size, cut)."""
+
+    def step(s: Column, x: Column) -> Column:
+        over = (s["total"] > 0) & (s["total"] + x["size"] > limit)
+        shut = F.lit(False) if batch else F.coalesce(x["cut"].isin("paragraph_end", "sentence_cut"), F.lit(False))
+        return F.struct(F.when(shut, 0).when(over, x["size"]).otherwise(s["total"] + x["size"]).alias("total"), (over | s["shut"]).alias("opens"), shut.alias("shut"))
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(False).alias("opens"), F.lit(True).alias("shut"))
+
+    def build(z: Column) -> Column:
+        how = lambda b: lambda x: F.when((b == F.size(z["items"])) & (x["cut"] == "word"), "sentence_cut").otherwise(x["cut"])
+        return runs(z["states"], lambda a, b: _joined(z["items"], a, b, "", how(b)))
+
+    return let(let(word_sentences(text, limit), lambda ss: F.struct(ss.alias("items"), scanned(ss, start, step).alias("states"))), build)
+
+
+def word_documents(texts: Column, limit: int) -> Column:
+    """Paragraph chunks of an array of texts packed across them: an array of (text, size, cut, alone)."""
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["total"] + x["size"] <= limit
+        alone = ~fits & ~s["held"]
+        return F.struct(F.when(fits, s["total"] + x["size"]).when(s["held"], x["size"]).otherwise(0).alias("total"), (~fits | ~s["held"]).alias("opens"), (~alone).alias("held"))
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(False).alias("opens"), F.lit(False).alias("held"))
+
+    def build(z: Column) -> Column:
+        alone = lambda b: (~F.get(z["states"], b - 1)["held"]).alias("alone")
+        return runs(z["states"], lambda a, b: let(_joined(z["items"], a, b, " ", lambda x: x["cut"]), lambda c: F.struct(c["text"].alias("text"), c["size"].alias("size"), c["cut"].alias("cut"), alone(b))))
+
+    parts = F.flatten(F.transform(texts, lambda t: word_paragraphs(t, limit)))
+    return let(let(parts, lambda ps: F.struct(ps.alias("items"), scanned(ps, start, step).alias("states"))), build)
+
+
 def sentence_chunks(docs: DataFrame, limit: int | None = None, size: Callable[[str], int] = one_per_word, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, text, size, cut, paragraph)``; paragraphs are numbered, not random."""
-    split = _applied(lambda t: split_sentences(t, limit, size))
-    return docs.select(id_col, F.posexplode(split(F.col(text_col))).alias("pos", "c")).select(id_col, "pos", "c.*")
+    chunks = word_sentences(F.col(text_col), limit) if size is one_per_word else _applied(lambda t: split_sentences(t, limit, size))(F.col(text_col))
+    return docs.select(id_col, F.posexplode(chunks).alias("pos", "c")).select(id_col, "pos", "c.*")
 
 
 def paragraph_chunks(docs: DataFrame, limit: int, batch: bool = True, size: Callable[[str], int] = one_per_word, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, text, size, cut, chunk_id)`` with the chunk's id from its text."""
-    split = _applied(lambda t: split_paragraphs(t, limit, size, batch))
-    out = docs.select(id_col, F.posexplode(split(F.col(text_col))).alias("pos", "c"))
+    chunks = word_paragraphs(F.col(text_col), limit, batch) if size is one_per_word else _applied(lambda t: split_paragraphs(t, limit, size, batch))(F.col(text_col))
+    out = docs.select(id_col, F.posexplode(chunks).alias("pos", "c"))
     return out.select(id_col, "pos", "c.text", "c.size", "c.cut").withColumn("chunk_id", uuid5(F.col("text")))
 
 
@@ -162,11 +239,14 @@ def document_chunks(parts: DataFrame, limit: int, size: Callable[[str], int] = o
             out.append({"text": " ".join(x[0] for x in held), "size": total, "cut": held[-1][2], "paragraph": 0})
         return out
 
-    packed = F.pandas_udf(lambda s: s.map(lambda t: pack(list(t))), T.ArrayType(CHUNK))
     docs = parts.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct(order_col, text_col))), lambda x: x[text_col]).alias("texts"))
-    out = docs.select(id_col, F.posexplode(packed("texts")).alias("pos", "c"))
+    if size is one_per_word:
+        out = docs.select(id_col, F.posexplode(word_documents(F.col("texts"), limit)).alias("pos", "c")).withColumn("alone", F.col("c.alone"))
+    else:
+        packed = F.pandas_udf(lambda s: s.map(lambda t: pack(list(t))), T.ArrayType(CHUNK))
+        out = docs.select(id_col, F.posexplode(packed("texts")).alias("pos", "c")).withColumn("alone", F.col("c.paragraph") == 1)
     own = uuid5(F.concat(F.col(id_col).cast("string"), F.lit("-"), F.col("pos").cast("string")))
-    return out.select(id_col, "pos", "c.text", "c.size", "c.cut", F.when(F.col("c.paragraph") == 1, uuid5(F.col("c.text"))).otherwise(own).alias("chunk_id"))
+    return out.select(id_col, "pos", "c.text", "c.size", "c.cut", F.when(F.col("alone"), uuid5(F.col("c.text"))).otherwise(own).alias("chunk_id"))
 
 
 def packed(parts: Column, sizes: Column, limit: int, keep_empty: bool = True) -> Column:
