@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from memlake.operators import chunking as ch
 from memlake.operators.chunking import pack_sentences, packed_chunks, sentences
 
 
@@ -21,34 +20,3 @@ def test_fold_packs_as_the_loop(spark, keep_empty):
         got.setdefault(x.doc_id, []).append(x.text)
     assert got == {i: want for i, p in parts.items() if (want := pack_sentences(p, 10, keep_empty))}
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
-
-
-def _texts():
-    rng = random.Random(5)
-    bits = ["word ", "two", " ", ". ", ".", "! ", "?\n", "\n", "\r", "12 ", "…", "é", "。", "  ", "--- "]
-    return [None, "", " ", ".", "\n", "a" * 50] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 90))) for _ in range(120)] + ["so it goes on. " * 400]
-
-
-def test_sentences_and_paragraphs_fold_like_the_loops(spark):
-    texts = _texts()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for limit in (None, 1, 2, 3, 7):
-        got = ch.sentence_chunks(df, limit)
-        want = sorted((i, p, *c) for i, t in enumerate(texts) for p, c in enumerate(ch.split_sentences(t or "", limit, ch.one_per_word)))
-        assert sorted(map(tuple, got.collect())) == want, limit
-        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
-    for limit, batch in ((1, True), (5, True), (9, False), (200, False)):
-        got = ch.paragraph_chunks(df, limit, batch)
-        want = sorted((i, p, *c[:3]) for i, t in enumerate(texts) for p, c in enumerate(ch.split_paragraphs(t or "", limit, ch.one_per_word, batch)))
-        assert sorted(map(tuple, got.drop("chunk_id").collect())) == want, (limit, batch)
-        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
-
-
-def test_documents_fold_like_the_loop(spark):
-    texts = _texts()
-    df = spark.createDataFrame([(i % 9, i, t) for i, t in enumerate(texts)], "doc_id long, part long, text string").repartition(3)
-    for limit in (1, 4, 30):
-        fold = ch.document_chunks(df, limit)
-        loop = ch.document_chunks(df, limit, size=lambda _: 1)
-        assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, loop.collect())), limit
-        assert "Python" not in fold._jdf.queryExecution().executedPlan().toString()
