@@ -30,7 +30,7 @@ def word_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``paragraph_end`` if a line end follows it, else ``word``.
     """
     w = docs.select(F.col(id_col), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("ws"))
-    w = w.select(id_col, F.posexplode(F.arrays_zip(F.col("ws").alias("word"), F.slice("ws", 2, 2147483647).alias("next"))).alias("pos", "p"))
+    w = w.select(id_col, F.posexplode(F.arrays_zip(F.col("ws").alias("word"), F.slice("ws", 2, 1 << 30).alias("next"))).alias("pos", "p"))
     ends = F.rtrim(F.col("p.word")).rlike(f"[{MARKS}]$")
     line = F.coalesce(F.col("p.next").rlike("^[\n\r]"), F.lit(False))
     return w.select(id_col, "pos", F.col("p.word").alias("word"), F.when(ends & line, "paragraph_end").when(ends, "sentence_end").otherwise("word").alias("kind"))
