@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,21 +114,59 @@ def summary_scores(df: DataFrame) -> DataFrame:
     return df.select("*", recall.alias("recall"), precision.alias("precision"), f1.alias("judged_f1"))
 
 
-def nearest_titles(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title") -> DataFrame:
+#: Distances up to which titles are looked up by their segments; a longer reach leaves segments too short to tell titles apart.
+REACHES = (1, 2, 4)
+
+
+def nearest_titles(names: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", reaches: tuple[int, ...] = REACHES) -> DataFrame:
     """``(name, nearest, distance)`` by edit distance in lower case; ties go to the smallest title.
 
-    One title of each length gives a name a first distance; then it meets only
-    titles whose length differs by no more, and no distance is followed beyond it.
+    Names look within reach first: a title cut into ``d + 1`` segments has one of
+    them whole in every text within ``d`` edits, at most ``d`` places off, so length,
+    number and content of a segment are the key of a join.  What has no title in
+    reach tries the next.  What is left meets titles by length: one title of each
+    length gives a first distance, and none is followed beyond it.
     """
     size = lambda c: F.length(F.lower(c))
     t = cut(titles.select(F.col(title).alias("t")).where("t is not null").distinct().withColumn("size", size("t")))
-    n = names.select(F.col(name).alias("n")).where("n is not null").distinct()
+    open_ = cut(names.select(F.col(name).alias("n")).where("n is not null").distinct())
+    done = []
+    for d in reaches:
+        # A distance over ``d`` comes back as -1.
+        near = _sharing_segments(open_, t, d).withColumn("d", F.levenshtein(F.lower("n"), F.lower("t"), d)).where("d >= 0")
+        done.append(cut(near.groupBy("n").agg(F.min(F.struct("d", "t")).alias("x"))))
+        open_ = cut(open_.join(done[-1], "n", "left_anti"))
+        if open_.isEmpty():
+            break
+    else:
+        done.append(_by_size(open_, t))
+    best = reduce(DataFrame.unionByName, done)
+    return best.select(F.col("n").alias(name), F.col("x.t").alias("nearest"), F.col("x.d").alias("distance"))
+
+
+def _sharing_segments(names: DataFrame, titles: DataFrame, d: int) -> DataFrame:
+    """``(n, t)``, each once: all pairs within ``d`` edits, and few others.  Titles of up to ``d`` characters are their own key: their length."""
+    first = lambda m, p: F.floor(m * p / (d + 1)).cast("int")
+    parts = lambda m: F.when(m > d, F.sequence(F.lit(0), F.lit(d))).otherwise(F.array(F.lit(-1)))
+    m, p = F.col("m"), F.col("p")
+    start, long_ = first(m, p), first(m, p + 1) - first(m, p)
+    piece = lambda c, at: F.when(p < 0, "").otherwise(F.substring(F.lower(c), at + 1, long_))
+    t = titles.select("t", F.col("size").alias("m")).withColumn("p", F.explode(parts(m))).select("t", "m", "p", piece("t", start).alias("seg"))
+    l = F.length(F.lower("n"))
+    n = names.withColumn("m", F.explode(F.sequence(F.greatest(l - d, F.lit(0)), l + d))).withColumn("p", F.explode(parts(m)))
+    low, high = F.greatest(start - d, F.lit(0)), F.least(start + d, l - long_)
+    n = n.withColumn("at", F.explode(F.when(p < 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))))
+    return n.select("n", "m", "p", piece("n", F.col("at")).alias("seg")).distinct().join(t, ["m", "p", "seg"]).select("n", "t").distinct()
+
+
+def _by_size(names: DataFrame, t: DataFrame) -> DataFrame:
+    """``(n, x)``: the nearest title of names that may be far from all."""
+    size = F.length(F.lower("n"))
     some = t.groupBy("size").agg(F.min("t").alias("t"))  # one row a length
-    first = cut(n.join(F.broadcast(some)).groupBy("n").agg(F.min(F.levenshtein(F.lower("n"), F.lower("t"))).alias("most")))
-    reach = first.withColumn("size", F.explode(F.sequence(F.greatest(size("n") - F.col("most"), F.lit(0)), size("n") + F.col("most"))))
+    first = cut(names.join(F.broadcast(some)).groupBy("n").agg(F.min(F.levenshtein(F.lower("n"), F.lower("t"))).alias("most")))
+    reach = first.withColumn("size", F.explode(F.sequence(F.greatest(size - F.col("most"), F.lit(0)), size + F.col("most"))))
     d = reach.join(t, "size").withColumn("d", F.levenshtein(F.lower("n"), F.lower("t")))
-    best = d.where("d <= most").groupBy("n").agg(F.min(F.struct("d", "t")).alias("x"))
-    return best.select(F.col("n").alias(name), F.col("x.t").alias("nearest"), F.col("x.d").alias("distance"))
+    return d.where("d <= most").groupBy("n").agg(F.min(F.struct("d", "t")).alias("x"))
 
 
 def recommendation_recall(df: DataFrame, titles: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -140,28 +179,53 @@ def recommendation_recall(df: DataFrame, titles: DataFrame, ks: tuple[int, ...]
     return j.select("query_id", *[part(k).alias(f"recall_{k}") for k in ks])
 
 
-def bootstrap_interval(scores: DataFrame, col: str = "score", samples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """``(mean, low, high)``: seeded bootstrap of the mean, with Poisson counts in place of draws.
+def bootstrap_interval(scores: DataFrame, col: str = "score", samples: int = 10_000, seed: int = 42, level: float = 0.95, blocks: int = 512) -> DataFrame:
+    """``(mean, low, high)``: seeded bootstrap of the mean; runs agree, nulls are left out, no rows give nulls.
 
-    Rows of equal scores are drawn together, as one Poisson count of their
-    number, so the work is that of the different scores; runs agree.
+    Scores lie in at most ``blocks`` sorted blocks, each value in its own if there
+    are no more.  A sample deals its draws to the blocks, one binomial after the
+    other, and adds a block's mean as often, with the deviation that as many draws
+    from it have.  So the work is samples times blocks, whatever the rows.
     """
-    values = scores.select(F.col(col).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    v = F.col("v")
+    values = cut(scores.select(F.col(col).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c")))
+    ends = values.agg(F.array_sort(F.array_distinct(F.percentile_approx(v, F.array(*[F.lit((i + 1) / blocks) for i in range(blocks)]), blocks * 20))).alias("ends"))  # one row
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, c = (b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("v", "c"))
+            at = np.searchsorted(b.column("ends")[0].values.to_numpy(), x)
+            sums = [np.bincount(at, w, blocks + 1) for w in (c, c * x)]
+            mean = sums[1] / np.maximum(sums[0], 1)
+            apart = np.bincount(at, c * (x - mean[at]) ** 2, blocks + 1)
+            some = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]) for a in (np.arange(blocks + 1), sums[0], mean, apart)], names=["b", "c", "mean", "apart"])
+
+    parts = values.join(F.broadcast(ends)).mapInArrow(placed, "b long, c double, mean double, apart double")
+    parts = cut(parts)
+    whole = parts.groupBy("b").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("mean")) / F.sum("c")).alias("m"))  # at most blocks + 1 rows
+    # Deviations are taken from the block's mean, not from sums of squares, which lose digits.
+    apart = F.sum(F.col("apart") + F.col("c") * (F.col("mean") - F.col("m")) ** 2)
+    dev = parts.join(F.broadcast(whole), "b").groupBy("b").agg(F.first("n").alias("c"), F.first("m").alias("mean"), apart.alias("apart"))
+    table = dev.withColumn("dev", F.sqrt(F.col("apart") / F.col("c"))).agg(F.sort_array(F.collect_list(F.struct("b", "c", "mean", "dev"))).alias("t"))  # one row
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(samples), np.zeros(samples)
         for b in batches:
-            for v, c in zip(b.column("v").to_pylist(), b.column("c").to_pylist(), strict=True):
-                drawn = np.random.default_rng([seed, *np.array([v]).view(np.uint32).tolist()]).poisson(c, samples)
-                n, total = n + drawn, total + v * drawn
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(n), pa.array(total)], names=["k", "n", "total"])
-
-    drawn = values.mapInArrow(draw, "k long, n double, total double")
-    means = drawn.groupBy("k").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+            known = b.column("t")[0].values
+            if not len(known):
+                continue
+            c, mean, dev = (known.field(k).to_numpy(zero_copy_only=False) for k in ("c", "mean", "dev"))
+            n, means = int(c.sum()), []
+            for k in b.column("k").to_pylist():
+                rng = np.random.default_rng([seed, k])
+                drawn = rng.multinomial(n, c / c.sum())
+                means.append(float((drawn * mean + np.sqrt(drawn) * dev * rng.standard_normal(len(c))).sum() / n))
+            yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
+
+    means = scores.sparkSession.range(samples).withColumnRenamed("id", "k").join(F.broadcast(table)).mapInArrow(draw, "m double")
     tail = (1 - level) / 2
-    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return scores.agg(F.avg(col).alias("mean")).join(F.broadcast(ends))
+    out = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return scores.agg(F.avg(col).alias("mean")).join(F.broadcast(out))
 
 
 def rouge_best(df: DataFrame, pred: str = "output", golds: str = "answers") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.operators import chunking, graph as G, graph_memory as GM
+from memlake.operators.cascade import cascade, statement_reader
 from memlake.operators.vector_store import similar_pairs
 from memlake.plans.catalog import query
 from memlake.plans.graph_queries import _EDGES, _KEYS, _relational, _triples
@@ -196,3 +197,18 @@ def synonym_links(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     phrase = F.when(F.col("vec_id") % 3 == 0, F.concat((F.col("vec_id") % 10).cast("string"), F.lit("-!"))).otherwise(F.concat(F.lit("ph"), F.col("vec_id").cast("string")))
     return G.synonym_edges(v.select(phrase.alias("id"), F.col("embedding").alias("vector")), 4, 0.3)
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS chunk_id, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT chunk_id, unnest(['node', 'node', 'node', 'node', 'relation', 'relation', 'triplet', 'triplet', 'triplet']) AS kind,
+           unnest([c_name, n_name, r_name, 'world', 'in', 'of', c_name || '|in|' || n_name, n_name || '|of|' || r_name, r_name || '|of|world']) AS name,
+           unnest([1, 2, 3, 4, 1, 1, 1, 1, 1]) AS round FROM c""")
+def cascaded_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' places as statements, read in rounds of three; the world comes with the relations, in the round after."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    said = F.concat_ws("; ", F.concat_ws(" in ", "c_name", "n_name"), F.concat_ws(" of ", "n_name", "r_name"), F.concat(F.col("r_name"), F.lit(" of world")))
+    nodes, names, edges = cascade(rows.select(F.col("c_custkey").alias("chunk_id"), said.alias("text")), *statement_reader(), rounds=3)
+    kind = lambda t, k, name: t.select("chunk_id", F.lit(k).alias("kind"), name.alias("name"), "round")
+    return kind(nodes, "node", F.col("name")).unionByName(kind(names, "relation", F.col("name"))).unionByName(kind(edges, "triplet", F.concat_ws("|", "source", "rel", "target")))
