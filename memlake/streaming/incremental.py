@@ -22,20 +22,21 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType | str, fil
 
 
 def memorize(chunks: DataFrame, path: str, checkpoint: str, text_col: str = "text", prefix: str = "chunk-") -> StreamingQuery:
-    """Appends each new text once, by content hash, however often a batch is tried again."""
+    """Appends each new text once, by content hash, however often a batch is tried again.
+
+    The stream's state holds the hashes, so a batch costs what it brings, not what
+    was stored before; a batch that is tried again writes its folder anew.  A
+    folder belongs to its checkpoint: one that was filled under another is refused.
+    """
+    spark = chunks.sparkSession
+    if exists(spark, path) and not exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{path} was filled under another checkpoint")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("hash_id", hash_id(F.col(text_col), prefix)).dropDuplicates(["hash_id"])
-        folder = f"{path}/batch={batch_id}"
-        if exists(spark, f"{folder}/_SUCCESS"):
-            return
-        # A folder without its mark is what a broken try left: this batch's own is written anew.
-        if done := [f for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]:
-            new = new.join(spark.read.schema(new.schema).parquet(*done).select("hash_id"), "hash_id", "left_anti")
-        new.write.mode("overwrite").parquet(folder)
-
-    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    new = chunks.withColumn("hash_id", hash_id(F.col(text_col), prefix)).dropDuplicates(["hash_id"])
+    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:

@@ -159,6 +159,8 @@ def test_streams(spark, tmp_path):
     go()
     go()
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        S.memorize(S.table_stream(spark, src, "text string"), str(tmp_path / "out"), str(tmp_path / "mark2"))
     ev_src = str(tmp_path / "ev")
     t = datetime(2024, 1, 1)
     spark.createDataFrame([(1, t, "a", 1.0), (1, t, "a", 1.0), (2, t + timedelta(minutes=90), "a", 2.0)], "id int, ts timestamp, event_type string, value double").write.parquet(ev_src)
