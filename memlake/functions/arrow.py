@@ -66,22 +66,30 @@ class BpeSize:
 
 
 def lcs_places(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of one longest common subsequence with ``b``."""
-    table = [[0] * (len(b) + 1)]
-    for x in a:
-        row, above = [0], table[-1]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-        table.append(row)
+    """Places in ``a`` of one longest common subsequence with ``b``; where two ways are as long, the one that leaves out a token of ``b``.
+
+    One row of bits a token of ``a``: a bit of ``b`` is clear where the length
+    steps up.  Rows are kept and walked back, a bit a pair of tokens.
+    """
+    where: dict[str, int] = {}
+    for j, t in enumerate(b):
+        where[t] = where.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for t in a:
+        same = rows[-1] & where.get(t, 0)
+        rows.append(((rows[-1] + same) | (rows[-1] - same)) & full)
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     out, i, j = set(), len(a), len(b)
+    here = length(i, j)
     while i and j:
         if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
+            i, j, here = i - 1, j - 1, here - 1
             out.add(i)
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
+        elif (above := length(i - 1, j)) > here - (rows[i] >> (j - 1) & 1 ^ 1):
+            i, here = i - 1, above
         else:
-            j -= 1
+            j, here = j - 1, here - (rows[i] >> (j - 1) & 1 ^ 1)
     return out
 
 
