@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from memlake.functions.vectors import METRICS, dot, norm, normalized
 from memlake.operators.bm25 import ranked
-from memlake.operators.metric_join import close_between, close_pairs
+from memlake.operators.metric_join import close_pairs, nearest_between
 
 
 def _shown(value: Any) -> str:
@@ -86,32 +86,31 @@ def minmax(scores: DataFrame, by: str = "query_id", score: str = "score", out: s
     return j.withColumn(out, F.when(F.col("__hi") > F.col("__lo"), (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))).drop("__by", "__lo", "__hi")
 
 
-def _grid(a: DataFrame, b: DataFrame, key_a: str, key_b: str, blocks: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs of two tables of different column names, dealt into about ``blocks`` cells; ``within`` columns must be equal.
+def _grid(a: DataFrame, b: DataFrame, key_a: str, key_b: str, blocks: int) -> DataFrame:
+    """All pairs of two tables of different column names, dealt into about ``blocks`` cells.
 
     Each side goes to one row or column of the grid, so to the root of the number of cells.
     """
     side = max(1, math.isqrt(blocks))
     a = a.withColumn("__i", F.pmod(F.xxhash64(key_a), F.lit(side))).withColumn("__j", F.explode(_numbered(side)))
     b = b.withColumn("__j", F.pmod(F.xxhash64(key_b), F.lit(side))).withColumn("__i", F.explode(_numbered(side)))
-    return a.join(b, ["__i", "__j", *within])
+    return a.join(b, ["__i", "__j"])
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, id_col: str = "id", vector_col: str = "vector", blocks: int | None = None) -> DataFrame:
     """``(src, dst, score)``: the ``k`` most cosine-similar rows of ``right`` for each of ``left``, itself left out.
 
     With a threshold, unit vectors meet in cells around pivots, which rows too far
-    apart do not share; without one, all meet in the cells of a grid.
+    apart do not share, and a block sends on each row's ``k`` best; without one, all
+    meet in the cells of a grid.
     """
     n = blocks or cells(left)
     if threshold is not None:
-        met = close_between(left, right, threshold, n, id_col, vector_col).toDF("src", "dst", "va", "vb")
+        pairs = nearest_between(left, right, k, threshold, n, id_col, vector_col).where(F.col("score") >= threshold)
     else:
         unit = lambda df, i, v: df.select(F.col(id_col).alias(i), normalized(F.col(vector_col)).alias(v))
         met = _grid(unit(left, "src", "va"), unit(right, "dst", "vb"), "src", "dst", n)
-    pairs = met.where("src <> dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") >= threshold)
+        pairs = met.where("src <> dst").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
     return ranked(pairs, k, query="src", tie="dst").select("src", "dst", "rank", "score")
 
 
@@ -120,8 +119,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vect
 
     Columns of ``within`` must be equal: they are keys of the join, so rows that differ in them never meet.
     """
-    met = close_pairs(vectors, threshold, blocks or cells(vectors), id_col, vector_col, keep, within)
-    out = met.withColumn("sim", dot(F.col("va"), F.col("vb"))).where(F.col("sim") > threshold)
+    out = close_pairs(vectors, threshold, blocks or cells(vectors), id_col, vector_col, keep, within).where(F.col("sim") > threshold)
     return out.select("a", "b", "sim", *[f"{c}_{s}" for s in "ab" for c in keep], *within)
 
 

@@ -64,6 +64,17 @@ def test_knn_join_with_a_threshold(spark):
     assert got == want
 
 
+def test_a_block_sends_on_the_best_only(spark):
+    """Of 400 rows that are all similar to each other each block sends on two a row, equal ones by the smaller id."""
+    rng = np.random.default_rng(5)
+    x = 1 + 0.01 * rng.normal(size=(400, 8))
+    x[::4] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+    assert M.nearest_between(df, df, 2, 0.5, 9).count() <= 400 * 2 * 3
+    near = {(r.src, r["rank"]): r.dst for r in knn_join(df, df, 2, 0.5).collect()}
+    assert [near[0, 1], near[0, 2], near[4, 1], near[4, 2], near[396, 1], near[396, 2]] == [4, 8, 0, 8, 0, 4]
+
+
 @pytest.fixture
 def index(spark, tmp_path):
     def make(vectors, metric="cosine", **how):
