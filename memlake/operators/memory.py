@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memlake.functions.ids import hash_id
@@ -126,11 +128,12 @@ def summarizer_cutoff(messages: DataFrame, by: str, order: str, tokens: str, sha
 
     The first message is the system's and is passed over; from the second on,
     messages are taken until their tokens reach ``share`` of all and the role is
-    neither user nor tool, or only ``keep_last`` would be left.
+    neither user nor tool, or only ``keep_last`` would be left.  The share is taken
+    in decimals: seven tenths of 90 are 63.
     """
     w = W.partitionBy(by).orderBy(order)
     whole = W.partitionBy(by)
-    m = messages.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(whole)).withColumn("want", F.floor(F.sum(tokens).over(whole) * share))
+    m = messages.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(whole)).withColumn("want", F.floor(F.sum(tokens).over(whole) * F.lit(Decimal(str(share)))))
     m = m.withColumn("so_far", F.sum(F.when(F.col("i") > 0, F.col(tokens)).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     enough = ~F.col("role").isin("user", "tool", "function") & (F.col("so_far") >= F.col("want"))
     stop = F.when((F.col("i") > 0) & (enough | (F.col("n") - F.col("i") - 1 <= keep_last)), F.col("i"))

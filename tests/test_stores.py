@@ -217,3 +217,10 @@ def test_only_the_owners_memories_are_similar(spark):
     assert sorted((r.fact_id, r.memory_id) for r in near.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
     got = {r.fact_id: (r.event, r.memory_id) for r in M.decide(facts, near, negates=F.col("negates")).collect()}
     assert got == {1: ("DELETE", "a"), 2: ("NONE", "a"), 3: ("ADD", None)}
+
+
+def test_cutoff_takes_its_share_in_decimals(spark):
+    """Seven tenths of 90 tokens are 63, which the third message does not reach with 62."""
+    rows = [("c", 0, "system", 5), ("c", 1, "user", 30), ("c", 2, "assistant", 32), ("c", 3, "assistant", 1), ("c", 4, "user", 11), ("c", 5, "user", 11)]
+    m = spark.createDataFrame(rows, "conv string, i_ int, role string, tok int")
+    assert M.summarizer_cutoff(m, "conv", "i_", "tok", 0.7).first().cutoff == 4
