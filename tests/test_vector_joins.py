@@ -75,6 +75,13 @@ def test_a_block_sends_on_the_best_only(spark):
     assert [near[0, 1], near[0, 2], near[4, 1], near[4, 2], near[396, 1], near[396, 2]] == [4, 8, 0, 8, 0, 4]
 
 
+def test_pairs_are_products_of_blocks(spark):
+    """No product is an expression a pair: the plan has the group function, and no fold over zipped vectors after it."""
+    x, df = clustered(spark, n=50)
+    plan = similar_pairs(df, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan
+
+
 @pytest.fixture
 def index(spark, tmp_path):
     def make(vectors, metric="cosine", **how):
