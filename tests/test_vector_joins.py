@@ -82,6 +82,13 @@ def test_pairs_are_products_of_blocks(spark):
     assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan
 
 
+def test_rows_of_one_name_share_no_block(spark):
+    """Phrases repeat: rows are dealt by their number, so those of one name do not fill one block."""
+    units = M.unit_rows(spark.range(400).select(F.lit("same").alias("id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector")).repartition(4), "id", "vector")
+    sizes = [r["count"] for r in units.groupBy(M._block(4)).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+
+
 @pytest.fixture
 def index(spark, tmp_path):
     def make(vectors, metric="cosine", **how):
