@@ -128,3 +128,14 @@ def test_index_adds_deletes_and_prunes(spark, index):
     assert [(r.id, round(r.score, 6)) for r in top] == [(60, 1.0)]
     plan = ix.candidates(asked, 1, 20)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_index_by_bounds_is_exact(spark, index, metric):
+    """Without a number of rows to rerank, coarse codes of vectors without clusters lose none of the nearest."""
+    x, df = clustered(spark, n=1000, clusters=1, spread=1.0)
+    ix = index(df, metric, cells=4, parts=4, codes=4)
+    ix.add(df)
+    asked = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    exact = {(r.query_id, r.id): (r["rank"], round(r.score, 5)) for r in topk(df, asked, 10, metric).collect()}
+    assert {(r.query_id, r.id): (r["rank"], round(r.score, 5)) for r in ix.search(asked, 10, probes=4, rerank=None).collect()} == exact
