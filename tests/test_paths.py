@@ -95,3 +95,14 @@ def test_each_question_stops_at_its_answer(spark, delta):
     for row in G.best_first_batch(e, seeds, c, answers, delta).collect():
         got.setdefault(row.query_id, {})[row.id] = row.cost
     assert got == {q: cheapest(n, edges, s, concepts, t) for q, (s, t) in asked.items()}
+
+
+def test_path_counts_are_exact(spark):
+    """Two hubs of 3,000 and 500 leaves at the ends of a path, a ring and lone nodes: sketches were off by some."""
+    edges = [(0, i) for i in range(100, 3100)] + [(3, i) for i in range(4000, 4500)] + [(0, 1), (1, 2), (2, 3), (3, 2), (3, 3), (3, 9999)]
+    edges += [(10 + i, 10 + (i + 1) % 5) for i in range(5)]
+    ids = [*range(4), *range(10, 15), *range(50, 60), *range(100, 3100), *range(4000, 4500)]
+    got = list(map(tuple, G.path_counts(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long")).orderBy("dist").collect()))
+    leaves, other, ring = 3000, 500, 5
+    new = [len(ids), 2 * (leaves + other + 3) + 2 * ring, leaves * (leaves - 1) + other * (other - 1) + 2 * (leaves + other) + 4 + 2 * ring, 2 * (leaves + other) + 2, 2 * (leaves + other), 2 * leaves * other]
+    assert got == [(d, sum(new[: d + 1])) for d in range(6)]
