@@ -39,3 +39,9 @@ def test_a_worker_sends_chunks_as_they_come(spark, monkeypatch):
     C._chunked(Rows(), lambda t: C.split_sentences(t or "", 64, C.one_per_word), "doc_id", "text")
     assert sum(b.num_rows for b in seen) == 300 * 40 and max(b.num_rows for b in seen) < 200
     assert C.sentence_chunks(docs, 64).count() == 300 * 40
+
+
+def test_triples_are_dealt_once(spark, sf_dir):
+    """What a chunk has is known where its rows lie: one exchange of rows, and one of entities' counts."""
+    plan = catalog.QUERIES["entity_frequency"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
