@@ -134,6 +134,26 @@ def test_segments_join_a_large_group(spark, rows_per_bucket):
     assert len({trees[i] for i in range(1, 3000, 2)}) == 1
 
 
+def test_a_cut_bucket_loses_no_link(spark):
+    """Leaves near one centre, and for each another that is near its leaf only, all under one segment: a cut joins them as a whole bucket does."""
+    rng = np.random.default_rng(11)
+    width, base = S.SEGMENT_BITS, rng.integers(0, 2, 512)
+    rows = [base]
+    for _ in range(150):
+        leaf = base.copy()
+        at = [rng.choice(width, 10, replace=False) + width * j for j in range(1, S.SEGMENTS)]
+        leaf[np.concatenate([a[:5] for a in at])] ^= 1
+        far = leaf.copy()
+        far[np.concatenate([a[5:] for a in at])] ^= 1
+        rows += [leaf, far]
+    rows = [(i, bytearray(np.packbits(f, bitorder="little").tobytes())) for i, f in enumerate(rows)]
+    df = spark.createDataFrame(rows, "node long, fp binary").withColumn("digest", F.unhex(F.md5("fp"))).repartition(3)
+    for rows_per_bucket in (100_000, 20, 2):
+        pairs = [tuple(r) for r in S.wide_pairs(df, len(rows), 110, rows_per_bucket).collect()]
+        assert all(a < b for a, b in pairs) and len(set(pairs)) == len(pairs)
+        assert set(tree_of(len(rows), pairs)) == {0}
+
+
 @pytest.mark.parametrize("pairs, apart", [(100, True), (20, False), (100, False), (300, False)])
 def test_recall_does_not_fall_with_the_group(spark, sf_dir, pairs, apart):
     """Copies b of one text with one word replaced, and for each a c with four more: c is similar to its own b only."""
