@@ -71,14 +71,14 @@ class PostingIndex:
         gone = gone.groupBy("doc_id").agg(F.max("segment").alias("gone")).withColumnRenamed("doc_id", "__id")
         return rows.join(gone, (rows.doc_id == gone["__id"]) & (gone.gone >= rows.segment), "left_anti")
 
-    def _write(self, number: int, level: int, rows: DataFrame) -> tuple:
-        """Writes the counted rows as a segment; returns its line of the manifest."""
-        rows = cut(rows.select("doc_id", "dl", "term", "tf"), "counted")
-        sizes = rows.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    def _write(self, number: int, level: int, rows: DataFrame, docs: DataFrame | None = None) -> tuple:
+        """Writes the counted rows as a segment; returns its line of the manifest.  ``docs`` are its documents, where they are known."""
+        docs = rows.select("doc_id", "dl").distinct() if docs is None else docs.select("doc_id", "dl")
+        docs.write.mode("overwrite").parquet(f"{self.path}/documents/segment={number}")
+        sizes = self._read("documents", [number]).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         block = F.concat(F.lit(f"{number}-"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sizes.n // BLOCK))).cast("string"))
-        rows.select("doc_id", "dl").distinct().write.mode("overwrite").parquet(f"{self.path}/documents/segment={number}")
-        parts = rows.where("term is not null").withColumn("block", block).withColumn("bucket", bucket("term"))
-        parts.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        parts = rows.where("term is not null").select("doc_id", "dl", "term", "tf", block.alias("block"), bucket("term").alias("bucket"))
+        parts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
         bounds(self._read("postings", [number])).withColumn("bucket", bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/bounds/segment={number}")
         return ("segment", number, level, sizes.n, sizes.words)
 
@@ -101,7 +101,10 @@ class PostingIndex:
     def add(self, docs: DataFrame) -> None:
         """Writes one segment, and merges eight of a level when there are so many."""
         number, manifest = self._manifest()
-        rows = cut(counted(docs.select("doc_id", "text").dropDuplicates(["doc_id"])), "added")
+        docs = docs.select("doc_id", "text")
+        if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # texts are shuffled only where an id is repeated
+            docs = docs.dropDuplicates(["doc_id"])
+        rows = cut(counted(docs), "added")
         # A deletion counts for segments up to its number, so the segment comes after it.
         gone = self._gone(number + 1, rows, manifest)
         self._publish(number + 2, [*manifest, *gone, self._write(number + 2, 0, rows)])
@@ -123,10 +126,8 @@ class PostingIndex:
             if not many:
                 return
             numbers = [r.number for r in many]
-            held = self._live(self._read("documents", numbers), manifest).select("doc_id", "dl", "segment")
-            have = self._read("postings", numbers)
-            rows = held.join(have.select("doc_id", "segment", "term", "tf"), ["doc_id", "segment"], "left").select("doc_id", "dl", "term", F.coalesce("tf", F.lit(0)).alias("tf"))
-            new = self._write(number + 1, level + 1, rows)
+            held, have = (self._live(self._read(kind, numbers), manifest) for kind in ("documents", "postings"))
+            new = self._write(number + 1, level + 1, have, held)
             left = [r for r in manifest if r not in many]
             # Deletions still take off what they took from the merged segments, which the new one does not hold.
             docs, total = sum(r.docs for r in many) - new[3], sum(r.words for r in many) - new[4]

@@ -112,3 +112,21 @@ def test_only_folders_of_the_terms_are_read(spark, tmp_path):
     rows = ix._read("postings", [n for n, _ in ix.segments()], [3]).where("term = 'w1'")
     plan = rows._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,w1)" in plan
+
+
+def test_words_are_counted_where_texts_lie(spark):
+    """No posting and no text is shuffled to be counted."""
+    rows = bm25.counted(spark.createDataFrame([(1, "a b A"), (2, None), (3, " "), (4, "c")], "doc_id long, text string"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.dl, r.term or "", r.tf) for r in rows.collect()) == [(1, 3, "a", 2), (1, 3, "b", 1), (2, 0, "", 1), (3, 0, "", 1), (4, 1, "c", 1)]
+
+
+def test_a_group_sends_on_the_best_only(spark, monkeypatch):
+    """Of 200 equal documents each group of blocks gives a query its two of the smallest ids, and queries of several parts miss none."""
+    monkeypatch.setattr(bm25, "GROUP", 50)
+    monkeypatch.setattr(bm25, "ASKED", 2)
+    posted = spark.range(200).selectExpr("cast(id % 20 as string) as block", "id as doc_id", "4L as dl", "'w' as term", "1L as tf")
+    weights = spark.range(5).selectExpr("id as query_id", "'w' as term", "1.0D as w")
+    some = posted.select("block").distinct().crossJoin(weights.select("query_id")).where("block <> '0'")
+    got = [(r.query_id, r.doc_id) for r in bm25.best_of_groups(posted, weights, some, 200, 4.0, 2).collect()]
+    assert len(got) == len(set(got)) <= 5 * 2 * 4 and all((q, 1) in got and (q, 0) not in got for q in range(5))
