@@ -215,3 +215,21 @@ def test_relations_of_all_similar_nodes(spark):
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
     assert GM.both_directions(nodes, edges, asked, 0.7).count() == 300
     assert GM.both_directions(nodes, edges, asked, 0.7, 10).count() == 10
+
+
+@pytest.mark.parametrize("of_group", [1 << 22, 40])
+def test_triangles_of_groups(spark, of_group):
+    """Every triangle is counted at its three nodes, in however many parts nodes are; no open triangle is a row of a join."""
+    rng = np.random.default_rng(2)
+    near = np.triu(rng.random((60, 60)) < 0.2, 1)
+    near[3, 4:] = True
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(near))], "a long, b long").repartition(3)
+    both = (near | near.T).astype(int)
+    want = np.diag(both @ both @ both) // 2
+    assert {r.n: r.t for r in G.triangles(links, of_group).collect()} == {i: t for i, t in enumerate(want.tolist()) if t}
+    nodes = spark.range(62).select(F.col("id").cast("string").alias("id"))
+    c = G.clustering(nodes, links.select(F.col("b").cast("string").alias("src"), F.col("a").cast("string").alias("dst")))
+    k = both.sum(axis=1)
+    assert {int(r.id): round(r.coefficient, 6) for r in c.collect()} == {i: round(2 * want[i] / (k[i] * (k[i] - 1)), 6) if i < 60 and k[i] > 1 else 0.0 for i in range(62)}
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
