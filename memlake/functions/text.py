@@ -30,6 +30,14 @@ ENTITY_PATTERNS = {
     "IP_ADDRESS": (r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d?|0)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d?|0)(?!\.\d)", "IP address: {}"),
 }
 
+#: The same hits as the JVM finds them: its engine takes stack for each repetition of a group
+#: that it may step back into.  Here such groups are possessive, and each word of a name ends where
+#: a name may end; an initial's point is taken before another word, or where a name ends after it.
+POSSESSIVE_PATTERNS = {
+    "URL": r"https?:\/\/(www\.)?[a-zA-Z0-9-]+(\.[a-zA-Z]{2,})++(\/\S*)?",
+    "PERSON": r"\b(?:(?:Dr|Prof|Mr|Mrs|Ms)\.?\s+)?[A-Z][a-z]+(?:\s+(?:(?:[A-Z][a-z]+|van|de|la|del|von|der|le)\b|[A-Z]\b(?:\.(?=\b|\s+(?:[A-Z][a-z]*|van|de|la|del|von|der|le)\b))?))++",
+}
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -215,7 +223,7 @@ def keep_head(c: Column | str, n: int) -> Column:
 
 def entities(c: Column | str, kind: str) -> Column:
     """All hits of one typed pattern, repeats and overlapping types included."""
-    return F.regexp_extract_all(col(c), F.lit(ENTITY_PATTERNS[kind][0]), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(POSSESSIVE_PATTERNS.get(kind, ENTITY_PATTERNS[kind][0])), F.lit(0))
 
 
 def block_append(block: Column | str, text: Column | str) -> Column:

@@ -74,6 +74,28 @@ def test_entities(spark):
     assert out[0] == ["a.b@c.org", "x_y@z.de"] and out[1] == ["https://www.ex.com/a?b,"] and out[2] == ["2024-01-02"] and out[3] == ["10:30 PM"] and out[4] == ["#tag"] and out[5] == ["192.168.0.1"] and out[6] == ["Dr. Ada Lovelace"]
 
 
+def test_entities_of_many_words(spark):
+    """A name of any number of words and a host of any number of parts are hits like others."""
+    name, url = "Ada " + "de la " * 100_000 + "Cruz", "http://a" + ".bb" * 100_000
+    df = spark.createDataFrame([(name, url)], "name string, url string")
+    out = df.select(X.entities("name", "PERSON"), X.entities("url", "URL")).first()
+    assert out[0] == [name] and out[1] == [url]
+
+
+NAMES = st.lists(st.sampled_from(["Dr", "Dr.", "Mr. ", "A", "B.", " C. ", "Ab", "Mc", "John", "de", "del", "van", "vanX", "x", "1", "_", ".", ",", "é", " ", " ", "  ", "\n"]), max_size=14)
+HOSTS = st.lists(st.sampled_from(["http://", "https://", "www.", "a", "ab", ".", "-", "1", "/", " ", ".com", ".c", "é"]), max_size=14)
+
+
+@given(st.lists(NAMES, min_size=50, max_size=50), st.lists(HOSTS, min_size=50, max_size=50))
+@settings(max_examples=10, deadline=None)
+def test_entities_are_those_of_the_patterns(spark, names, hosts):
+    """Patterns that take no stack find what the written ones find, as Python runs these."""
+    for kind, texts in (("PERSON", ["".join(x) for x in names]), ("URL", ["".join(x) for x in hosts])):
+        pattern = re.compile(X.ENTITY_PATTERNS[kind][0])
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.entities("t", kind).alias("e")).collect()
+        assert [r.e for r in rows] == [[m.group() for m in pattern.finditer(r.t)] for r in rows]
+
+
 @pytest.mark.parametrize("name", ["", "Ada Lovelace", "o'neil é", "x" * 200])
 def test_ids(spark, name):
     out = one(spark, uuid5(F.lit(name)), node_id(F.lit(name)), hash_id(F.lit(name), "p-"), uuid5(F.lit(name), F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8")))
